@@ -1,14 +1,11 @@
 """The latest N messages of each (section, label) facet, and what is derived from them."""
 
-from functools import reduce
-from operator import or_
-
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from chatlens.functions.text import terms
 from chatlens.operators.filters import in_any_facet
-from chatlens.operators.metrics import stack
+from chatlens.operators.metrics import as_rows
 from chatlens.schema import (
     FACET_SIZE,
     FACETS,
@@ -32,10 +29,10 @@ def facet_dimension(spark):
 def facet_rows(visible, carried=_CARRIED):
     """One row per message and facet it belongs to, from a single scan."""
     labels = [F.col(column).alias(section) for section, column in SECTION_COLUMNS.items()]
-    wanted = reduce(or_, [
-        (F.col("section") == section) & F.col("label").isin(kept)
+    wanted = F.expr(" OR ".join(
+        f"section = '{section}' AND label IN ('{kept[0]}', '{kept[1]}')"
         for section, kept in SECTION_LABELS.items()
-    ])
+    ))
     flat = visible.where(in_any_facet()).select(*carried, *labels)
     return flat.unpivot(carried, list(SECTION_COLUMNS), "section", "label").where(wanted)
 
@@ -56,6 +53,7 @@ def newest(rows, keys, n):
     return (
         candidates.drop("_slice", "rank")
         .withColumn("rank", F.row_number().over(last)).where(F.col("rank") <= n)
+        .withColumn("rank", F.col("rank").cast("long"))
     )
 
 
@@ -76,7 +74,7 @@ def facet_messages(visible, n=FACET_SIZE):
         facet_dimension(visible.sparkSession)
         .join(found, ["section", "label"], "left")
         .withColumn("messages", F.coalesce("messages", empty))
-        .withColumn("n", F.size("messages"))
+        .withColumn("n", F.size("messages").cast("long"))
     )
 
 
@@ -93,21 +91,19 @@ def facet_nested(visible, n=FACET_SIZE):
 def facet_sufficiency(visible, n=FACET_SIZE):
     """Whether each facet has the n messages a summary needs, from counters alone."""
     counts = visible.agg(*[
-        F.count_if(F.col(SECTION_COLUMNS[section]) == label).alias(f"{section}_{label}")
+        F.expr(f"count_if({SECTION_COLUMNS[section]} = '{label}') AS {section}_{label}")
         for section, label in FACETS
     ])
-    rows = []
-    for section, label in FACETS:
-        found = F.least(F.col(f"{section}_{label}"), F.lit(n).cast("long"))
-        short = F.concat(
-            F.lit(f"Insufficient messages for {LABEL_TITLES[label]}, only "),
-            found.cast("string"), F.lit(" messages found."),
-        )
-        rows.append((
-            F.lit(section), F.lit(label), F.lit(SECTION_TITLES[section]),
-            found, found >= n, F.when(found < n, short),
-        ))
-    return stack(counts, ["section", "label", "title", "found", "sufficient", "note"], rows)
+    found = as_rows(counts, ["section", "label", "title", "label_title", "found"], [
+        [f"'{section}'", f"'{label}'", f"'{SECTION_TITLES[section]}'", f"'{LABEL_TITLES[label]}'",
+         f"least({section}_{label}, {n}L)"]
+        for section, label in FACETS
+    ])
+    return found.selectExpr(
+        "section", "label", "title", "found", f"found >= {n} AS sufficient",
+        f"CASE WHEN found < {n} THEN concat("
+        "'Insufficient messages for ', label_title, ', only ', found, ' messages found.') END AS note",
+    )
 
 
 def corpus_of(facets, n=FACET_SIZE, preamble=PREAMBLE):
@@ -131,7 +127,8 @@ def key_terms(rows, k=10, min_chars=4, keys=("section", "label")):
         .groupBy(*keys, "term").agg(F.count("*").alias("n"))
     )
     order = Window.partitionBy(*keys).orderBy(F.desc("n"), "term")
-    return counts.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    top = counts.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return top.withColumn("rank", F.col("rank").cast("long"))
 
 
 def facet_key_terms(visible, n=FACET_SIZE, k=10):

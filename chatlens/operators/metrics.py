@@ -10,10 +10,10 @@ from chatlens.operators.filters import not_deleted
 from chatlens.schema import FLAGS, SENTIMENT_NAMES, STANCE_TITLES, STANCES
 
 
-def stack(df, names, rows):
-    """Turn the columns of an aggregate into rows: one tuple of columns per row."""
-    entries = [F.struct(*[c.alias(n) for n, c in zip(names, row)]) for row in rows]
-    return df.select(F.inline(F.array(*entries)))
+def as_rows(df, names, rows):
+    """Turn the columns of an aggregate into rows; each row is a list of SQL expressions."""
+    values = ", ".join(", ".join(row) for row in rows)
+    return df.selectExpr(f"stack({len(rows)}, {values}) AS ({', '.join(names)})")
 
 
 def sentiment_distribution(visible):
@@ -25,33 +25,25 @@ def sentiment_distribution(visible):
     return counts.select(named("key", SENTIMENT_NAMES).alias("sentiment"), "n").orderBy(F.desc("n"), "sentiment")
 
 
-def rate_row(n, total):
-    """(share in percent, display text) of n out of total."""
-    pct = tenths_exact(percent(n, total))
-    return pct, F.when(n == 0, "Not Applicable").otherwise(share_text(n, pct, total))
-
-
 def flag_rates(visible):
     """How many messages are trolling, and how many toxic; a missing flag is false."""
-    totals = visible.agg(
-        F.count("*").alias("n_total"), *[F.count_if(F.col(f)).alias(f) for f in FLAGS]
+    totals = visible.agg(F.count("*").alias("n_total"), *[F.count_if(f).alias(f) for f in FLAGS])
+    rates = as_rows(totals, ["flag", "n", "n_total"], [[f"'{f}'", f, "n_total"] for f in FLAGS])
+    text = F.when(F.col("n") == 0, "Not Applicable").otherwise(
+        share_text(F.col("n"), F.col("pct"), F.col("n_total"))
     )
-    n_total = F.col("n_total")
-    rows = [(F.lit(f), F.col(f), n_total, *rate_row(F.col(f), n_total)) for f in FLAGS]
-    return stack(totals, ["flag", "n", "n_total", "pct", "text"], rows)
+    return rates.withColumn("pct", tenths_exact(percent("n", "n_total"))).withColumn("text", text)
 
 
 def stance_totals(visible):
     """Favor, neutral and against counts of each stance, zero where there are none."""
     kinds = ["Favor", "Neutral", "Against"]
     totals = visible.agg(*[
-        F.count_if(F.col(s) == kind).alias(f"{s}_{kind}") for s in STANCES for kind in kinds
+        F.expr(f"count_if({s} = '{kind}') AS {s}_{kind}") for s in STANCES for kind in kinds
+    ])
+    return as_rows(totals, ["stance", "title", "favor", "neutral", "against"], [
+        [f"'{s}'", f"'{STANCE_TITLES[s]}'", *[f"{s}_{kind}" for kind in kinds]] for s in STANCES
     ])
-    rows = []
-    for s in STANCES:
-        counts = [F.col(f"{s}_{kind}") for kind in kinds]
-        rows.append((F.lit(s), F.lit(STANCE_TITLES[s]), *counts))
-    return stack(totals, ["stance", "title", "favor", "neutral", "against"], rows)
 
 
 def language_distribution(visible):

@@ -8,7 +8,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from chatlens.functions.time import bucket_minutes, bucket_of_minute
-from chatlens.operators.metrics import stack
+from chatlens.operators.metrics import as_rows
 from chatlens.schema import STANCES
 
 
@@ -21,14 +21,14 @@ def _counter_names(stances):
 
 
 def bucket_counters(stances):
-    out = []
+    counters = []
     for s in stances:
-        out += [
-            F.count(s).alias(f"{s}_seen"),
-            F.count_if(F.col(s) == "Favor").alias(f"{s}_favor"),
-            F.count_if(F.col(s) == "Against").alias(f"{s}_against"),
+        counters += [
+            f"count({s}) AS {s}_seen",
+            f"count_if({s} = 'Favor') AS {s}_favor",
+            f"count_if({s} = 'Against') AS {s}_against",
         ]
-    return out
+    return [F.expr(c) for c in counters]
 
 
 def stance_buckets(visible, width="15 minutes", by=()):
@@ -48,12 +48,9 @@ def unfold(buckets, by=()):
     """
     stances = [s for s in STANCES if f"{s}_seen" in buckets.columns]
     keys = [*by, "bucket_start"]
-    rows = [
-        (*[F.col(k) for k in keys], F.lit(s), F.col(f"{s}_seen"), F.col(f"{s}_favor"), F.col(f"{s}_against"))
-        for s in stances
-    ]
+    rows = [[*keys, f"'{s}'", f"{s}_seen", f"{s}_favor", f"{s}_against"] for s in stances]
     return (
-        stack(buckets, [*keys, "stance", "seen", "favor", "against"], rows)
+        as_rows(buckets, [*keys, "stance", "seen", "favor", "against"], rows)
         .where("seen > 0").drop("seen")
     )
 
@@ -96,6 +93,6 @@ def stance_peaks(visible, width="15 minutes"):
     """The highest favor or against count any bucket reaches, per stance."""
     stances = _present(visible)
     peaks = stance_buckets(visible, width).agg(*[
-        F.max(F.greatest(f"{s}_favor", f"{s}_against")).alias(s) for s in stances
+        F.expr(f"max(greatest({s}_favor, {s}_against)) AS {s}") for s in stances
     ])
-    return stack(peaks, ["stance", "peak"], [(F.lit(s), F.col(s)) for s in stances])
+    return as_rows(peaks, ["stance", "peak"], [[f"'{s}'", s] for s in stances])

@@ -11,6 +11,7 @@ from chatlens.functions.rounding import percent, tenths_exact, tenths_scaled
 from chatlens.functions.text import capitalised, long_enough, named, share_text
 from chatlens.operators import metrics, timeline
 from chatlens.operators.filters import not_deleted, visible_messages
+from chatlens.operators.metrics import as_rows
 from chatlens.schema import FLAGS, SENTIMENT_NAMES, STANCES
 
 _KINDS = ["Favor", "Neutral", "Against"]
@@ -26,38 +27,30 @@ def label_counters(messages):
         .groupBy("shown", "senti", "lang")
         .agg(
             F.count("*").alias("n"),
-            *[F.count_if(F.col(f)).alias(f) for f in FLAGS],
-            *[F.count_if(F.col(s) == k).alias(f"{s}_{k}") for s in STANCES for k in _KINDS],
+            *[F.count_if(f).alias(f) for f in FLAGS],
+            *[F.expr(f"count_if({s} = '{k}') AS {s}_{k}") for s in STANCES for k in _KINDS],
         )
     )
 
 
 def dashboard_overview(messages):
     """All count panels as rows: panel, item, n, percentage and display text."""
-    shown, n = F.col("shown"), F.col("n")
-    senti = capitalised("senti")
-
-    def entry(panel, item, count, when):
-        return F.when(when, F.struct(
-            F.lit(panel).alias("panel"), item.alias("item"), count.alias("n")
-        ))
-
-    entries = [
-        entry("corpus", F.when(shown, "enriched").otherwise("not_enriched"), n, F.lit(True)),
-        entry("sentiment", named(senti, SENTIMENT_NAMES), n, shown & (senti != "Na")),
-        entry("language", F.col("lang"), n, shown & F.col("lang").isNotNull()),
-        *[entry("flag", F.lit(f), F.col(f), shown) for f in FLAGS],
-        *[entry(s, F.lit(k), F.col(f"{s}_{k}"), shown) for s in STANCES for k in _KINDS],
-        # the base the flags are shares of
-        *[entry(f"base_{f}", F.lit(f), n, shown) for f in FLAGS],
+    rows = [
+        ["'corpus'", "if(shown, 'enriched', 'not_enriched')", "n"],
+        ["'sentiment'", "if(shown, sentiment, NULL)", "n"],
+        ["'language'", "if(shown, lang, NULL)", "n"],
     ]
+    for f in FLAGS:  # with the number of messages a flag's share refers to
+        rows += [["'flag'", f"if(shown, '{f}', NULL)", f], ["'flag base'", f"if(shown, '{f}', NULL)", "n"]]
+    for s in STANCES:
+        rows += [[f"'{s}'", f"if(shown, '{k}', NULL)", f"{s}_{k}"] for k in _KINDS]
+    counters = label_counters(messages).withColumn("sentiment", named(capitalised("senti"), SENTIMENT_NAMES))
+    panel, count = F.col("panel"), F.col("n")
     items = (
-        label_counters(messages)
-        .select(F.inline(F.filter(F.array(*entries), lambda e: e.isNotNull())))
+        as_rows(counters, ["panel", "item", "n"], rows).where("item IS NOT NULL")
         .groupBy("panel", "item").agg(F.sum("n").alias("n"))
     )
-    panel, count = F.col("panel"), F.col("n")
-    is_base = panel.startswith("base_")
+    is_base = panel == "flag base"
     # over the aggregated items: one small window per panel, and per item for a flag's base
     panel_total = F.sum("n").over(Window.partitionBy("panel"))
     base = F.max(F.when(is_base, count)).over(Window.partitionBy("item"))

@@ -8,58 +8,55 @@ from pyspark.sql import functions as F
 
 from chatlens.sources.tables import stream_messages
 
-_STANCE_CYCLE = ["Favor", "Against", "Neutral", "NA"]
-_SENTIMENT_CYCLE = ["Pos", "Neg", "Neut", "NA"]
+# Declared, so that no query starts by opening files to infer a schema.
+SCHEMAS = {
+    "events": "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string",
+    "documents": "doc_id long, text string, lang string, source string, n_chars long",
+    "labels": "doc_id long, quality int, toxic int",
+    "pages": "page_id long, url string, html string",
+    "conversations": "conv_id long, turn long, role string, text string",
+    "lineitem": (
+        "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, "
+        "l_extendedprice double, l_discount double, l_tax double, l_returnflag string, "
+        "l_linestatus string, l_shipdate timestamp_ntz"
+    ),
+}
 _LATE = 10**15
 
-
-def table(spark, sf_dir, name):
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def _cycle(number, values):
-    """values[number mod len(values)]"""
-    return F.element_at(F.array(*map(F.lit, values)), (number % len(values) + 1).cast("int"))
+_CYCLE = "array('Favor', 'Against', 'Neutral', 'NA')"
+_EVENT_LABELS = [
+    f"element_at({_CYCLE}, int((event_id + {k} * user_id) % 4 + 1)) AS {name}"
+    for k, name in enumerate(["sg", "mil", "rnr", "societal_impact"])
+] + ["element_at(array('Pos', 'Neg', 'Neut', 'NA'), int(user_id % 4 + 1)) AS senti"]
+_DELETE_FLAG = "CASE event_id % 17 WHEN 0 THEN true WHEN 1 THEN false END AS delete"
 
 
-def _event_labels():
-    event, user = F.col("event_id"), F.col("user_id")
-    weights = {"sg": 0, "mil": 1, "rnr": 2, "societal_impact": 3}
-    labels = {name: _cycle(event + k * user, _STANCE_CYCLE) for name, k in weights.items()}
-    labels["senti"] = _cycle(user, _SENTIMENT_CYCLE)
-    return [expr.alias(name) for name, expr in labels.items()]
+def table(spark, sf_dir, name):
+    return spark.read.schema(SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _delete_flag():
-    seventeenth = F.col("event_id") % 17
-    return F.when(seventeenth == 0, True).when(seventeenth == 1, False)
+def table_stream(spark, sf_dir, name):
+    return stream_messages(spark, sf_dir, schema=SCHEMAS[name], glob=f"{name}.parquet")
 
 
 def live_from(events):
     """One message per event; works on a batch or a streaming read."""
-    event, user = F.col("event_id"), F.col("user_id").cast("string")
-    message = F.when(event % 11 == 0, F.substring("event_type", 1, 5)).otherwise(
-        F.concat("event_type", F.lit(" "), "props")
-    )
-    seventh = event % 7
-    lang = (
-        F.when(seventh == 0, "MS").when(seventh == 1, "ZH").when(seventh == 2, "TA")
-        .when(seventh == 3, "Other").otherwise("EN")
-    )
-    return events.select(
-        (event + 1).alias("id"),
-        F.concat(F.lit("v"), (F.col("user_id") % 20).cast("string")).alias("vid_id"),
-        F.concat(F.lit("user"), user).alias("author"),
-        F.concat(F.lit("a"), user).alias("author_id"),
-        F.col("ts").alias("dt_stamp"),
-        F.concat(F.lit("m"), event.cast("string")).alias("msg_id"),
-        message.alias("message"),
-        (event % 5 != 0).alias("enriched"),
-        *_event_labels(),
-        lang.alias("lang"),
-        F.when(event % 13 != 0, F.col("value") > 100).alias("troll"),
-        (F.col("event_type") == "error").alias("toxic"),
-        _delete_flag().alias("delete"),
+    return events.selectExpr(
+        "event_id + 1 AS id",
+        "concat('v', user_id % 20) AS vid_id",
+        "concat('user', user_id) AS author",
+        "concat('a', user_id) AS author_id",
+        "ts AS dt_stamp",
+        "concat('m', event_id) AS msg_id",
+        "CASE WHEN event_id % 11 = 0 THEN substr(event_type, 1, 5)"
+        " ELSE concat(event_type, ' ', props) END AS message",
+        "event_id % 5 <> 0 AS enriched",
+        *_EVENT_LABELS,
+        "CASE event_id % 7 WHEN 0 THEN 'MS' WHEN 1 THEN 'ZH' WHEN 2 THEN 'TA' WHEN 3 THEN 'Other'"
+        " ELSE 'EN' END AS lang",
+        "CASE WHEN event_id % 13 <> 0 THEN value > 100 END AS troll",
+        "event_type = 'error' AS toxic",
+        _DELETE_FLAG,
     )
 
 
@@ -68,41 +65,38 @@ def live(spark, sf_dir):
 
 
 def live_stream(spark, sf_dir):
-    schema = table(spark, sf_dir, "events").schema
-    return live_from(stream_messages(spark, sf_dir, schema=schema, glob="events.parquet"))
+    return live_from(table_stream(spark, sf_dir, "events"))
 
 
 def docmsg(spark, sf_dir):
     """Documents as messages, with the label table's coverage and the events' stances."""
     documents, events, labels = (table(spark, sf_dir, n) for n in ("documents", "events", "labels"))
-    rows = documents.join(events, F.col("event_id") == F.col("doc_id"), "left").join(
+    rows = documents.join(events, F.expr("event_id = doc_id"), "left").join(
         labels.withColumn("labelled", F.lit(True)), "doc_id", "left"
     )
-    doc = F.col("doc_id")
-    return rows.select(
-        (doc + 1).alias("id"),
-        F.col("source").alias("vid_id"),
-        F.concat(F.lit("user"), F.col("user_id").cast("string")).alias("author"),
-        F.concat(F.lit("a"), F.col("user_id").cast("string")).alias("author_id"),
-        F.col("ts").alias("dt_stamp"),
-        F.concat(F.lit("d"), doc.cast("string")).alias("msg_id"),
-        F.col("text").alias("message"),
-        F.coalesce("labelled", F.lit(False)).alias("enriched"),
-        *_event_labels(),
+    return rows.selectExpr(
+        "doc_id + 1 AS id",
+        "source AS vid_id",
+        "concat('user', user_id) AS author",
+        "concat('a', user_id) AS author_id",
+        "ts AS dt_stamp",
+        "concat('d', doc_id) AS msg_id",
+        "text AS message",
+        "coalesce(labelled, false) AS enriched",
+        *_EVENT_LABELS,
         "lang",
-        (F.col("quality") == 0).alias("troll"),
-        (F.col("toxic") == 1).alias("toxic"),
-        _delete_flag().alias("delete"),
+        "quality = 0 AS troll",
+        "toxic = 1 AS toxic",
+        _DELETE_FLAG,
     )
 
 
 def registry(spark, sf_dir):
     """One watched URL per video of `live`."""
-    k = (F.col("user_id") % 20).alias("k")
-    return table(spark, sf_dir, "events").select(k).distinct().select(
-        F.concat(F.lit("https://video.example/watch?v=v"), F.col("k").cast("string")).alias("url"),
-        F.lit("YouTube").alias("platform"),
-        F.when(F.col("k") % 3 == 0, "start").otherwise("stopped").alias("status"),
+    return table(spark, sf_dir, "events").selectExpr("user_id % 20 AS k").distinct().selectExpr(
+        "concat('https://video.example/watch?v=v', k) AS url",
+        "'YouTube' AS platform",
+        "CASE WHEN k % 3 = 0 THEN 'start' ELSE 'stopped' END AS status",
     )
 
 
@@ -112,28 +106,27 @@ def page_urls(spark, sf_dir):
 
 def drop_list(spark, sf_dir):
     """URLs somebody wants dropped: every stopped video, and pages that name none of ours."""
-    stopped = registry(spark, sf_dir).where(F.col("status") == "stopped").select("url")
+    stopped = registry(spark, sf_dir).where("status = 'stopped'").select("url")
     return stopped.unionByName(page_urls(spark, sf_dir))
 
 
 def label_updates_from(lineitem):
     """A label feed: many corrections per message, some ids unknown, some labels cleared."""
-    flag, status = F.col("l_returnflag"), F.col("l_linestatus")
-    stance = F.when(flag == "R", "Favor").when(flag == "A", "Against").otherwise("Neutral")
-    return lineitem.select(
-        (F.col("l_orderkey") + 1).alias("id"),
-        stance.alias("sg"),
-        F.when(status == "F", stance).otherwise("NA").alias("mil"),
-        F.when(F.col("l_discount") > 0.05, stance).alias("rnr"),
-        F.when(F.col("l_tax") > 0.04, stance).otherwise("Neutral").alias("societal_impact"),
-        F.when(status == "F", "EN").otherwise("TA").alias("lang"),
-        F.when(flag == "R", "Pos").when(flag == "A", "Neg").alias("senti"),
-        (F.col("l_discount") > 0.05).alias("troll"),
-        (F.col("l_tax") > 0.06).alias("toxic"),
-        F.col("l_linenumber").cast("long").alias("seq"),
-        F.col("l_shipdate").alias("sent_at"),
-        F.col("l_partkey").alias("part"),
-        F.col("l_suppkey").alias("supp"),
+    stance = "CASE l_returnflag WHEN 'R' THEN 'Favor' WHEN 'A' THEN 'Against' ELSE 'Neutral' END"
+    return lineitem.selectExpr(
+        "l_orderkey + 1 AS id",
+        f"{stance} AS sg",
+        f"CASE WHEN l_linestatus = 'F' THEN {stance} ELSE 'NA' END AS mil",
+        f"CASE WHEN l_discount > 0.05D THEN {stance} END AS rnr",
+        f"CASE WHEN l_tax > 0.04D THEN {stance} ELSE 'Neutral' END AS societal_impact",
+        "CASE WHEN l_linestatus = 'F' THEN 'EN' ELSE 'TA' END AS lang",
+        "CASE l_returnflag WHEN 'R' THEN 'Pos' WHEN 'A' THEN 'Neg' END AS senti",
+        "l_discount > 0.05D AS troll",
+        "l_tax > 0.06D AS toxic",
+        "bigint(l_linenumber) AS seq",
+        "l_shipdate AS sent_at",
+        "l_partkey AS part",
+        "l_suppkey AS supp",
     )
 
 
@@ -145,34 +138,30 @@ def label_updates(spark, sf_dir):
 
 
 def label_update_stream(spark, sf_dir):
-    schema = table(spark, sf_dir, "lineitem").schema
-    return label_updates_from(stream_messages(spark, sf_dir, schema=schema, glob="lineitem.parquet"))
+    return label_updates_from(table_stream(spark, sf_dir, "lineitem"))
 
 
 def incoming(spark, sf_dir):
     """A collector's batch: all stored messages again, conversation turns as new messages,
     and a later copy of each turn that must lose.
     """
-    conv, turn = F.col("conv_id"), F.col("turn")
-    turns = table(spark, sf_dir, "conversations").select(
-        F.concat(F.lit("c"), conv.cast("string")).alias("vid_id"),
-        F.col("role").alias("author"),
-        F.col("role").alias("author_id"),
-        F.lit(None).cast("timestamp_ntz").alias("dt_stamp"),
-        F.concat_ws("-", F.lit("c"), conv.cast("string"), turn.cast("string")).alias("msg_id"),
-        F.col("text").alias("message"),
-        (conv * 1_000_000 + turn).alias("arrival"),
+    turns = table(spark, sf_dir, "conversations").selectExpr(
+        "concat('c', conv_id) AS vid_id",
+        "role AS author",
+        "role AS author_id",
+        "CAST(NULL AS timestamp_ntz) AS dt_stamp",
+        "concat('c-', conv_id, '-', turn) AS msg_id",
+        "text AS message",
+        "conv_id * 1000000 + turn AS arrival",
     )
-    later = turns.withColumns({
-        "message": F.lit("later copy"), "arrival": F.col("arrival") + _LATE
-    })
-    again = live(spark, sf_dir).select(*turns.columns[:-1], (F.col("id") - _LATE).alias("arrival"))
+    later = turns.withColumns({"message": F.lit("later copy"), "arrival": F.expr(f"arrival + {_LATE}")})
+    again = live(spark, sf_dir).selectExpr(*turns.columns[:-1], f"id - {_LATE} AS arrival")
     return reduce(lambda a, b: a.unionByName(b), [again, turns, later])
 
 
 def edited(spark, sf_dir):
-    """`live` after a reviewer's pass: no stance on toxic messages, troll cleared for one author group."""
+    """`live` after a reviewer's pass: no stance on toxic messages, troll cleared for one video."""
     return live(spark, sf_dir).withColumns({
-        "sg": F.when(F.col("toxic"), "NA").otherwise(F.col("sg")),
-        "troll": F.when(F.col("vid_id") != "v9", F.col("troll")),
+        "sg": F.expr("CASE WHEN toxic THEN 'NA' ELSE sg END"),
+        "troll": F.expr("CASE WHEN vid_id <> 'v9' THEN troll END"),
     })
