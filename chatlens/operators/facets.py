@@ -4,14 +4,12 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from chatlens.functions.text import terms
-from chatlens.operators.filters import in_any_facet
 from chatlens.operators.metrics import as_rows
 from chatlens.schema import (
     FACET_SIZE,
     FACETS,
     LABEL_TITLES,
     SECTION_COLUMNS,
-    SECTION_LABELS,
     SECTION_TITLES,
 )
 
@@ -26,15 +24,24 @@ def facet_dimension(spark):
     return spark.createDataFrame(rows, "position int, section string, label string")
 
 
-def facet_rows(visible, carried=_CARRIED):
-    """One row per message and facet it belongs to, from a single scan."""
+def facet_rows(visible, carried=_CARRIED, starts=None):
+    """One row per message and facet it belongs to, from a single scan.
+
+    `starts` (facet -> time) leaves out messages older than their facet's start. The tests run
+    on the unpivoted columns, where they stay short.
+    """
     labels = [F.col(column).alias(section) for section, column in SECTION_COLUMNS.items()]
-    wanted = F.expr(" OR ".join(
-        f"section = '{section}' AND label IN ('{kept[0]}', '{kept[1]}')"
-        for section, kept in SECTION_LABELS.items()
-    ))
-    flat = visible.where(in_any_facet()).select(*carried, *labels)
-    return flat.unpivot(carried, list(SECTION_COLUMNS), "section", "label").where(wanted)
+    wanted = []
+    for section, label in FACETS:
+        test = f"section = '{section}' AND label = '{label}'"
+        since = (starts or {}).get((section, label))
+        wanted.append(f"{test} AND dt_stamp >= {_literal(since)}" if since else test)
+    flat = visible.select(*carried, *labels).unpivot(carried, list(SECTION_COLUMNS), "section", "label")
+    return flat.where(" OR ".join(wanted))
+
+
+def _literal(time):
+    return f"timestamp_ntz'{time.isoformat(sep=' ')}'"
 
 
 def newest(rows, keys, n):
@@ -57,10 +64,50 @@ def newest(rows, keys, n):
     )
 
 
+def facet_counters():
+    """One count per facet, in the order of FACETS."""
+    return [
+        F.expr(f"count_if({SECTION_COLUMNS[section]} = '{label}') AS {section}_{label}")
+        for section, label in FACETS
+    ]
+
+
+def facet_starts(visible, n=FACET_SIZE):
+    """Per facet, an hour such that n of its messages are at least that new.
+
+    Counters per hour are summed from the newest hour back. Facets with fewer than n messages
+    are absent.
+    """
+    hours = visible.groupBy(F.window("dt_stamp", "1 hour").alias("hour")).agg(*facet_counters())
+    counts = as_rows(
+        hours,
+        ["hour", "section", "label", "found"],
+        [["hour.start", f"'{section}'", f"'{label}'", f"{section}_{label}"] for section, label in FACETS],
+    ).where("found > 0")
+    # one row per facet and hour
+    back = Window.partitionBy("section", "label").orderBy(F.desc("hour"))
+    return (
+        counts.withColumn("reached", F.sum("found").over(back)).where(F.col("reached") >= n)
+        .groupBy("section", "label").agg(F.max("hour").alias("since"))
+    )
+
+
+def recent_facet_rows(visible, n=FACET_SIZE):
+    """The facet rows that can be among the n newest of their facet.
+
+    The starts, one per facet, become literals: the scan skips what is older than all of them,
+    and of each facet only the newest hours are left to be sorted.
+    """
+    starts = {(r["section"], r["label"]): r["since"] for r in facet_starts(visible, n).collect()}
+    if len(starts) == len(FACETS):
+        visible = visible.where(f"dt_stamp >= {_literal(min(starts.values()))}")
+    return facet_rows(visible, starts=starts)
+
+
 def latest_per_facet(visible, n=FACET_SIZE, by=()):
     """The n newest messages per facet (and key), newest first as rank 1."""
-    keys = [*by, "section", "label"]
-    return newest(facet_rows(visible, [*_CARRIED, *[k for k in by if k not in _CARRIED]]), keys, n)
+    rows = facet_rows(visible, list(dict.fromkeys([*_CARRIED, *by]))) if by else recent_facet_rows(visible, n)
+    return newest(rows, [*by, "section", "label"], n)
 
 
 def facet_messages(visible, n=FACET_SIZE):
@@ -90,10 +137,7 @@ def facet_nested(visible, n=FACET_SIZE):
 
 def facet_sufficiency(visible, n=FACET_SIZE):
     """Whether each facet has the n messages a summary needs, from counters alone."""
-    counts = visible.agg(*[
-        F.expr(f"count_if({SECTION_COLUMNS[section]} = '{label}') AS {section}_{label}")
-        for section, label in FACETS
-    ])
+    counts = visible.agg(*facet_counters())
     found = as_rows(counts, ["section", "label", "title", "label_title", "found"], [
         [f"'{section}'", f"'{label}'", f"'{SECTION_TITLES[section]}'", f"'{LABEL_TITLES[label]}'",
          f"least({section}_{label}, {n}L)"]

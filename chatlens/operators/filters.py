@@ -1,12 +1,11 @@
 """Which messages and registry rows a view shows."""
 
 from functools import reduce
-from operator import or_
 
 from pyspark.sql import functions as F
 
 from chatlens.functions.text import long_enough, video_key
-from chatlens.schema import DOMAINS, FLAGS, SECTION_COLUMNS, SECTION_LABELS
+from chatlens.schema import DOMAINS, FLAGS
 from chatlens.sizing import broadcast_if_small
 
 
@@ -57,13 +56,6 @@ def select_by_key(rows, keys, key, broadcast_bytes=None):
     return rows.join(wanted, key, "left_semi").select(*rows.columns)
 
 
-def in_any_facet():
-    """Carries at least one of the labels that get a summary."""
-    return reduce(or_, [
-        F.col(column).isin(SECTION_LABELS[section]) for section, column in SECTION_COLUMNS.items()
-    ])
-
-
 def domain_violations(messages):
     """One row per required label that is missing or outside its domain."""
     allowed = reduce(

@@ -11,28 +11,25 @@ _POSITION_BITS = 33  # monotonically_increasing_id: task number above, row numbe
 
 
 def first_wins(rows, key, order):
-    """One row per key: the one that comes first in `order`. Aggregates before it shuffles."""
-    rest = [c for c in rows.columns if c != key]
-    return (
-        rows.groupBy(key).agg(F.min_by(F.struct(*rest), F.struct(*order)).alias("_first"))
-        .select(key, *[F.col(f"_first.{c}").alias(c) for c in rest])
-    )
+    """One row per key: the one that comes first in `order`.
+
+    The rank limit is applied before the shuffle as well, so of a key that fills a third of the
+    batch each task sends one row. The result stays partitioned by the key for the next join.
+    """
+    first = Window.partitionBy(key).orderBy(*order)
+    return rows.withColumn("_copy", F.row_number().over(first)).where("_copy = 1").drop("_copy")
 
 
 def not_stored(rows, stored, key, small=False):
-    """Rows whose key is not in `stored` yet; a missing key counts as a value.
+    """Rows whose key is not in `stored` yet.
 
     With `small` the stored keys are scanned in place, against a broadcast of the new keys,
     and only the few that occur again are shuffled.
     """
-    def same(a, b):
-        return F.col(f"{a}.{key}").eqNullSafe(F.col(f"{b}.{key}"))
-
     known = stored.select(key)
     if small:
-        wanted = F.broadcast(rows.select(key))
-        known = known.alias("k").join(wanted.alias("w"), same("k", "w"), "left_semi").distinct()
-    return rows.alias("r").join(known.alias("k"), same("r", "k"), "left_anti")
+        known = known.join(F.broadcast(rows.select(key)), key, "left_semi").distinct()
+    return rows.join(known, key, "left_anti")
 
 
 def sequence_ids(rows, order, start=0, name="id"):
@@ -67,8 +64,8 @@ def sequence_ids(rows, order, start=0, name="id"):
 def ingest_new_messages(stored, incoming, order=("arrival", "msg_id"), last_id=None, broadcast_bytes=None):
     """The messages of a batch that are not stored yet, numbered on from the last id.
 
-    The first copy of a msg_id in the batch wins, stored ones are skipped. Append the result
-    to the message table.
+    The first copy of a msg_id in the batch wins, stored ones are skipped; msg_id must not be
+    NULL. Append the result to the message table.
     """
     if last_id is None:
         last_id = stored.agg(F.coalesce(F.max("id"), F.lit(0)).alias("last")).first()["last"]
