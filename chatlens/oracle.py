@@ -49,7 +49,7 @@ VIEWS = {
     "docmsg": f"""
   SELECT d.doc_id + 1 AS id, source AS vid_id, 'user' || user_id AS author, 'a' || user_id AS author_id,
     ts AS dt_stamp, 'd' || d.doc_id AS msg_id, text AS message, l.doc_id IS NOT NULL AS enriched,
-    {_EVENT_LABELS}, lang, quality = 0 AS troll, toxic = 1 AS toxic, {_DELETE}
+    {_EVENT_LABELS}, lang, quality = 0 AS troll, toxic = 1 AS toxic, NULL::BOOLEAN AS "delete"
   FROM documents d LEFT JOIN events ON event_id = d.doc_id LEFT JOIN labels l ON l.doc_id = d.doc_id""",
     "visible": "SELECT * FROM live WHERE enriched AND length(message) > 5 AND NOT coalesce(\"delete\", false)",
     "visible_doc": "SELECT * FROM docmsg WHERE enriched AND length(message) > 5 AND NOT coalesce(\"delete\", false)",

@@ -87,7 +87,7 @@ def docmsg(spark, sf_dir):
         "lang",
         "quality = 0 AS troll",
         "toxic = 1 AS toxic",
-        _DELETE_FLAG,
+        "CAST(NULL AS boolean) AS delete",
     )
 
 
