@@ -22,10 +22,6 @@ AS_OF = "2024-02-01 00:00:00"
 BACKLOG_BATCH = 100
 
 
-def as_of():
-    return F.lit(AS_OF).cast("timestamp_ntz")
-
-
 def _on_live(operator):
     return lambda spark, sf: operator(derived.live(spark, sf))
 
@@ -95,14 +91,14 @@ def facet_summaries(spark, sf):
 def summary_records(spark, sf):
     visible = filters.visible_messages(derived.docmsg(spark, sf))
     path = scratch_path(spark, "summaries")
-    append_summaries(summary_run(visible, as_of()), path)
+    append_summaries(summary_run(visible, AS_OF), path)
     ids = F.array_join(F.transform("messages", lambda m: m["id"].cast("string")), ",")
     return spark.read.parquet(path).select("generate_dt", "section", "label", "n", ids.alias("ids"), "summary")
 
 
 def enrichment_upsert(spark, sf):
     return upsert.enrichment_upsert(
-        derived.live(spark, sf), derived.label_updates(spark, sf), as_of(), derived.UPDATE_ORDER
+        derived.live(spark, sf), derived.label_updates(spark, sf), AS_OF, derived.UPDATE_ORDER
     )
 
 
@@ -157,7 +153,7 @@ def stream_enrichment_upsert(spark, sf):
         updates, root, scratch_path(spark, "offsets"), derived.UPDATE_ORDER, available_now=True
     ).awaitTermination()
     log = stream_labels.logged_updates(spark, root, updates.schema)
-    return stream_labels.current_messages(derived.live(spark, sf), log, as_of(), derived.UPDATE_ORDER)
+    return stream_labels.current_messages(derived.live(spark, sf), log, AS_OF, derived.UPDATE_ORDER)
 
 
 QUERIES = {

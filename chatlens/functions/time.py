@@ -2,6 +2,7 @@
 
 from functools import reduce
 
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from chatlens.schema import BUCKET_RULES, WIDEST_BUCKET
@@ -14,6 +15,11 @@ def lenient_timestamp(column):
     return F.col(column).try_cast("timestamp_ntz")
 
 
+def moment(value):
+    """A given time ('2024-02-01 00:00:00', a datetime without zone, or a column)."""
+    return (value if isinstance(value, Column) else F.lit(str(value))).cast("timestamp_ntz")
+
+
 def local_clock(ts_utc, zone=DISPLAY_ZONE):
     """HH:mm:ss in a zone, of a UTC time without zone."""
     local = F.convert_timezone(F.lit("UTC"), F.lit(zone), ts_utc)

@@ -3,6 +3,7 @@
 import pandas as pd
 from pyspark.sql import functions as F
 
+from chatlens.functions.time import moment
 from chatlens.operators.facets import corpus_of, key_terms
 from chatlens.schema import FACET_SIZE
 
@@ -40,7 +41,7 @@ def model_summaries(facets, fn, n=FACET_SIZE):
 def summary_records(facets, summaries, generated_at):
     """One row per facet: its messages and, where there were enough, the summary."""
     return facets.join(summaries, ["section", "label"], "left").select(
-        generated_at.alias("generate_dt"), "section", "label", "n", "messages", "summary"
+        moment(generated_at).alias("generate_dt"), "section", "label", "n", "messages", "summary"
     )
 
 
@@ -48,9 +49,9 @@ def nested_record(records):
     """One row per run: a map from section to its labels' messages and summaries."""
     per_label = F.struct("label", F.struct("messages", "summary"))
     sections = records.groupBy("generate_dt", "section").agg(
-        F.map_from_entries(F.array_sort(F.collect_list(per_label))).alias("labels")
+        F.map_from_entries(F.collect_list(per_label)).alias("labels")
     )
     return sections.groupBy("generate_dt").agg(
-        F.map_from_entries(F.array_sort(F.collect_list(F.struct("section", "labels")))).alias("sections")
+        F.map_from_entries(F.collect_list(F.struct("section", "labels"))).alias("sections")
     )
 

@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from chatlens.functions.time import moment
 from chatlens.schema import LABELS
 from chatlens.sizing import is_small
 
@@ -61,12 +62,12 @@ def enrichment_upsert(
     """Write labels back by message id.
 
     The last update of an id wins, an explicit NULL overwrites, unknown ids become partial
-    rows, and matched rows are marked labelled. `as_of` (a column or literal time) stamps
+    rows, and matched rows are marked labelled. `as_of` (a time) stamps
     dt_enriched; without it the stamp is left alone.
     """
     fixed = {"enriched": F.lit(True)}
     if as_of is not None:
-        fixed["dt_enriched"] = as_of
+        fixed["dt_enriched"] = moment(as_of)
     labels = [name for name in LABELS if name in updates.columns]
     small = is_small(updates.select("id", *labels, *order), broadcast_bytes)
     changes = last_wins(updates.withColumns(fixed), "id", [*labels, *fixed], order)

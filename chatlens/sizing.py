@@ -3,29 +3,41 @@
 from functools import reduce
 from operator import add
 
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from chatlens.session import materialise
+
 BROADCAST_BYTES = 64 * 1024 * 1024
 _FIXED_WIDTH = 16
 
 
-def measured_bytes(df):
-    """Width of all rows of df: text by its length, every other column by a fixed width."""
+def _total_width(schema):
+    """Width of all rows: text by its length, plus a fixed width per column."""
     widths = [
         F.coalesce(F.octet_length(f.name), F.lit(0)) + F.lit(_FIXED_WIDTH)
         if isinstance(f.dataType, (T.StringType, T.BinaryType))
         else F.lit(_FIXED_WIDTH)
-        for f in df.schema.fields
+        for f in schema.fields
     ]
-    return df.agg(F.coalesce(F.sum(reduce(add, widths).cast("long")), F.lit(0))).first()[0]
+    return F.coalesce(F.sum(reduce(add, widths).cast("long")), F.lit(0)).alias("bytes")
+
+
+def _fits(width, broadcast_bytes):
+    return width <= (BROADCAST_BYTES if broadcast_bytes is None else broadcast_bytes)
 
 
 def is_small(df, broadcast_bytes=None):
-    """Whether df, measured by one distributed count, fits a broadcast."""
-    return measured_bytes(df) <= (BROADCAST_BYTES if broadcast_bytes is None else broadcast_bytes)
+    """Whether df, measured by one distributed sum, fits a broadcast."""
+    return _fits(df.agg(_total_width(df.schema)).first()["bytes"], broadcast_bytes)
 
 
 def broadcast_if_small(df, broadcast_bytes=None):
-    """df with a broadcast hint if it fits, else df as it is (a shuffle join)."""
-    return F.broadcast(df) if is_small(df, broadcast_bytes) else df
+    """df with a broadcast hint if it fits, else for a shuffle join.
+
+    df is computed once: it is written to the shared folder and measured on the way.
+    """
+    seen = Observation()
+    copy = materialise(df.observe(seen, _total_width(df.schema)), "list")
+    return F.broadcast(copy) if _fits(seen.get["bytes"], broadcast_bytes) else copy
