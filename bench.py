@@ -1,4 +1,6 @@
-"""Time every query: one warm-up, then the median of three runs, full results forced.
+"""Time every query: one warm-up, then the median of up to three runs, full results forced.
+
+Queries that take longer than a second are run once after the warm-up.
 
 Reads BENCH_SF_DIR (default sf0.1) on local[BENCH_CPUS] and prints one JSON line.
 """
@@ -31,9 +33,11 @@ def main():
     chosen = sys.argv[1:] or list(QUERIES)
     seconds = {}
     for name in chosen:
-        runs = 1 if name.startswith("stream_") else RUNS
         timed(spark, QUERIES[name])
-        seconds[name] = round(statistics.median(timed(spark, QUERIES[name]) for _ in range(runs)), 4)
+        runs = []
+        while len(runs) < RUNS and sum(runs) < 1:
+            runs.append(timed(spark, QUERIES[name]))
+        seconds[name] = round(statistics.median(runs), 4)
         print(f"{name}: {seconds[name]}", file=sys.stderr)
     rows = {
         t: spark.read.parquet(f"{SF_DIR}/{t}.parquet").count()

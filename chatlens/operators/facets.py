@@ -5,13 +5,8 @@ from pyspark.sql import functions as F
 
 from chatlens.functions.text import terms
 from chatlens.operators.metrics import as_rows
-from chatlens.schema import (
-    FACET_SIZE,
-    FACETS,
-    LABEL_TITLES,
-    SECTION_COLUMNS,
-    SECTION_TITLES,
-)
+from chatlens.schema import FACET_SIZE, FACETS, LABEL_TITLES, SECTION_COLUMNS, SECTION_TITLES
+from chatlens.sizing import measured_copy
 
 _CARRIED = ["id", "vid_id", "dt_stamp", "message"]
 _SPREAD = 64
@@ -72,27 +67,30 @@ def facet_counters():
     ]
 
 
-def facet_starts(visible, n=FACET_SIZE):
-    """Per facet, an hour such that n of its messages are at least that new.
+def facet_starts(visible, n=FACET_SIZE, by=()):
+    """Per facet (and key), an hour such that n of its messages are at least that new.
 
     Counters per hour are summed from the newest hour back. Facets with fewer than n messages
     are absent.
     """
-    hours = visible.groupBy(F.window("dt_stamp", "1 hour").alias("hour")).agg(*facet_counters())
+    hours = visible.groupBy(*by, F.window("dt_stamp", "1 hour").alias("hour")).agg(*facet_counters())
     counts = as_rows(
         hours,
-        ["hour", "section", "label", "found"],
-        [["hour.start", f"'{section}'", f"'{label}'", f"{section}_{label}"] for section, label in FACETS],
+        [*by, "hour", "section", "label", "found"],
+        [
+            [*by, "hour.start", f"'{section}'", f"'{label}'", f"{section}_{label}"]
+            for section, label in FACETS
+        ],
     ).where("found > 0")
-    # one row per facet and hour
-    back = Window.partitionBy("section", "label").orderBy(F.desc("hour"))
+    # one row per facet, key and hour
+    back = Window.partitionBy(*by, "section", "label").orderBy(F.desc("hour"))
     return (
         counts.withColumn("reached", F.sum("found").over(back)).where(F.col("reached") >= n)
-        .groupBy("section", "label").agg(F.max("hour").alias("since"))
+        .groupBy(*by, "section", "label").agg(F.max("hour").alias("since"))
     )
 
 
-def recent_facet_rows(visible, n=FACET_SIZE):
+def _recent_rows(visible, n):
     """The facet rows that can be among the n newest of their facet.
 
     The starts, one per facet, become literals: the scan skips what is older than all of them,
@@ -104,9 +102,20 @@ def recent_facet_rows(visible, n=FACET_SIZE):
     return facet_rows(visible, starts=starts)
 
 
-def latest_per_facet(visible, n=FACET_SIZE, by=()):
+def _recent_rows_by(visible, n, by, broadcast_bytes=None):
+    """The same per key, by a join with the starts; with too many keys for that, all rows."""
+    rows = facet_rows(visible, list(dict.fromkeys([*_CARRIED, *by])))
+    starts, small = measured_copy(facet_starts(visible, n, by), broadcast_bytes)
+    if not small:
+        return rows
+    dated = rows.join(F.broadcast(starts), [*by, "section", "label"], "left")
+    return dated.where("since IS NULL OR dt_stamp >= since").select(*rows.columns)
+
+
+def latest_per_facet(visible, n=FACET_SIZE, by=(), broadcast_bytes=None):
     """The n newest messages per facet (and key), newest first as rank 1."""
-    rows = facet_rows(visible, list(dict.fromkeys([*_CARRIED, *by]))) if by else recent_facet_rows(visible, n)
+    by = list(by)
+    rows = _recent_rows_by(visible, n, by, broadcast_bytes) if by else _recent_rows(visible, n)
     return newest(rows, [*by, "section", "label"], n)
 
 

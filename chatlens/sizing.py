@@ -33,11 +33,17 @@ def is_small(df, broadcast_bytes=None):
     return _fits(df.agg(_total_width(df.schema)).first()["bytes"], broadcast_bytes)
 
 
-def broadcast_if_small(df, broadcast_bytes=None):
-    """df with a broadcast hint if it fits, else for a shuffle join.
+def measured_copy(df, broadcast_bytes=None):
+    """df written to the shared folder, and whether it fits a broadcast.
 
-    df is computed once: it is written to the shared folder and measured on the way.
+    df is computed once: its width is summed up while it is written.
     """
     seen = Observation()
     copy = materialise(df.observe(seen, _total_width(df.schema)), "list")
-    return F.broadcast(copy) if _fits(seen.get["bytes"], broadcast_bytes) else copy
+    return copy, _fits(seen.get["bytes"], broadcast_bytes)
+
+
+def broadcast_if_small(df, broadcast_bytes=None):
+    """A copy of df with a broadcast hint if it fits, else for a shuffle join."""
+    copy, small = measured_copy(df, broadcast_bytes)
+    return F.broadcast(copy) if small else copy

@@ -48,12 +48,14 @@ def test_latest_per_facet_by_brute_force(spark, n, hot_hour):
 
 def test_latest_per_facet_and_video(spark):
     rows, df = _random_messages(spark, 300, 5)
-    got = {}
-    for r in facets.latest_per_facet(df.repartition(5), 4, ["vid_id"]).orderBy("rank").collect():
-        got.setdefault((r["vid_id"], r["section"], r["label"]), []).append(r["id"])
-    for video in ("hot", "cold"):
-        for key, ids in _expected(rows, 4, video).items():
-            assert got.get((video, *key), []) == ids
+    for broadcast_bytes in (0, None):
+        got = {}
+        latest = facets.latest_per_facet(df.repartition(5), 4, ["vid_id"], broadcast_bytes)
+        for r in latest.orderBy("rank").collect():
+            got.setdefault((r["vid_id"], r["section"], r["label"]), []).append(r["id"])
+        for video in ("hot", "cold"):
+            for key, ids in _expected(rows, 4, video).items():
+                assert got.get((video, *key), []) == ids
 
 
 def test_empty_facets_show_up(spark):
