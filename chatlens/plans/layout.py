@@ -21,13 +21,13 @@ STORED = T.StructType([
 
 
 def block_of(column="id", block_rows=BLOCK_ROWS):
-    return F.floor(F.col(column) / F.lit(block_rows)).cast("long")
+    return F.expr(f"{column} div {block_rows}").alias("id_block")
 
 
 def _laid_out(messages, block_rows):
     missing = {f.name: F.lit(None).cast(f.dataType) for f in MESSAGES.fields if f.name not in messages.columns}
     rows = messages.withColumns(missing).select(
-        *MESSAGES.names, F.length("message").alias("n_chars"), block_of("id", block_rows).alias("id_block")
+        *MESSAGES.names, F.length("message").alias("n_chars"), block_of("id", block_rows)
     )
     # rebalance: files of even size per block, a large block over several tasks
     return rows.hint("rebalance", "id_block").sortWithinPartitions("id_block", "enriched", "dt_stamp")
