@@ -13,7 +13,6 @@ from chatlens.schema import MESSAGES
 from chatlens.session import scratch_path
 from chatlens.sources import derived
 from chatlens.sources.tables import legacy_frame, registry_listing
-from chatlens.streaming import batches
 from chatlens.streaming import enrichment as stream_labels
 from chatlens.streaming import ingest as stream_in
 from chatlens.streaming import timeline as stream_time

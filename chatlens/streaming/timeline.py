@@ -8,7 +8,6 @@ than that are not counted.
 from pyspark.sql import functions as F
 
 from chatlens.operators.timeline import stance_buckets, unfold
-from chatlens.schema import STANCES
 from chatlens.streaming.batches import latest, prepare, read_batches, start, write_batch
 
 

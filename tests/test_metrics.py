@@ -9,7 +9,7 @@ from rows import NOON, messages
 
 from chatlens.functions.rounding import tenths_exact, tenths_scaled
 from chatlens.operators import metrics, timeline
-from chatlens.plans.dashboard import dashboard_overview
+from chatlens.plans.dashboard import dashboard_overview, panels
 
 
 def test_sentiment_spellings_merge_and_na_drops(spark):
@@ -98,3 +98,14 @@ def test_overview_of_nothing_labelled(spark):
     df = messages(spark, {"enriched": False})
     rows = [(r["panel"], r["item"], r["n"]) for r in dashboard_overview(df).collect()]
     assert rows == [("corpus", "not_enriched", 1)]
+
+
+def test_panels(spark):
+    df = messages(spark, {"sg": "Favor", "troll": True}, {"enriched": False}, {"delete": True})
+    shown = {name: panel.collect() for name, panel in panels(df).items()}
+    assert [r["n"] for r in shown["sentiment"]] == [1] and tuple(shown["counts"][0]) == (1, 1)
+    assert {r["flag"]: r["text"] for r in shown["flags"]} == {"troll": "1 of 1 (100.0%)", "toxic": "Not Applicable"}
+    assert {(r["stance"], r["favor"]) for r in shown["timeline"]} == {
+        ("sg", 1), ("mil", 0), ("rnr", 0), ("societal_impact", 0)}
+    assert [r["text"] for r in shown["languages"]] == ["1 (100.0%)"]
+    assert {r["stance"]: r["favor"] for r in shown["stances"]}["sg"] == 1
