@@ -8,7 +8,8 @@ from chatlens.operators.metrics import as_rows
 from chatlens.schema import FACET_SIZE, FACETS, LABEL_TITLES, SECTION_COLUMNS, SECTION_TITLES
 from chatlens.sizing import measured_copy
 
-_CARRIED = ["id", "vid_id", "dt_stamp", "message"]
+_TEXT_ONLY = ["id", "dt_stamp", "message"]
+_LAYOUT_ONLY = ["n_chars", "id_block"]
 _SPREAD = 64
 PREAMBLE = "Summarise these chat messages and name their key themes.\n\nMessages:\n"
 
@@ -19,20 +20,27 @@ def facet_dimension(spark):
     return spark.createDataFrame(rows, "position int, section string, label string")
 
 
-def facet_rows(visible, carried=_CARRIED, starts=None):
+def _shown(visible, columns):
+    """The message columns to carry: all but those the table layout adds, unless given."""
+    return list(columns or [c for c in visible.columns if c not in _LAYOUT_ONLY])
+
+
+def facet_rows(visible, columns=None, starts=None):
     """One row per message and facet it belongs to, from a single scan.
 
     `starts` (facet -> time) leaves out messages older than their facet's start. The tests run
     on the unpivoted columns, where they stay short.
     """
-    labels = [F.col(column).alias(section) for section, column in SECTION_COLUMNS.items()]
+    carried = _shown(visible, columns)
+    labels = {f"_{section}": column for section, column in SECTION_COLUMNS.items()}
     wanted = []
     for section, label in FACETS:
-        test = f"section = '{section}' AND label = '{label}'"
+        test = f"_section = '_{section}' AND label = '{label}'"
         since = (starts or {}).get((section, label))
         wanted.append(f"{test} AND dt_stamp >= {_literal(since)}" if since else test)
-    flat = visible.select(*carried, *labels).unpivot(carried, list(SECTION_COLUMNS), "section", "label")
-    return flat.where(" OR ".join(wanted))
+    wide = visible.select(*carried, *[F.col(column).alias(name) for name, column in labels.items()])
+    flat = wide.unpivot(carried, list(labels), "_section", "label").where(" OR ".join(wanted))
+    return flat.select(F.substr("_section", F.lit(2)).alias("section"), "label", *carried)
 
 
 def _literal(time):
@@ -90,7 +98,7 @@ def facet_starts(visible, n=FACET_SIZE, by=()):
     )
 
 
-def _recent_rows(visible, n):
+def _recent_rows(visible, n, columns):
     """The facet rows that can be among the n newest of their facet.
 
     The starts, one per facet, become literals: the scan skips what is older than all of them,
@@ -99,12 +107,12 @@ def _recent_rows(visible, n):
     starts = {(r["section"], r["label"]): r["since"] for r in facet_starts(visible, n).collect()}
     if len(starts) == len(FACETS):
         visible = visible.where(f"dt_stamp >= {_literal(min(starts.values()))}")
-    return facet_rows(visible, starts=starts)
+    return facet_rows(visible, columns, starts)
 
 
-def _recent_rows_by(visible, n, by, broadcast_bytes=None):
+def _recent_rows_by(visible, n, by, columns, broadcast_bytes=None):
     """The same per key, by a join with the starts; with too many keys for that, all rows."""
-    rows = facet_rows(visible, list(dict.fromkeys([*_CARRIED, *by])))
+    rows = facet_rows(visible, list(dict.fromkeys([*_shown(visible, columns), *by])))
     starts, small = measured_copy(facet_starts(visible, n, by), broadcast_bytes)
     if not small:
         return rows
@@ -112,17 +120,23 @@ def _recent_rows_by(visible, n, by, broadcast_bytes=None):
     return dated.where("since IS NULL OR dt_stamp >= since").select(*rows.columns)
 
 
-def latest_per_facet(visible, n=FACET_SIZE, by=(), broadcast_bytes=None):
-    """The n newest messages per facet (and key), newest first as rank 1."""
+def latest_per_facet(visible, n=FACET_SIZE, by=(), columns=None, broadcast_bytes=None):
+    """The n newest messages per facet (and key), newest first as rank 1.
+
+    `columns` of the message (id and dt_stamp among them) limits what is carried along.
+    """
     by = list(by)
-    rows = _recent_rows_by(visible, n, by, broadcast_bytes) if by else _recent_rows(visible, n)
+    if by:
+        rows = _recent_rows_by(visible, n, by, columns, broadcast_bytes)
+    else:
+        rows = _recent_rows(visible, n, columns)
     return newest(rows, [*by, "section", "label"], n)
 
 
-def facet_messages(visible, n=FACET_SIZE):
+def facet_messages(visible, n=FACET_SIZE, columns=None):
     """One row per facet, empty ones included: count and the messages as an array, newest first."""
-    message = F.struct("rank", *_CARRIED)
-    found = latest_per_facet(visible, n).groupBy("section", "label").agg(
+    message = F.struct("rank", *_shown(visible, columns))
+    found = latest_per_facet(visible, n, columns=columns).groupBy("section", "label").agg(
         F.array_sort(F.collect_list(message)).alias("messages")  # at most n rows each
     )
     empty = F.array().cast(found.schema["messages"].dataType)
@@ -169,7 +183,7 @@ def corpus_of(facets, n=FACET_SIZE, preamble=PREAMBLE):
 
 
 def facet_corpus(visible, n=FACET_SIZE, preamble=PREAMBLE):
-    return corpus_of(facet_messages(visible, n), n, preamble)
+    return corpus_of(facet_messages(visible, n, _TEXT_ONLY), n, preamble)
 
 
 def key_terms(rows, k=10, min_chars=4, keys=("section", "label")):
@@ -185,5 +199,5 @@ def key_terms(rows, k=10, min_chars=4, keys=("section", "label")):
 
 
 def facet_key_terms(visible, n=FACET_SIZE, k=10):
-    return key_terms(latest_per_facet(visible, n), k)
+    return key_terms(latest_per_facet(visible, n, columns=_TEXT_ONLY), k)
 

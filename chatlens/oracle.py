@@ -106,7 +106,7 @@ def _ranked(source, keys=""):
         for section, label in FACETS
     )
     return f"""
-  SELECT {keys} section, label, id, vid_id, dt_stamp, message, row_number() OVER (
+  SELECT *, row_number() OVER (
     PARTITION BY {keys} section, label ORDER BY dt_stamp DESC NULLS LAST, id DESC) AS rank
   FROM ({branches})"""
 
@@ -366,15 +366,7 @@ WHERE vid_id IN (SELECT split_part(url, '=', 2) FROM registry WHERE status = 'st
     "dashboard_overview": _with(["visible"], _OVERVIEW),
     "latest_per_facet": _with(["latest"], "SELECT * FROM latest"),
     "latest_per_facet_by_video": _with(
-        ["visible"],
-        "SELECT section, label, id, vid_id, dt_stamp, message, rank FROM (SELECT *, row_number() OVER ("
-        "PARTITION BY vid_id, section, label ORDER BY dt_stamp DESC NULLS LAST, id DESC) AS rank FROM ("
-        + " UNION ALL ".join(
-            f"SELECT *, '{section}' AS section, '{label}' AS label FROM visible "
-            f"WHERE {SECTION_COLUMNS[section]} = '{label}'"
-            for section, label in FACETS
-        )
-        + ")) WHERE rank <= 30",
+        ["visible"], f"SELECT * FROM ({_ranked('visible', 'vid_id,')}) WHERE rank <= 30"
     ),
     "facet_sufficiency": _with(["visible"], _sufficiency("visible")),
     "facet_sufficiency_documents": _with(["visible_doc"], _sufficiency("visible_doc")),

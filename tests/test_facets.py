@@ -50,7 +50,7 @@ def test_latest_per_facet_and_video(spark):
     rows, df = _random_messages(spark, 300, 5)
     for broadcast_bytes in (0, None):
         got = {}
-        latest = facets.latest_per_facet(df.repartition(5), 4, ["vid_id"], broadcast_bytes)
+        latest = facets.latest_per_facet(df.repartition(5), 4, ["vid_id"], None, broadcast_bytes)
         for r in latest.orderBy("rank").collect():
             got.setdefault((r["vid_id"], r["section"], r["label"]), []).append(r["id"])
         for video in ("hot", "cold"):
@@ -58,6 +58,16 @@ def test_latest_per_facet_and_video(spark):
                 assert got.get((video, *key), []) == ids
 
 
+def test_whole_messages_are_carried(spark):
+    df = messages(spark, {"sg": "Favor", "senti": "Pos"}).selectExpr("*", "length(message) AS n_chars")
+    rows = facets.latest_per_facet(df).collect()
+    assert sorted(r["section"] for r in rows) == ["sentiment", "sg"]
+    assert set(rows[0].asDict()) == {*df.columns, "section", "label", "rank"} - {"n_chars"}
+    assert all((r["sg"], r["senti"], r["author"]) == ("Favor", "Pos", "a") for r in rows)
+    few = facets.latest_per_facet(df, columns=["id", "dt_stamp"])
+    assert set(few.columns) == {"section", "label", "id", "dt_stamp", "rank"}
+
+
 def test_empty_facets_show_up(spark):
     df = messages(spark, {"sg": "Favor"})
     rows = {(r["section"], r["label"]): (r["n"], len(r["messages"])) for r in facets.facet_messages(df).collect()}
