@@ -1,6 +1,11 @@
 """The operators of this subpackage as queries over the given tables."""
 
-from chatlens.llm import quality, toxicity
+import public_tokenizers
+
+from chatlens.llm import packing, quality, tokencounts, toxicity
+
+WORD_BPE = "word_bpe_49k.json"
+PIECES = "piece_bpe_32k.model"
 
 
 def _table(spark, sf_dir, name):
@@ -13,14 +18,24 @@ def op1_toxicity(spark, sf_dir):
     return toxicity.score(documents, model)
 
 
+def op6_token_counts(spark, sf_dir):
+    return tokencounts.token_counts(_table(spark, sf_dir, "documents"), public_tokenizers.path(PIECES))
+
+
 def op7_quality(spark, sf_dir):
     documents = _table(spark, sf_dir, "documents")
     model = quality.train(documents, quality.grade_of(_table(spark, sf_dir, "labels")))
     return quality.assess(documents, model)
 
 
+def op8_packing(spark, sf_dir):
+    return packing.pack(_table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_BPE))
+
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
+    "op6_token_counts": op6_token_counts,
     "op7_quality": op7_quality,
+    "op8_packing": op8_packing,
 }
 ORACLE = {}
