@@ -2,7 +2,7 @@
 
 import public_tokenizers
 
-from chatlens.llm import packing, quality, tokencounts, toxicity
+from chatlens.llm import jaccard, packing, quality, tokencounts, toxicity
 
 WORD_BPE = "word_bpe_49k.json"
 PIECES = "piece_bpe_32k.model"
@@ -18,6 +18,10 @@ def op1_toxicity(spark, sf_dir):
     return toxicity.score(documents, model)
 
 
+def op5_jaccard(spark, sf_dir):
+    return jaccard.components(_table(spark, sf_dir, "documents"))
+
+
 def op6_token_counts(spark, sf_dir):
     return tokencounts.token_counts(_table(spark, sf_dir, "documents"), public_tokenizers.path(PIECES))
 
@@ -34,6 +38,7 @@ def op8_packing(spark, sf_dir):
 
 QUERIES = {
     "op1_toxicity": op1_toxicity,
+    "op5_jaccard": op5_jaccard,
     "op6_token_counts": op6_token_counts,
     "op7_quality": op7_quality,
     "op8_packing": op8_packing,
