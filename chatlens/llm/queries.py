@@ -2,7 +2,7 @@
 
 import public_tokenizers
 
-from chatlens.llm import jaccard, packing, quality, tokencounts, toxicity
+from chatlens.llm import jaccard, packing, quality, substrings, suffixes, tokencounts, toxicity
 
 WORD_BPE = "word_bpe_49k.json"
 PIECES = "piece_bpe_32k.model"
@@ -18,6 +18,10 @@ def op1_toxicity(spark, sf_dir):
     return toxicity.score(documents, model)
 
 
+def op2_substrings(spark, sf_dir):
+    return substrings.dedup(_table(spark, sf_dir, "documents"), with_text=False)
+
+
 def op5_jaccard(spark, sf_dir):
     return jaccard.components(_table(spark, sf_dir, "documents"))
 
@@ -36,11 +40,17 @@ def op8_packing(spark, sf_dir):
     return packing.pack(_table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_BPE))
 
 
+def op9_suffixes(spark, sf_dir):
+    return suffixes.dedup(_table(spark, sf_dir, "documents"), with_bytes=False)
+
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
+    "op2_substrings": op2_substrings,
     "op5_jaccard": op5_jaccard,
     "op6_token_counts": op6_token_counts,
     "op7_quality": op7_quality,
     "op8_packing": op8_packing,
+    "op9_suffixes": op9_suffixes,
 }
 ORACLE = {}
