@@ -2,7 +2,7 @@
 
 import public_tokenizers
 
-from chatlens.llm import jaccard, packing, quality, substrings, suffixes, tokencounts, toxicity
+from chatlens.llm import decontamination, jaccard, packing, quality, secretscan, substrings, suffixes, tokencounts, toxicity
 
 WORD_BPE = "word_bpe_49k.json"
 PIECES = "piece_bpe_32k.model"
@@ -22,6 +22,11 @@ def op2_substrings(spark, sf_dir):
     return substrings.dedup(_table(spark, sf_dir, "documents"), with_text=False)
 
 
+def op3_decontamination(spark, sf_dir):
+    found = decontamination.overlaps(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return found.drop("key")
+
+
 def op5_jaccard(spark, sf_dir):
     return jaccard.components(_table(spark, sf_dir, "documents"))
 
@@ -44,13 +49,19 @@ def op9_suffixes(spark, sf_dir):
     return suffixes.dedup(_table(spark, sf_dir, "documents"), with_bytes=False)
 
 
+def op10_secret_scan(spark, sf_dir):
+    return secretscan.scan(_table(spark, sf_dir, "documents")).drop("key")
+
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_substrings": op2_substrings,
+    "op3_decontamination": op3_decontamination,
     "op5_jaccard": op5_jaccard,
     "op6_token_counts": op6_token_counts,
     "op7_quality": op7_quality,
     "op8_packing": op8_packing,
     "op9_suffixes": op9_suffixes,
+    "op10_secret_scan": op10_secret_scan,
 }
 ORACLE = {}
