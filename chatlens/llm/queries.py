@@ -1,8 +1,9 @@
 """The operators of this subpackage as queries over the given tables."""
 
 import public_tokenizers
+from pyspark.sql import functions as F
 
-from chatlens.llm import decontamination, jaccard, packing, quality, secretscan, substrings, suffixes, tokencounts, toxicity
+from chatlens.llm import decontamination, jaccard, neighbours, packing, quality, secretscan, substrings, suffixes, tokencounts, toxicity
 
 WORD_BPE = "word_bpe_49k.json"
 PIECES = "piece_bpe_32k.model"
@@ -27,6 +28,12 @@ def op3_decontamination(spark, sf_dir):
     return found.drop("key")
 
 
+def op4_neighbours(spark, sf_dir):
+    vectors = _table(spark, sf_dir, "embeddings")
+    queries = vectors.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    return neighbours.nearest(vectors, queries)
+
+
 def op5_jaccard(spark, sf_dir):
     return jaccard.components(_table(spark, sf_dir, "documents"))
 
@@ -57,6 +64,7 @@ QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_substrings": op2_substrings,
     "op3_decontamination": op3_decontamination,
+    "op4_neighbours": op4_neighbours,
     "op5_jaccard": op5_jaccard,
     "op6_token_counts": op6_token_counts,
     "op7_quality": op7_quality,
