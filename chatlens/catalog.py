@@ -8,17 +8,19 @@ from chatlens.operators import facets, filters, ingest, metrics, projections, qu
 from chatlens.operators import registry as reg
 from chatlens.operators import upsert
 from chatlens.plans.dashboard import dashboard_overview
-from chatlens.plans.runs import append_summaries, summary_run
+from chatlens.plans.layout import append_messages, apply_label_updates, apply_soft_delete, read_table
+from chatlens.plans.runs import append_summaries, correct_labels, summary_run
 from chatlens.schema import MESSAGES
 from chatlens.session import scratch_path
 from chatlens.sources import derived
-from chatlens.sources.tables import legacy_frame, registry_listing
+from chatlens.sources.tables import legacy_frame, read_messages, registry_listing, rejected_lines
 from chatlens.streaming import enrichment as stream_labels
 from chatlens.streaming import ingest as stream_in
 from chatlens.streaming import timeline as stream_time
 
 AS_OF = "2024-02-01 00:00:00"
 BACKLOG_BATCH = 100
+STORED_BLOCK = 5_000
 
 
 def _on_live(operator):
@@ -72,12 +74,23 @@ def clock(spark, sf):
     return events.select("event_id", local_clock(F.col("ts")).alias("clock"))
 
 
+def _spelled(messages, kind):
+    """Whole messages as structs of text, which every engine spells alike."""
+    return F.transform(messages, lambda m: F.struct(*[m[f.name].cast("string").alias(f.name) for f in kind.fields]))
+
+
 def facet_nested(spark, sf):
     nested = facets.facet_nested(filters.visible_messages(derived.live(spark, sf)))
-    shown = F.transform_values("breakdown", lambda _, ms: F.transform(
-        ms, lambda m: F.struct(m["rank"].alias("rank"), m["id"].alias("id"), m["message"].alias("message"))
-    ))
-    return nested.select("section", F.to_json(shown).alias("breakdown"))
+    kind = nested.schema["breakdown"].dataType.valueType.elementType
+    shown = F.transform_values("breakdown", lambda _, messages: _spelled(messages, kind))
+    return nested.select("section", F.to_json(shown, {"ignoreNullFields": "false"}).alias("breakdown"))
+
+
+def latest_per_facet_zoned(spark, sf):
+    """Times with a zone; shown without it, so that results compare."""
+    visible = filters.visible_messages(derived.live(spark, sf))
+    latest = facets.latest_per_facet(visible.withColumn("dt_stamp", F.col("dt_stamp").cast("timestamp")))
+    return latest.withColumn("dt_stamp", F.col("dt_stamp").cast("timestamp_ntz"))
 
 
 def facet_summaries(spark, sf):
@@ -91,8 +104,11 @@ def summary_records(spark, sf):
     visible = filters.visible_messages(derived.docmsg(spark, sf))
     path = scratch_path(spark, "summaries")
     append_summaries(summary_run(visible, AS_OF), path)
-    ids = F.array_join(F.transform("messages", lambda m: m["id"].cast("string")), ",")
-    return spark.read.parquet(path).select("generate_dt", "section", "label", "n", ids.alias("ids"), "summary")
+    records = spark.read.parquet(path)
+    messages = _spelled("messages", records.schema["messages"].dataType.elementType)
+    return records.select(
+        "generate_dt", "section", "label", "n",
+        F.to_json(messages, {"ignoreNullFields": "false"}).alias("messages"), "summary")
 
 
 def enrichment_upsert(spark, sf):
@@ -107,6 +123,60 @@ def enrichment_update_only(spark, sf):
     )
 
 
+def _stored(spark, sf):
+    """`live` as a table on disk, in small blocks."""
+    path = scratch_path(spark, "table")
+    append_messages(derived.live(spark, sf), path, block_rows=STORED_BLOCK)
+    return path
+
+
+def _shown_table(spark, sf, path, *more):
+    return read_table(spark, path).select(*derived.live(spark, sf).columns, *more)
+
+
+def stored_label_update(spark, sf):
+    path = _stored(spark, sf)
+    apply_label_updates(spark, path, derived.label_updates(spark, sf), AS_OF, derived.UPDATE_ORDER)
+    return _shown_table(spark, sf, path, "dt_enriched")
+
+
+def stored_soft_delete(spark, sf):
+    path = _stored(spark, sf)
+    for _ in range(2):  # the second changes nothing
+        apply_soft_delete(spark, path, derived.drop_list(spark, sf))
+    return _shown_table(spark, sf, path)
+
+
+def label_correction(spark, sf):
+    """A reviewer's pass, written back and read again."""
+    path = _stored(spark, sf)
+    correct_labels(spark, path, derived.live(spark, sf), derived.edited(spark, sf), AS_OF)
+    return _shown_table(spark, sf, path, "dt_enriched")
+
+
+def _json_lines(spark, sf):
+    """`live` as JSON lines, and a broken line for every tenth message."""
+    path = scratch_path(spark, "lines")
+    live = derived.live(spark, sf)
+    micros = {"timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
+    good = live.select(F.to_json(F.struct(*live.columns), micros).alias("value"))
+    broken = live.where("id % 10 = 0").select(F.concat(F.lit('{"id": '), "id", F.lit(', "vid_id"')).alias("value"))
+    good.unionByName(broken).write.text(path)
+    return path
+
+
+def json_lines_messages(spark, sf):
+    return read_messages(spark, _json_lines(spark, sf), "json").select(*derived.live(spark, sf).columns)
+
+
+def json_lines_rejected(spark, sf):
+    return rejected_lines(spark, _json_lines(spark, sf))
+
+
+def _partly_named(spark, sf):
+    return derived.incoming(spark, sf).withColumn("msg_id", F.expr("CASE WHEN length(message) % 7 <> 0 THEN msg_id END"))
+
+
 def uniqueness_violations(spark, sf):
     batch = derived.incoming(spark, sf).withColumnRenamed("arrival", "id")
     return quality.uniqueness_violations(batch)
@@ -167,6 +237,9 @@ QUERIES = {
     "registry_set_status": lambda s, d: reg.registry_set_status(
         derived.registry(s, d), derived.drop_list(s, d), "start"
     ),
+    "registry_stop": lambda s, d: reg.registry_set_status(
+        derived.registry(s, d), derived.drop_list(s, d), "stopped"
+    ),
     "registry_delete": lambda s, d: reg.registry_delete(derived.registry(s, d), derived.drop_list(s, d)),
     "url_video_key": url_video_key,
     # message views
@@ -178,8 +251,8 @@ QUERIES = {
         derived.live(s, d), derived.drop_list(s, d)
     ),
     "select_by_key": select_by_key,
-    "domain_violations": _on_live(filters.domain_violations),
-    "domain_violations_documents": lambda s, d: filters.domain_violations(derived.docmsg(s, d)),
+    "domain_violations": _on_visible(filters.domain_violations),
+    "domain_violations_documents": _on_visible(filters.domain_violations, derived.docmsg),
     "display_messages": _on_visible(projections.display_messages),
     "editor_messages": _on_visible(projections.editor_messages),
     "edit_payload": edit_payload,
@@ -203,6 +276,8 @@ QUERIES = {
     # facets and summaries
     "latest_per_facet": _on_visible(facets.latest_per_facet),
     "latest_per_facet_by_video": _on_visible(lambda v: facets.latest_per_facet(v, by=["vid_id"])),
+    "latest_per_facet_100": _on_visible(lambda v: facets.latest_per_facet(v, 100)),
+    "latest_per_facet_zoned": latest_per_facet_zoned,
     "facet_sufficiency": _on_visible(facets.facet_sufficiency),
     "facet_sufficiency_documents": _on_visible(facets.facet_sufficiency, derived.docmsg),
     "facet_nested": facet_nested,
@@ -219,6 +294,12 @@ QUERIES = {
     "delete_counts": lambda s, d: reg.delete_counts(
         derived.registry(s, d), derived.live(s, d), derived.drop_list(s, d)
     ),
+    "stored_label_update": stored_label_update,
+    "stored_soft_delete": stored_soft_delete,
+    "label_correction": label_correction,
+    "json_lines_messages": json_lines_messages,
+    "json_lines_rejected": json_lines_rejected,
+    "ingest_rejects": lambda s, d: ingest.ingest_rejects(_partly_named(s, d)),
     "ingest_new_messages": ingest_new_messages,
     "ingest_counts": ingest_counts,
     "sequence_ids": sequence_ids,

@@ -2,10 +2,11 @@
 
 from pyspark.sql import Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from chatlens.functions.text import terms
 from chatlens.operators.metrics import as_rows
-from chatlens.schema import FACET_SIZE, FACETS, LABEL_TITLES, SECTION_COLUMNS, SECTION_TITLES
+from chatlens.schema import FACET_SIZE, FACETS, LABEL_TITLES, SECTION_COLUMNS, SECTION_TITLES, SHORT_NOTE
 from chatlens.sizing import measured_copy
 
 _TEXT_ONLY = ["id", "dt_stamp", "message"]
@@ -28,7 +29,7 @@ def _shown(visible, columns):
 def facet_rows(visible, columns=None, starts=None):
     """One row per message and facet it belongs to, from a single scan.
 
-    `starts` (facet -> time) leaves out messages older than their facet's start. The tests run
+    `starts` (facet -> SQL literal) leaves out messages older than their facet's start. The tests run
     on the unpivoted columns, where they stay short.
     """
     carried = _shown(visible, columns)
@@ -37,14 +38,17 @@ def facet_rows(visible, columns=None, starts=None):
     for section, label in FACETS:
         test = f"_section = '_{section}' AND label = '{label}'"
         since = (starts or {}).get((section, label))
-        wanted.append(f"{test} AND dt_stamp >= {_literal(since)}" if since else test)
+        wanted.append(f"{test} AND dt_stamp >= {since}" if since else test)
     wide = visible.select(*carried, *[F.col(column).alias(name) for name, column in labels.items()])
     flat = wide.unpivot(carried, list(labels), "_section", "label").where(" OR ".join(wanted))
     return flat.select(F.substr("_section", F.lit(2)).alias("section"), "label", *carried)
 
 
-def _literal(time):
-    return f"timestamp_ntz'{time.isoformat(sep=' ')}'"
+def _time_literal(visible):
+    """An expression that writes a time as SQL of its own type, whatever the zones of driver and session."""
+    if isinstance(visible.schema["dt_stamp"].dataType, T.TimestampType):
+        return lambda c: F.concat(F.lit("timestamp_micros("), F.unix_micros(c).cast("string"), F.lit(")"))
+    return lambda c: F.concat(F.lit("timestamp_ntz'"), F.col(c).cast("string"), F.lit("'"))
 
 
 def newest(rows, keys, n):
@@ -101,36 +105,40 @@ def facet_starts(visible, n=FACET_SIZE, by=()):
 def _recent_rows(visible, n, columns):
     """The facet rows that can be among the n newest of their facet.
 
-    The starts, one per facet, become literals: the scan skips what is older than all of them,
-    and of each facet only the newest hours are left to be sorted.
+    The starts, one per facet, become literals: the scan skips what is older than all of them and
+    carries no label of a facet that has fewer than n messages; of the others only the newest
+    hours are left to be sorted.
     """
-    starts = {(r["section"], r["label"]): r["since"] for r in facet_starts(visible, n).collect()}
-    if len(starts) == len(FACETS):
-        visible = visible.where(f"dt_stamp >= {_literal(min(starts.values()))}")
+    literal = _time_literal(visible)
+    found = facet_starts(visible, n).orderBy("since").select("section", "label", literal("since").alias("since")).collect()
+    starts = {(r["section"], r["label"]): r["since"] for r in found}
+    if starts:
+        short = [f"{SECTION_COLUMNS[s]} = '{v}'" for s, v in FACETS if (s, v) not in starts]
+        visible = visible.where(" OR ".join([f"dt_stamp >= {found[0]['since']}", *short]))
     return facet_rows(visible, columns, starts)
 
 
-def _recent_rows_by(visible, n, by, columns, broadcast_bytes=None):
-    """The same per key, by a join with the starts; with too many keys for that, all rows."""
-    rows = facet_rows(visible, list(dict.fromkeys([*_shown(visible, columns), *by])))
-    starts, small = measured_copy(facet_starts(visible, n, by), broadcast_bytes)
-    if not small:
-        return rows
-    dated = rows.join(F.broadcast(starts), [*by, "section", "label"], "left")
-    return dated.where("since IS NULL OR dt_stamp >= since").select(*rows.columns)
+def _newest_by(visible, n, by, columns, broadcast_bytes=None):
+    """The same per key, in two steps: ranks from keys, times and ids alone, then the winners' columns.
+
+    The winners are at most n per facet and key. Where they fit a broadcast the messages aren't shuffled.
+    """
+    keys = list(dict.fromkeys([*by, "id", "dt_stamp"]))
+    ranked = newest(facet_rows(visible.select(*keys, *SECTION_COLUMNS.values()), keys), [*by, "section", "label"], n)
+    winners, small = measured_copy(ranked.select("section", "label", "rank", "id"), broadcast_bytes)
+    carried = list(dict.fromkeys([*_shown(visible, columns), *by]))
+    rows = visible.select(*carried).join(F.broadcast(winners) if small else winners, "id")
+    return rows.select("section", "label", *carried, "rank")
 
 
 def latest_per_facet(visible, n=FACET_SIZE, by=(), columns=None, broadcast_bytes=None):
     """The n newest messages per facet (and key), newest first as rank 1.
 
-    `columns` of the message (id and dt_stamp among them) limits what is carried along.
+    `columns` of the message (id and dt_stamp among them) limits what is carried along; ids are unique.
     """
-    by = list(by)
     if by:
-        rows = _recent_rows_by(visible, n, by, columns, broadcast_bytes)
-    else:
-        rows = _recent_rows(visible, n, columns)
-    return newest(rows, [*by, "section", "label"], n)
+        return _newest_by(visible, n, list(by), columns, broadcast_bytes)
+    return newest(_recent_rows(visible, n, columns), ["section", "label"], n)
 
 
 def facet_messages(visible, n=FACET_SIZE, columns=None):
@@ -169,7 +177,7 @@ def facet_sufficiency(visible, n=FACET_SIZE):
     return found.selectExpr(
         "section", "label", "title", "found", f"found >= {n} AS sufficient",
         f"CASE WHEN found < {n} THEN concat("
-        "'Insufficient messages for ', label_title, ', only ', found, ' messages found.') END AS note",
+        f"{', '.join(repr(p) if p[0] == ' ' or p[-1] == ' ' else p for p in SHORT_NOTE)}) END AS note",
     )
 
 
@@ -186,11 +194,11 @@ def facet_corpus(visible, n=FACET_SIZE, preamble=PREAMBLE):
     return corpus_of(facet_messages(visible, n, _TEXT_ONLY), n, preamble)
 
 
-def key_terms(rows, k=10, min_chars=4, keys=("section", "label")):
+def key_terms(rows, k=10, keys=("section", "label")):
     """The k most used words per key over whole messages; equal counts go by the word."""
     counts = (
         rows.select(*keys, F.explode(terms("message")).alias("term"))
-        .where(F.length("term") >= min_chars)
+        .where("term <> ''")
         .groupBy(*keys, "term").agg(F.count("*").alias("n"))
     )
     order = Window.partitionBy(*keys).orderBy(F.desc("n"), "term")

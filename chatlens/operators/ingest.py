@@ -64,22 +64,28 @@ def sequence_ids(rows, order, start=0, name="id"):
 def ingest_new_messages(stored, incoming, order=("arrival", "msg_id"), last_id=None, broadcast_bytes=None):
     """The messages of a batch that are not stored yet, numbered on from the last id.
 
-    The first copy of a msg_id in the batch wins, stored ones are skipped; msg_id must not be
-    NULL. Append the result to the message table.
+    The first copy of a msg_id in the batch wins, stored ones are skipped. Rows without a msg_id
+    can't be told apart and are left to `ingest_rejects`. Append the result to the message table.
     """
     if last_id is None:
         last_id = stored.agg(F.coalesce(F.max("id"), F.lit(0)).alias("last")).first()["last"]
     wanted = list(dict.fromkeys([*SUPPLIED, *order]))
-    batch = incoming.select(*wanted)
+    batch = incoming.select(*wanted).where("msg_id IS NOT NULL")
     small = is_small(batch.select("msg_id"), broadcast_bytes)
     fresh = not_stored(first_wins(batch, "msg_id", order), stored, "msg_id", small)
     numbered = sequence_ids(fresh, list(order), last_id)
     return numbered.select("id", *SUPPLIED).withColumn("enriched", F.lit(False))
 
 
+def ingest_rejects(incoming):
+    """The messages of a batch that can't be stored: those without a msg_id."""
+    return incoming.where("msg_id IS NULL")
+
+
 def ingest_counts(incoming, inserted):
-    """How many messages of a batch were added, and how many were repeats."""
+    """How many messages of a batch were added, how many were rejected, and how many were repeats."""
     added = inserted.agg(F.count("*").alias("inserted"))
-    return incoming.agg(F.count("*").alias("received")).withColumn("inserted", added.scalar()).withColumn(
-        "skipped", F.col("received") - F.col("inserted")
+    received = incoming.agg(F.count("*").alias("received"), F.count_if(F.isnull("msg_id")).alias("rejected"))
+    return received.withColumn("inserted", added.scalar()).select(
+        "received", "inserted", (F.col("received") - F.col("inserted") - F.col("rejected")).alias("skipped"), "rejected"
     )

@@ -11,11 +11,15 @@ def _url_list(urls, broadcast_bytes=None):
     return broadcast_if_small(urls.select("url").distinct(), broadcast_bytes)
 
 
-def registry_upsert(registry, urls, platform="YouTube", broadcast_bytes=None):
-    """Add URLs, or restart those already listed. A platform column in urls is kept."""
+def registry_upsert(registry, urls, platform="YouTube", broadcast_bytes=None, order=()):
+    """Add URLs, or restart those already listed. A platform column in urls is kept.
+
+    Of several platforms for a URL the last in `order` wins; without an order the last by name.
+    """
     given = F.coalesce("platform", F.lit(platform)) if "platform" in urls.columns else F.lit(platform)
     changes = (
-        urls.withColumn("platform", given).groupBy("url").agg(F.max("platform").alias("platform"))
+        urls.withColumn("platform", given).groupBy("url")
+        .agg(F.max_by("platform", F.struct(*order, "platform")).alias("platform"))
         .select("url", F.struct("platform", F.lit("start").alias("status")).alias("_new"))
     )
     return keyed_upsert(registry, changes, "url", small=is_small(urls, broadcast_bytes))

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from chatlens.functions.time import moment
 from chatlens.operators.facets import corpus_of, key_terms
-from chatlens.schema import FACET_SIZE
+from chatlens.schema import FACET_SIZE, FACETS
 
 
 def summarise(corpus, fn, column="corpus"):
@@ -35,7 +35,8 @@ def term_summaries(facets, n=FACET_SIZE, k=5):
 
 def model_summaries(facets, fn, n=FACET_SIZE):
     """Summary text by a user's function, for every facet that has n messages."""
-    return summarise(corpus_of(facets, n), fn).select("section", "label", "summary")
+    spread = corpus_of(facets, n).repartition(len(FACETS), "section", "label")  # slow calls run side by side
+    return summarise(spread, fn).select("section", "label", "summary")
 
 
 def summary_records(facets, summaries, generated_at):

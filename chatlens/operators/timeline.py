@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from chatlens.functions.time import bucket_minutes, bucket_of_minute
 from chatlens.operators.metrics import as_rows
 from chatlens.schema import STANCES
+from chatlens.session import materialise
 
 
 def _present(df):
@@ -78,7 +79,8 @@ def stance_timeline_adaptive(visible, by=()):
         span = F.max("last_at").over(w) - F.min("first_at").over(w)
         width = bucket_minutes(span)
     else:
-        ends = timed.agg(F.min("dt_stamp").alias("first_at"), F.max("dt_stamp").alias("last_at"))
+        minutes = materialise(minutes, "minutes")  # one row a minute, read twice; the messages are read once
+        ends = minutes.agg(F.min("first_at").alias("first_at"), F.max("last_at").alias("last_at"))
         width = ends.select(bucket_minutes(F.col("last_at") - F.col("first_at")).alias("w")).scalar()
     merged = (
         minutes.withColumn("width", width)

@@ -3,8 +3,8 @@
 from pyspark.sql import functions as F
 
 from chatlens.functions.time import moment
-from chatlens.schema import LABELS
-from chatlens.sizing import is_small
+from chatlens.schema import FLAGS, LABELS
+from chatlens.sizing import measured_copy
 
 
 def last_wins(changes, key, columns, order):
@@ -17,9 +17,11 @@ def last_wins(changes, key, columns, order):
     )
 
 
-def _overwrite(rows, state_fields, columns):
-    """Matched rows take every changed column, explicit NULLs included."""
+def _overwrite(state_fields, columns, stale):
+    """Matched rows take every changed column, explicit NULLs included, unless the change is stale."""
     hit = F.col("_new").isNotNull()
+    if stale is not None:
+        hit = hit & ~F.coalesce(stale, F.lit(False))
     return [
         F.when(hit, F.col(f"_new.{name}").cast(kind)).otherwise(F.col(name)).alias(name)
         if name in columns else F.col(name)
@@ -27,24 +29,27 @@ def _overwrite(rows, state_fields, columns):
     ]
 
 
-def keyed_upsert(state, changes, key, insert_missing=True, small=False):
+def keyed_upsert(state, changes, key, insert_missing=True, small=False, stale=None, hidden=()):
     """Overwrite matching rows of state and add the unmatched changes.
 
+    `stale`, an expression over a row and its `_new`, keeps a matched row; `hidden` names values of
+    `_new` that only it reads.
+
     changes: one row per key, its values in the struct `_new`. With `small` the changes are
     broadcast and the state is not shuffled: unmatched keys then come from a second scan that
     reads only the key column. Otherwise one full outer join on the key.
     """
-    columns = changes.schema["_new"].dataType.names
+    columns = [c for c in changes.schema["_new"].dataType.names if c not in hidden]
     state = state.withColumns({
         f.name: F.lit(None).cast(f.dataType)
-        for f in changes.schema["_new"].dataType.fields if f.name not in state.columns
+        for f in changes.schema["_new"].dataType.fields if f.name in columns and f.name not in state.columns
     })
     fields = [(f.name, f.dataType) for f in state.schema.fields]
     if not small:
         joined = state.join(changes, key, "full_outer" if insert_missing else "left")
-        return joined.select(_overwrite(joined, fields, columns))
+        return joined.select(_overwrite(fields, columns, stale))
     joined = state.join(F.broadcast(changes), key, "left")
-    updated = joined.select(_overwrite(joined, fields, columns))
+    updated = joined.select(_overwrite(fields, columns, stale))
     if not insert_missing:
         return updated
     known = state.select(key).join(F.broadcast(changes.select(key)), key, "left_semi")
@@ -57,21 +62,26 @@ def keyed_upsert(state, changes, key, insert_missing=True, small=False):
 
 
 def enrichment_upsert(
-    messages, updates, as_of=None, order=("seq",), insert_missing=True, broadcast_bytes=None
+    messages, updates, as_of=None, order=("seq",), insert_missing=True, broadcast_bytes=None, written=None
 ):
     """Write labels back by message id.
 
     The last update of an id wins, an explicit NULL overwrites, unknown ids become partial
     rows, and matched rows are marked labelled. `as_of` (a time) stamps
-    dt_enriched; without it the stamp is left alone.
+    dt_enriched; without it the stamp is left alone. `written` names a time in the updates: a row
+    that was labelled later than that keeps its labels.
+
+    The updates are collapsed to one row per id, written and measured once.
     """
     fixed = {"enriched": F.lit(True)}
     if as_of is not None:
         fixed["dt_enriched"] = moment(as_of)
     labels = [name for name in LABELS if name in updates.columns]
-    small = is_small(updates.select("id", *labels, *order), broadcast_bytes)
-    changes = last_wins(updates.withColumns(fixed), "id", [*labels, *fixed], order)
-    return keyed_upsert(messages, changes, "id", insert_missing, small)
+    hidden = [written] if written else []
+    stale = F.col("dt_enriched") > F.col(f"_new.{written}") if written else None
+    collapsed = last_wins(updates.withColumns(fixed), "id", [*labels, *fixed, *hidden], order)
+    changes, small = measured_copy(collapsed, broadcast_bytes)
+    return keyed_upsert(messages, changes, "id", insert_missing, small, stale, hidden)
 
 
 def enrichment_update_only(messages, updates, order=("seq",), broadcast_bytes=None):
@@ -80,9 +90,13 @@ def enrichment_update_only(messages, updates, order=("seq",), broadcast_bytes=No
 
 
 def edit_diff(original, edited, key="id", columns=None):
-    """Edited rows that differ from the original in any editable column; NULL equals NULL."""
+    """Edited rows that differ from the original in any editable column.
+
+    NULL equals NULL, and a missing flag equals false, as both are shown unticked.
+    """
     columns = [c for c in (columns or LABELS) if c in original.columns and c in edited.columns]
-    before = original.select(key, F.struct(*columns).alias("_before"))
+    shown = [F.coalesce(c, F.lit(False)).alias(c) if c in FLAGS else F.col(c) for c in columns]
+    before = original.select(key, F.struct(*shown).alias("_before"))
     after = edited.select(key, *columns)
-    same = F.struct(*columns).eqNullSafe(F.col("_before"))
+    same = F.struct(*shown).eqNullSafe(F.col("_before"))
     return after.join(before, key).where(~same).select(key, *columns)

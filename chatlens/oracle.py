@@ -123,7 +123,7 @@ def _terms(k):
         SELECT section, label,
           unnest(regexp_split_to_array(lower(message), '[^\\p{{L}}\\p{{M}}]+')) AS term
         FROM latest_doc)
-      WHERE length(term) >= 4 GROUP BY ALL))
+      WHERE term <> '' GROUP BY ALL))
   WHERE rank <= {k}"""
 
 
@@ -249,7 +249,10 @@ _MESSAGE_COLUMNS = [
 ]
 
 
-def _upsert(join, stamp):
+_SPELLED = "struct_pack(" + ", ".join(f'"{c}" := "{c}"::VARCHAR' for c in ["rank", *_MESSAGE_COLUMNS]) + ")"
+
+
+def _upsert(join, stamp, source="final_updates"):
     columns = []
     for c in _MESSAGE_COLUMNS:
         if c == "id":
@@ -262,11 +265,14 @@ def _upsert(join, stamp):
             columns.append(f't."{c}"')
     if stamp:
         columns.append(f"CASE WHEN u.id IS NOT NULL THEN {AS_OF} END AS dt_enriched")
-    return f"SELECT {', '.join(columns)} FROM live t {join} JOIN final_updates u ON t.id = u.id"
+    return f"SELECT {', '.join(columns)} FROM live t {join} JOIN {source} u ON t.id = u.id"
 
 
 def _differs():
-    return " OR ".join(f"e.{c} IS DISTINCT FROM o.{c}" for c in LABELS)
+    def shown(c):
+        return f"coalesce({c}, false)" if c.endswith(("troll", "toxic")) else c
+
+    return " OR ".join(f"{shown('e.' + c)} IS DISTINCT FROM {shown('o.' + c)}" for c in LABELS)
 
 
 _DISPLAY = """id AS "ID", vid_id AS "Video Id", author AS "Author", dt_stamp AS "Create DateTime",
@@ -280,10 +286,18 @@ _LEGACY = """id AS "ID", vid_id AS "Video Id", author AS "Author", author_id AS
   coalesce(troll, false) AS "Troll", coalesce(toxic, false) AS "Toxic", senti AS "Sentiment" """
 
 _FRESH_COUNTS = """SELECT (SELECT count(*) FROM incoming) AS received, count(*) AS inserted,
-  (SELECT count(*) FROM incoming) - count(*) AS skipped FROM fresh"""
+  (SELECT count(*) FROM incoming) - count(*) - (SELECT count(*) FROM incoming WHERE msg_id IS NULL) AS skipped,
+  (SELECT count(*) FROM incoming WHERE msg_id IS NULL) AS rejected FROM fresh"""
 
 _MODIFIED = 'count(*) FILTER (NOT coalesce("delete", false))'
 
+_SOFT_DELETE = """SELECT * REPLACE (
+  CASE WHEN vid_id IN (SELECT vid_id FROM drop_keys) THEN true ELSE "delete" END AS "delete") FROM live"""
+
+_EDITS = (
+    f"SELECT e.id, {', '.join('e.' + c for c in LABELS)} FROM edited e JOIN live o ON e.id = o.id WHERE {_differs()}"
+)
+
 ORACLE = {
     "registry_listing": _with(["registry"], "SELECT url, platform, status FROM registry"),
     "active_urls": _with(["registry"], "SELECT url FROM registry WHERE status = 'start'"),
@@ -299,6 +313,11 @@ ORACLE = {
     "registry_set_status": _with(
         ["drop_list"],
         """SELECT url, platform, CASE WHEN url IN (SELECT url FROM drop_list) THEN 'start' ELSE status END AS status
+FROM registry""",
+    ),
+    "registry_stop": _with(
+        ["drop_list"],
+        """SELECT url, platform, CASE WHEN url IN (SELECT url FROM drop_list) THEN 'stopped' ELSE status END AS status
 FROM registry""",
     ),
     "registry_delete": _with(
@@ -321,8 +340,8 @@ FROM registry""",
         """SELECT id, vid_id, message FROM live
 WHERE vid_id IN (SELECT split_part(url, '=', 2) FROM registry WHERE status = 'start')""",
     ),
-    "domain_violations": _with(["live"], _violations("live")),
-    "domain_violations_documents": _with(["docmsg"], _violations("docmsg")),
+    "domain_violations": _with(["visible"], _violations("visible")),
+    "domain_violations_documents": _with(["visible_doc"], _violations("visible_doc")),
     "display_messages": _with(
         ["visible"], f'SELECT {_DISPLAY}, msg_id AS "Msg Id", author_id AS "Author Id" FROM visible'
     ),
@@ -365,6 +384,8 @@ WHERE vid_id IN (SELECT split_part(url, '=', 2) FROM registry WHERE status = 'st
     ),
     "dashboard_overview": _with(["visible"], _OVERVIEW),
     "latest_per_facet": _with(["latest"], "SELECT * FROM latest"),
+    "latest_per_facet_100": _with(["visible"], f"SELECT * FROM ({_ranked('visible')}) WHERE rank <= 100"),
+    "latest_per_facet_zoned": _with(["latest"], "SELECT * FROM latest"),
     "latest_per_facet_by_video": _with(
         ["visible"], f"SELECT * FROM ({_ranked('visible', 'vid_id,')}) WHERE rank <= 30"
     ),
@@ -372,9 +393,8 @@ WHERE vid_id IN (SELECT split_part(url, '=', 2) FROM registry WHERE status = 'st
     "facet_sufficiency_documents": _with(["visible_doc"], _sufficiency("visible_doc")),
     "facet_nested": _with(
         ["latest", "facet_dim"],
-        """SELECT section, to_json(map_from_entries(list((label, messages) ORDER BY position)))::VARCHAR AS breakdown
-FROM (SELECT d.section, d.label, position, coalesce(list(struct_pack(rank := rank, id := id, message := message)
-    ORDER BY rank) FILTER (id IS NOT NULL), []) AS messages
+        f"""SELECT section, to_json(map_from_entries(list((label, messages) ORDER BY position)))::VARCHAR AS breakdown
+FROM (SELECT d.section, d.label, position, coalesce(list({_SPELLED} ORDER BY rank) FILTER (id IS NOT NULL), []) AS messages
   FROM facet_dim d LEFT JOIN latest USING (section, label) GROUP BY ALL)
 GROUP BY section""",
     ),
@@ -385,10 +405,10 @@ GROUP BY section""",
     ),
     "summary_records": _with(
         ["latest_doc", "facet_dim"],
-        f"""SELECT {AS_OF} AS generate_dt, d.section, d.label, coalesce(f.n, 0) AS n, coalesce(ids, '') AS ids,
+        f"""SELECT {AS_OF} AS generate_dt, d.section, d.label, coalesce(f.n, 0) AS n, coalesce(messages, '[]') AS messages,
   CASE WHEN f.n >= 30 THEN summary END AS summary
 FROM facet_dim d
-LEFT JOIN (SELECT section, label, count(*) AS n, string_agg(id::VARCHAR, ',' ORDER BY rank) AS ids
+LEFT JOIN (SELECT section, label, count(*) AS n, to_json(list({_SPELLED} ORDER BY rank))::VARCHAR AS messages
   FROM latest_doc GROUP BY ALL) f ON d.section = f.section AND d.label = f.label
 LEFT JOIN (SELECT section, label, string_agg(term, ', ' ORDER BY rank) AS summary
   FROM ({_terms(5)}) GROUP BY ALL) s ON d.section = s.section AND d.label = s.label""",
@@ -396,14 +416,20 @@ LEFT JOIN (SELECT section, label, string_agg(term, ', ' ORDER BY rank) AS summar
     "enrichment_upsert": _with(["live", "final_updates"], _upsert("FULL", True)),
     "enrichment_update_only": _with(["live", "final_updates"], _upsert("LEFT", False)),
     "edit_diff": _with(
-        ["edited"],
-        f"SELECT e.id, {', '.join('e.' + c for c in LABELS)} FROM edited e JOIN live o ON e.id = o.id "
-        f"WHERE {_differs()}",
+        ["edited"], _EDITS
     ),
-    "soft_delete": _with(
-        ["live", "drop_keys"],
-        """SELECT * REPLACE (CASE WHEN vid_id IN (SELECT vid_id FROM drop_keys) THEN true ELSE "delete" END AS "delete")
-FROM live""",
+    "soft_delete": _with(["live", "drop_keys"], _SOFT_DELETE),
+    "stored_soft_delete": _with(["live", "drop_keys"], _SOFT_DELETE),
+    "stored_label_update": _with(["live", "final_updates"], _upsert("FULL", True)),
+    "label_correction": _with(["edited"], _upsert("LEFT", True, f"({_EDITS})")),
+    "json_lines_messages": _with(["live"], "SELECT * FROM live"),
+    "json_lines_rejected": _with(
+        ["live"], """SELECT '{"id": ' || id || ', "vid_id"' AS line FROM live WHERE id % 10 = 0"""
+    ),
+    "ingest_rejects": _with(
+        ["incoming"],
+        """SELECT vid_id, author, author_id, dt_stamp, NULL::VARCHAR AS msg_id, message, arrival FROM incoming
+WHERE coalesce(length(message) % 7, 0) = 0""",
     ),
     "soft_delete_counts": _with(
         ["live", "drop_keys"],

@@ -33,21 +33,32 @@ def label_counters(messages):
     )
 
 
+def _fixed_items(spark):
+    """The items that are shown even where no message counts towards them."""
+    items = [("corpus", "enriched"), ("corpus", "not_enriched")]
+    items += [(panel, f) for f in FLAGS for panel in ("flag", "flag base")]
+    items += [(s, k) for s in STANCES for k in _KINDS]
+    return spark.createDataFrame([(*item, 0) for item in items], "panel string, item string, n long")
+
+
 def dashboard_overview(messages):
     """All count panels as rows: panel, item, n, percentage and display text."""
     rows = [
-        ["'corpus'", "if(shown, 'enriched', 'not_enriched')", "n"],
-        ["'sentiment'", "if(shown, sentiment, NULL)", "n"],
-        ["'language'", "if(shown, lang, NULL)", "n"],
+        ["'corpus'", "if(shown, 'enriched', 'not_enriched')", "n", "true"],
+        ["'sentiment'", "sentiment", "n", "shown AND spelling <> 'Na'"],
+        ["'language'", "lang", "n", "shown AND lang IS NOT NULL"],
     ]
     for f in FLAGS:  # with the number of messages a flag's share refers to
-        rows += [["'flag'", f"if(shown, '{f}', NULL)", f], ["'flag base'", f"if(shown, '{f}', NULL)", "n"]]
+        rows += [["'flag'", f"'{f}'", f, "shown"], ["'flag base'", f"'{f}'", "n", "shown"]]
     for s in STANCES:
-        rows += [[f"'{s}'", f"if(shown, '{k}', NULL)", f"{s}_{k}"] for k in _KINDS]
-    counters = label_counters(messages).withColumn("sentiment", named(capitalised("senti"), SENTIMENT_NAMES))
+        rows += [[f"'{s}'", f"'{k}'", f"{s}_{k}", "shown"] for k in _KINDS]
+    spelling = capitalised("senti")
+    counters = label_counters(messages).withColumns(
+        {"spelling": spelling, "sentiment": named(spelling, SENTIMENT_NAMES)})
     panel, count = F.col("panel"), F.col("n")
     items = (
-        as_rows(counters, ["panel", "item", "n"], rows).where("item IS NOT NULL")
+        as_rows(counters, ["panel", "item", "n", "counts"], rows).where("counts").drop("counts")
+        .unionByName(_fixed_items(messages.sparkSession))
         .groupBy("panel", "item").agg(F.sum("n").alias("n"))
     )
     is_base = panel == "flag base"

@@ -5,10 +5,11 @@ order of arrival, so new labels mostly concern a few recent blocks. n_chars carr
 of the text: the length rule then reaches the scan, and panels need not read the text.
 """
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from chatlens.operators.filters import video_keys
+from chatlens.operators.filters import not_deleted, video_keys
 from chatlens.operators.registry import soft_delete
 from chatlens.operators.upsert import enrichment_upsert
 from chatlens.schema import MESSAGES
@@ -16,7 +17,8 @@ from chatlens.session import materialise
 
 BLOCK_ROWS = 10_000_000
 STORED = T.StructType([
-    *MESSAGES.fields, T.StructField("n_chars", T.IntegerType()), T.StructField("id_block", T.LongType())
+    *MESSAGES.fields, T.StructField("n_chars", T.IntegerType()), T.StructField("block_rows", T.LongType()),
+    T.StructField("id_block", T.LongType()),
 ])
 
 
@@ -27,7 +29,8 @@ def block_of(column="id", block_rows=BLOCK_ROWS):
 def _laid_out(messages, block_rows):
     missing = {f.name: F.lit(None).cast(f.dataType) for f in MESSAGES.fields if f.name not in messages.columns}
     rows = messages.withColumns(missing).select(
-        *MESSAGES.names, F.length("message").alias("n_chars"), block_of("id", block_rows)
+        *MESSAGES.names, F.length("message").alias("n_chars"), F.lit(block_rows).cast("long").alias("block_rows"),
+        block_of("id", block_rows),
     )
     # rebalance: files of even size per block, a large block over several tasks
     return rows.hint("rebalance", "id_block").sortWithinPartitions("id_block", "enriched", "dt_stamp")
@@ -37,7 +40,22 @@ def read_table(spark, path):
     return spark.read.schema(STORED).parquet(path)
 
 
-def append_messages(messages, path, block_rows=BLOCK_ROWS):
+def block_size(spark, path, wanted=None):
+    """Rows per block of a table, as stored in it. Asking for another size is an error."""
+    try:
+        stored = read_table(spark, path).select("block_rows").first()
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        stored = None
+    size = stored["block_rows"] if stored else wanted or BLOCK_ROWS
+    if wanted not in (None, size):
+        raise ValueError(f"the table has blocks of {size} rows, not {wanted}")
+    return size
+
+
+def append_messages(messages, path, block_rows=None):
+    block_rows = block_size(messages.sparkSession, path, block_rows)
     _laid_out(messages, block_rows).write.mode("append").partitionBy("id_block").parquet(path)
 
 
@@ -50,23 +68,27 @@ def _replace_blocks(messages, path, block_rows):
 
 
 def _blocks(spark, path, blocks):
-    """The table, pruned to the blocks listed in a DataFrame.
+    """The table, pruned to the blocks listed in a DataFrame: one number per touched directory.
 
-    One number per touched partition directory comes to the driver, which lists those anyway.
+    The list is a join, whose broadcast prunes the directories when the scan starts.
     """
-    numbers = [row[0] for row in blocks.distinct().collect()]
-    return read_table(spark, path).where(F.col("id_block").isin(numbers))
+    listed = materialise(blocks.where("id_block >= 0").distinct(), "blocks")
+    return read_table(spark, path).join(F.broadcast(listed), "id_block", "left_semi")
 
 
-def apply_label_updates(spark, path, updates, as_of, order=("seq",), block_rows=BLOCK_ROWS):
+def apply_label_updates(spark, path, updates, as_of, order=("seq",), block_rows=None, written=None):
     """Write a batch of labels into the table, rewriting only the blocks it touches."""
+    block_rows = block_size(spark, path, block_rows)
     touched = _blocks(spark, path, updates.select(block_of("id", block_rows)))
-    _replace_blocks(enrichment_upsert(touched, updates, as_of, order), path, block_rows)
+    changed = enrichment_upsert(touched.select(*MESSAGES.names), updates, as_of, order, written=written)
+    _replace_blocks(changed, path, block_rows)
 
 
-def apply_soft_delete(spark, path, urls, block_rows=BLOCK_ROWS):
-    """Mark the messages of the URLs' videos deleted, rewriting only blocks that hold some."""
-    hits = read_table(spark, path).select("vid_id", "id_block").join(video_keys(urls), "vid_id", "left_semi")
+def apply_soft_delete(spark, path, urls, block_rows=None):
+    """Mark the messages of the URLs' videos deleted, rewriting only blocks where that changes a row."""
+    block_rows = block_size(spark, path, block_rows)
+    open_rows = read_table(spark, path).where(not_deleted()).select("vid_id", "id_block")
+    hits = open_rows.join(video_keys(urls), "vid_id", "left_semi")
     touched = _blocks(spark, path, hits.select("id_block"))
     _replace_blocks(soft_delete(touched, urls), path, block_rows)
 

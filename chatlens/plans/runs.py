@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from chatlens.operators.facets import facet_messages
 from chatlens.operators.summaries import model_summaries, summary_records, term_summaries
 from chatlens.operators.upsert import edit_diff
-from chatlens.plans.layout import BLOCK_ROWS, apply_label_updates
+from chatlens.plans.layout import apply_label_updates
 from chatlens.schema import FACET_SIZE
 from chatlens.session import materialise
 
@@ -25,7 +25,7 @@ def append_summaries(records, path):
     records.write.mode("append").parquet(path)
 
 
-def correct_labels(spark, path, original, edited, as_of, block_rows=BLOCK_ROWS):
+def correct_labels(spark, path, original, edited, as_of, block_rows=None):
     """Write the rows a reviewer changed back to the message table."""
     changed = edit_diff(original, edited).withColumn("seq", F.lit(0))
     # the comparison must not run against files that the write replaces

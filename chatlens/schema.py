@@ -94,4 +94,5 @@ SECTION_LABELS = {
     for section in SECTION_COLUMNS
 }
 FACETS = [(section, label) for section, labels in SECTION_LABELS.items() for label in labels]
+SHORT_NOTE = ["Insufficient messages for ", "label_title", ", only ", "found", " messages found."]
 LABEL_TITLES = {"Favor": "Favor", "Against": "Against", "Pos": "Positive", "Neg": "Negative"}

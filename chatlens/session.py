@@ -1,6 +1,9 @@
 """Session settings and the shared folder for written intermediates."""
 
+import atexit
 import functools
+import re
+import shutil
 import tempfile
 import uuid
 
@@ -30,14 +33,16 @@ def shared_dir(spark):
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
-    if not spark.conf.get("spark.master", "").startswith("local"):
+    if not re.match(r"local(\[|$)", spark.conf.get("spark.master", "")):
         raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
     return _local_dir()
 
 
 @functools.cache
 def _local_dir():
-    return tempfile.mkdtemp(prefix="chatlens-")
+    path = tempfile.mkdtemp(prefix="chatlens-")
+    atexit.register(shutil.rmtree, path, ignore_errors=True)
+    return path
 
 
 def scratch_path(spark, name):

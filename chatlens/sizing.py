@@ -13,14 +13,21 @@ BROADCAST_BYTES = 64 * 1024 * 1024
 _FIXED_WIDTH = 16
 
 
+def _width(column, kind):
+    fixed = F.lit(_FIXED_WIDTH)
+    if isinstance(kind, (T.StringType, T.BinaryType)):
+        return F.coalesce(F.octet_length(column), F.lit(0)) + fixed
+    if isinstance(kind, T.StructType):
+        return reduce(add, [_width(column[f.name], f.dataType) for f in kind.fields], fixed)
+    if isinstance(kind, T.ArrayType):
+        each = F.aggregate(column, F.lit(0), lambda n, x: n + _width(x, kind.elementType))
+        return F.coalesce(each, F.lit(0)) + fixed
+    return fixed
+
+
 def _total_width(schema):
-    """Width of all rows: text by its length, plus a fixed width per column."""
-    widths = [
-        F.coalesce(F.octet_length(f.name), F.lit(0)) + F.lit(_FIXED_WIDTH)
-        if isinstance(f.dataType, (T.StringType, T.BinaryType))
-        else F.lit(_FIXED_WIDTH)
-        for f in schema.fields
-    ]
+    """Width of all rows: text by its length, arrays by their size, plus a fixed width per column."""
+    widths = [_width(F.col(f.name), f.dataType) for f in schema.fields]
     return F.coalesce(F.sum(reduce(add, widths).cast("long")), F.lit(0)).alias("bytes")
 
 

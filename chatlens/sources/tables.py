@@ -7,6 +7,9 @@ from chatlens.functions.time import lenient_timestamp
 from chatlens.schema import LEGACY_COLUMNS, MESSAGES, REGISTRY
 
 
+BROKEN = "_broken"
+
+
 def _times_as_text(schema):
     return T.StructType([
         T.StructField(f.name, T.StringType() if isinstance(f.dataType, T.TimestampNTZType) else f.dataType)
@@ -22,16 +25,32 @@ def _parse_times(df, schema):
 def read_messages(spark, path, fmt="parquet", schema=MESSAGES):
     """Messages with a declared schema; absent columns come back as NULL.
 
-    JSON times are parsed leniently: a bad time gives NULL, not a lost row.
+    JSON times are parsed leniently: a bad time gives NULL, not a lost row. Lines that are no JSON
+    are left to `rejected_lines`.
     """
     if fmt == "parquet":
         return spark.read.schema(schema).parquet(path)
     if fmt == "json":
-        raw = spark.read.schema(_times_as_text(schema)).option("mode", "PERMISSIVE").json(path)
+        raw = _json_lines(spark, path, schema).where(F.isnull(BROKEN)).drop(BROKEN)
         return _parse_times(raw, schema)
     raise ValueError(f"unknown format {fmt!r}")
 
 
+def _json_lines(spark, path, schema):
+    """JSON lines with a column for the text of those that can't be read; lines are texts first, as JSON
+    files can't be queried for that column alone."""
+    broken = T.StructField(BROKEN, T.StringType())
+    parsed = F.from_json(
+        "value", T.StructType([*_times_as_text(schema).fields, broken]),
+        {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": BROKEN})
+    return spark.read.text(path).where("trim(value) <> ''").select(parsed.alias("row")).select("row.*")
+
+
+def rejected_lines(spark, path, schema=MESSAGES):
+    """The lines of JSON files that can't be read as a message."""
+    return _json_lines(spark, path, schema).where(F.col(BROKEN).isNotNull()).select(F.col(BROKEN).alias("line"))
+
+
 def read_registry(spark, path):
     return registry_listing(spark.read.schema(REGISTRY).parquet(path))
 

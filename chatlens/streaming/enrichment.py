@@ -4,35 +4,51 @@ A micro-batch costs what its updates cost; the message table is not touched unti
 """
 
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from chatlens.operators.upsert import enrichment_upsert, last_wins
-from chatlens.plans.layout import BLOCK_ROWS, apply_label_updates
+from chatlens.plans.layout import apply_label_updates
 from chatlens.streaming.batches import prepare, read_batches, start, write_batch
 
 
+LOGGED = "logged_at"
+
+
+def log_schema(updates):
+    return T.StructType([*updates.fields, T.StructField(LOGGED, T.TimestampNTZType())])
+
+
 def stream_label_updates(updates, root, checkpoint, order=("seq",), **options):
-    """Log the last update per message of each micro-batch."""
-    schema = updates.schema
+    """Log the last update per message of each micro-batch, and when it was logged."""
+    schema = log_schema(updates.schema)
     prepare(updates.sparkSession, root, schema)
     values = [c for c in updates.columns if c != "id"]
 
     def land(batch, batch_id):
         final = last_wins(batch, "id", values, order).select("id", "_new.*")
-        write_batch(final, batch_id, root)
+        write_batch(final.withColumn(LOGGED, F.current_timestamp().cast("timestamp_ntz")), batch_id, root)
 
     return start(updates, land, checkpoint, **options)
 
 
 def logged_updates(spark, root, schema, after=-1):
-    """Logged updates of batches after a given number."""
-    return read_batches(spark, root, schema).where(F.col("batch") > after)
+    """Logged updates of batches after a given number; `schema` is that of the updates."""
+    return read_batches(spark, root, log_schema(schema)).where(F.col("batch") > after)
 
 
 def current_messages(messages, log, as_of=None, order=("seq",)):
-    """The message table with the log applied: later batches win, then the order within one."""
-    return enrichment_upsert(messages, log, as_of, ("batch", *order))
+    """The message table with the log applied: later batches win, then the order within one.
+
+    A message that was labelled after an update was logged, such as by a reviewer, keeps its labels.
+    """
+    return enrichment_upsert(messages, log, as_of, ("batch", *order), written=_written(messages, log))
+
+
+def _written(messages, log):
+    return LOGGED if LOGGED in log.columns and "dt_enriched" in messages.columns else None
 
 
-def fold_log(spark, path, log, as_of, order=("seq",), block_rows=BLOCK_ROWS):
+def fold_log(spark, path, log, as_of, order=("seq",), block_rows=None):
     """Write the logged updates into the message table; afterwards read on from the next batch."""
-    apply_label_updates(spark, path, log, as_of, ("batch", *order), block_rows)
+    written = LOGGED if LOGGED in log.columns else None
+    apply_label_updates(spark, path, log, as_of, ("batch", *order), block_rows, written)

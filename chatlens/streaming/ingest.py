@@ -18,7 +18,7 @@ def drop_recent_repeats(stream, horizon="1 day"):
     whatever its own time says.
     """
     return (
-        stream.select(*SUPPLIED, F.current_timestamp().alias("_seen"))
+        stream.where("msg_id IS NOT NULL").select(*SUPPLIED, F.current_timestamp().alias("_seen"))
         .withWatermark("_seen", horizon)
         .dropDuplicatesWithinWatermark(["msg_id"])
         .drop("_seen")

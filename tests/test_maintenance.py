@@ -5,7 +5,7 @@ from compare import rows_of_spark
 from pyspark.sql import functions as F
 from rows import ids, messages, registry, urls
 
-from chatlens.operators import ingest, quality, upsert
+from chatlens.operators import ingest, projections, quality, upsert
 from chatlens.operators import registry as reg
 from chatlens.operators.projections import editor_messages, stored_labels
 from chatlens.plans import layout
@@ -76,6 +76,8 @@ def test_edit_diff(spark):
         "message": F.lit("not editable"),
     })
     assert ids(upsert.edit_diff(df, edited)) == [1, 3]
+    shown = projections.stored_labels(projections.editor_messages(df))
+    assert upsert.edit_diff(df, shown).count() == 0  # a missing flag is shown unticked, which is no edit
 
 
 @BOTH_JOINS
@@ -118,7 +120,11 @@ def test_ingest(spark, broadcast_bytes):
     assert added.where("enriched").count() == 0
     state = stored.unionByName(added, allowMissingColumns=True)
     assert ingest.ingest_new_messages(state, batch, broadcast_bytes=broadcast_bytes).count() == 0
-    assert tuple(ingest.ingest_counts(batch, added).first()) == (5, 3, 2)
+    assert tuple(ingest.ingest_counts(batch, added).first()) == (5, 3, 2, 0)
+    nameless = incoming(spark, (None, "one", 1), (None, "two", 2), ("d", "z", 3))
+    assert ingest.ingest_rejects(nameless).count() == 2
+    some = ingest.ingest_new_messages(stored, nameless, broadcast_bytes=broadcast_bytes)
+    assert tuple(ingest.ingest_counts(nameless, some).first()) == (3, 1, 0, 2)
     assert ingest.ingest_new_messages(stored.where("false"), batch).agg(F.min("id")).first()[0] == 1
 
 

@@ -96,8 +96,17 @@ def test_peaks_and_missing_stance_column(spark):
 
 def test_overview_of_nothing_labelled(spark):
     df = messages(spark, {"enriched": False})
-    rows = [(r["panel"], r["item"], r["n"]) for r in dashboard_overview(df).collect()]
-    assert rows == [("corpus", "not_enriched", 1)]
+    rows = {(r["panel"], r["item"]): (r["n"], r["text"]) for r in dashboard_overview(df).collect()}
+    assert rows.pop(("corpus", "not_enriched")) == (1, None) and rows.pop(("corpus", "enriched")) == (0, None)
+    assert rows.pop(("flag", "troll")) == rows.pop(("flag", "toxic")) == (0, "Not Applicable")
+    assert len(rows) == 12 and set(rows.values()) == {(0, None)}  # three kinds of four stances
+
+
+def test_overview_keeps_unmapped_sentiments_and_an_empty_backlog(spark):
+    df = messages(spark, {"senti": "Odd"}, {"senti": "Pos"}, {"senti": "NA"})
+    rows = {(r["panel"], r["item"]): r["n"] for r in dashboard_overview(df).collect()}
+    assert rows["corpus", "not_enriched"] == 0 and rows["corpus", "enriched"] == 3
+    assert {k: n for k, n in rows.items() if k[0] == "sentiment"} == {("sentiment", None): 1, ("sentiment", "Positive"): 1}
 
 
 def test_panels(spark):

@@ -61,3 +61,23 @@ def test_small_label_batch_does_not_shuffle_the_state(spark, tmp_path):
     updates = live.selectExpr("id", "'Favor' AS sg", "1 AS seq")
     text = plan(upsert.enrichment_update_only(live, updates))
     assert "BroadcastHashJoin LeftOuter" in text and "SortMergeJoin" not in text
+
+
+def test_short_facets_leave_the_time_filter_in_the_scan(spark, tmp_path):
+    path = str(tmp_path / "t")
+    layout.append_messages(messages(spark, *[{"sg": "Favor", "senti": "Neg"}] * 5, {"mil": "Favor"}), path)
+    text = plan(facets.latest_per_facet(filters.visible_messages(layout.read_table(spark, path)), 3))
+    assert "GreaterThanOrEqual(dt_stamp" in text and "EqualTo(mil,Favor)" in text
+
+
+def test_latest_by_video_ranks_before_it_reads_texts(spark, small):
+    visible = filters.visible_messages(derived.live(spark, small))
+    text = plan(facets.latest_per_facet(visible, by=["vid_id"]))
+    assert "WindowGroupLimit" not in text and "BroadcastHashJoin" in text
+
+
+def test_updates_and_messages_are_read_once(spark, small):
+    live = derived.live(spark, small)
+    updates = derived.label_updates(spark, small)
+    assert "lineitem" not in plan(upsert.enrichment_upsert(live, updates, "2024-02-01 00:00:00", derived.UPDATE_ORDER))
+    assert "events" not in plan(timeline.stance_timeline_adaptive(filters.visible_messages(live)))
