@@ -1,7 +1,8 @@
 """Secret scans: candidates by pattern, false positives removed by a random forest.
 
 DataFrame functions and the DataFrame-based forest of Spark ML only. A candidate is a run of at least 12
-characters from A-Z a-z 0-9 + / _ - in a word, with a digit, or with a capital after a small letter. Its
+characters from A-Z a-z 0-9 + / _ - in a word, with a digit, a capital after a small letter, or a published
+prefix. Its
 features: length, shares of digits and of capitals, changes between character classes, different
 characters, hexadecimal or not, dictionary coverage, path-like neighbourhood, an assignment in front, and
 words before it that announce a credential.
@@ -28,6 +29,7 @@ TREES, DEPTH, SEED = 20, 6, 7
 THRESHOLD = 0.5
 MASK = "<SECRET>"
 _RUN = r"[A-Za-z0-9+/_\-]{12,}"
+_TELLING = r"[0-9]|[a-z][A-Z]|(AKIA|ASIA)[A-Z]{16}|gh[pousr]_|xox[abprs]-"
 _ANNOUNCE = r"(?i)(pass(word|wd)?|pwd|token|secret|api|key|auth|bearer|credential|private)"
 # Common words and word parts of prose and code.
 _DICTIONARY = (
@@ -46,12 +48,12 @@ def candidates(documents):
     words = documents.select(
         F.xxhash64("doc_id", "text").alias("key"), "doc_id", F.split("text", r"[\x20\x09-\x0D]+").alias("words"))
     placed = words.select("key", "doc_id", "words", F.posexplode("words").alias("place", "word"))
-    long = placed.filter((F.length("word") >= 12) & F.col("word").rlike(r"[0-9]|[a-z][A-Z]") & F.col("word").rlike(_RUN))
+    long = placed.filter((F.length("word") >= 12) & F.col("word").rlike(_TELLING) & F.col("word").rlike(_RUN))
     before = F.concat_ws(" ", F.get("words", F.col("place") - 2), F.get("words", F.col("place") - 1))
     runs = long.select(
         "key", "doc_id", "place", "word", before.alias("before"),
         F.explode(F.regexp_extract_all("word", F.lit(f"({_RUN})"), 1)).alias("candidate"))
-    return runs.filter(F.col("candidate").rlike(r"[0-9]|[a-z][A-Z]"))
+    return runs.filter(F.col("candidate").rlike(_TELLING))
 
 
 def described(found):
