@@ -4,12 +4,13 @@ A document is its set of distinct five-word shingles (64-bit hashes). Documents
 class. The tokens of a class are ordered by estimated frequency, rare ones first, from a count sketch of
 fixed size over all documents. A set of s tokens that must share a = ceil(0.8 s) with a partner keeps a
 prefix of s - a + L tokens; two linked sets share at least min(L, L') tokens of their prefixes. Each class
-chooses the L with the least estimated cost: postings read, plus verifications, which fall as L grows.
+chooses the L with the least estimated cost: postings read, plus verifications, which fall as L grows. A
+shared token only counts if its place in both prefixes suits the overlap that the two sizes ask for.
 
-Postings aren't paired within a token. First every class is verified against one leader per token; what
-that links is one component. Then only classes of different components that share a token are paired: each
-class outside the token's main component with the others. Within a component no further link can change
-the result. All verified links are exact Jaccard comparisons of whole sets.
+Postings aren't paired within a token. First every class is verified against one leader, the class of its
+tokens that shares most; what that links is one component. Then only classes of different components that
+share tokens are paired: each class outside a token's main component with the others. Within a component no
+further link can change the result. All verified links are exact Jaccard comparisons of whole sets.
 
 Defined cases: NULL or empty texts and texts without words have 0 shingles and are their own component;
 rows with repeated ids are documents of their own; a component without any id has a NULL component_id;
@@ -76,17 +77,17 @@ def _summaries(batches):
             sketch += np.bincount(every.astype(np.int64), minlength=len(sketch))
             digests = np.array([_digest(s) for s in sets]).reshape(-1, 2)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").slice(first, n), pa.array([len(s) for s in sets], pa.int64()),
-                 pa.array(digests[:, 0]), pa.array(digests[:, 1]), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())],
-                ["doc_id", "n", "d1", "d2", "block", "counts"],
+                [batch.column("doc_id").slice(first, n), batch.column("key").slice(first, n),
+                 pa.array([len(s) for s in sets], pa.int64()), pa.array(digests[:, 0]), pa.array(digests[:, 1]),
+                 pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())],
+                ["doc_id", "key", "n", "d1", "d2", "block", "counts"],
             )
-    rows = sketch.reshape(_SKETCH_BLOCKS, -1)
-    nothing = [pa.nulls(_SKETCH_BLOCKS, t) for t in (batch.column("doc_id").type, pa.int64(), pa.int64(), pa.int64())] \
-        if sketch.any() else None
-    if nothing:
+    if sketch.any():
+        nothing = [pa.nulls(_SKETCH_BLOCKS, t) for t in (batch.column("doc_id").type, *[pa.int64()] * 4)]
+        blocks = [row.tobytes() for row in sketch.reshape(_SKETCH_BLOCKS, -1)]
         yield pa.RecordBatch.from_arrays(
-            [*nothing, pa.array(range(_SKETCH_BLOCKS), pa.int32()), pa.array([r.tobytes() for r in rows], pa.binary())],
-            ["doc_id", "n", "d1", "d2", "block", "counts"],
+            [*nothing, pa.array(range(_SKETCH_BLOCKS), pa.int32()), pa.array(blocks, pa.binary())],
+            ["doc_id", "key", "n", "d1", "d2", "block", "counts"],
         )
 
 
@@ -140,9 +141,10 @@ def _prefixes(sketch):
                 tokens = np.concatenate([t for t, _ in found]) if found else np.zeros(0, np.uint64)
                 cuts = np.cumsum([0] + [len(t) for t, _ in found])
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("node").take(pa.array(good, pa.int64())), pa.array([m for _, m in found], pa.int32()),
+                    [part.column("node").take(pa.array(good, pa.int64())),
+                     pa.array([len(sets[i]) for i in good], pa.int32()), pa.array([m for _, m in found], pa.int32()),
                      pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(tokens.astype(np.int64)))],
-                    ["node", "matches", "tokens"],
+                    ["node", "n", "matches", "tokens"],
                 )
     return run
 
@@ -183,17 +185,18 @@ class _Join:
         spark = documents.sparkSession
         self.documents = documents.select("doc_id", "text")
         id_type = documents.schema["doc_id"].dataType.simpleString()
-        everything = materialise(self.documents.mapInArrow(
-            _summaries, f"doc_id {id_type}, n long, d1 long, d2 long, block int, counts binary"), "shingles")
-        self.summaries = everything.filter("block IS NULL").select("doc_id", "n", "d1", "d2")
+        keyed = self.documents.withColumn("key", F.xxhash64("doc_id", "text"))
+        everything = materialise(keyed.mapInArrow(
+            _summaries, f"doc_id {id_type}, key long, n long, d1 long, d2 long, block int, counts binary"), "shingles")
+        self.summaries = everything.filter("block IS NULL").select("doc_id", "key", "n", "d1", "d2")
         self.sketch = spark.sparkContext.broadcast(_sketch(everything))
         classes = self.summaries.filter("n > 0").groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("rep"))
         self.classes = materialise(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
-        prefixes = self.texts(self.classes).mapInArrow(
-            _prefixes(self.sketch), "node long, matches int, tokens array<long>")
-        self.prefixes = materialise(prefixes, "prefixes")
-        self.needs = self.prefixes.select("node", "matches").distinct().join(self.classes.select("node", "n"), "node")
-        self.postings = self.prefixes.select("node", F.explode("tokens").alias("t"))
+        prefixes = materialise(self.texts(self.classes).mapInArrow(
+            _prefixes(self.sketch), "node long, n int, matches int, tokens array<long>"), "prefixes")
+        postings = prefixes.select("node", "n", "matches", F.posexplode("tokens").alias("pos", "t"))
+        several = postings.groupBy("t").count().filter("count > 1").select("t")
+        self.postings = materialise(postings.join(several, "t"), "postings")
 
     def texts(self, classes):
         """(node, d1, d2, text) of classes, by one document of each."""
@@ -201,18 +204,6 @@ class _Join:
         return self.documents.join(named, self.documents["doc_id"].eqNullSafe(named["doc_id"])).select(
             "node", "d1", "d2", "text")
 
-    def candidates(self, shared):
-        """Pairs (a, b) with enough shared prefix tokens and sizes that allow a link; shared has one row a token."""
-        small = broadcast_if_small(self.needs)
-        pairs = shared.groupBy("a", "b").agg(F.count("*").alias("shared"))
-        for side in "ab":
-            pairs = pairs.join(small.select(
-                F.col("node").alias(side), F.col("n").alias(f"n_{side}"), F.col("matches").alias(f"m_{side}")), side)
-        return pairs.filter(
-            (F.col("shared") >= F.least("m_a", "m_b"))
-            & (100 * F.least("n_a", "n_b") >= PERCENT * F.greatest("n_a", "n_b"))
-        ).select("a", "b")
-
     def verify(self, pairs):
         """Links (u, v) among the pairs, by comparing whole sets."""
         nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
@@ -225,41 +216,93 @@ class _Join:
         return both.mapInArrow(_verified, "u long, v long")
 
 
-def _star(join):
-    """Each class with the first class of every token that several share."""
-    first = join.postings.groupBy("t").agg(F.min("node").alias("a"), F.count("*").alias("c")).filter("c > 1")
-    return join.postings.join(first.select("t", "a"), "t").filter("a <> node").select(
-        "a", F.col("node").alias("b"))
+def _could_link(x, y):
+    """Whether a shared token lies in the prefixes that a linked pair of these sizes must have it in."""
+    need = F.floor((PERCENT * (F.col(f"{x}.n") + F.col(f"{y}.n")) + 99 + PERCENT) / (100 + PERCENT))
+    matches = F.least(f"{x}.matches", f"{y}.matches")
+    sizes = 100 * F.least(f"{x}.n", f"{y}.n") >= PERCENT * F.greatest(f"{x}.n", f"{y}.n")
+    return sizes & (F.col(f"{x}.pos") < F.col(f"{x}.n") - need + matches) & (
+        F.col(f"{y}.pos") < F.col(f"{y}.n") - need + matches)
+
+
+def _enough(tokens):
+    """Pairs (a, b) with enough shared prefix tokens, and how many."""
+    return tokens.groupBy("a", "b", "matches").agg(F.count("*").alias("shared")).filter("shared >= matches")
+
+
+def _star(postings):
+    """Each class with its best leader. The leader of a token is the class with the most shared prefix tokens."""
+    central = postings.groupBy("node").agg(F.count("*").alias("central"))
+    entry = F.struct("node", "n", "matches", "pos")
+    first = postings.join(central, "node").groupBy("t").agg(
+        F.max_by(entry, F.struct("central", -F.col("node"))).alias("y"))
+    both = postings.select("t", entry.alias("x")).join(first, "t").filter(
+        (F.col("x.node") != F.col("y.node")) & _could_link("x", "y"))
+    pairs = _enough(both.select(
+        F.col("y.node").alias("a"), F.col("x.node").alias("b"), F.least("x.matches", "y.matches").alias("matches")))
+    return pairs.groupBy("b").agg(F.max_by("a", F.struct("shared", -F.col("a"))).alias("a")).select("a", "b")
 
 
-def _across(join, roots):
-    """Classes of different components that share a token: those outside its main component with all others."""
-    known = join.postings.join(
-        join.postings.groupBy("t").count().filter("count > 1").select("t"), "t", "left_semi")
-    placed = materialise(known.join(roots, "node", "left").select(
-        "t", "node", F.coalesce("root", "node").alias("root")), "postings")
+def _across(postings, roots):
+    """Classes of different components that share tokens: those outside a token's main component with all others."""
+    placed = materialise(postings.join(roots, "node", "left").select(
+        "t", F.struct("node", "n", "matches", "pos").alias("y"), F.coalesce("root", "node").alias("root")), "placed")
     groups = placed.groupBy("t", "root").count().groupBy("t").agg(
         F.max_by("root", F.struct("count", "root")).alias("main"), F.count("*").alias("roots")).filter("roots > 1")
     mixed = placed.join(groups.select("t", "main"), "t")
-    outside = mixed.filter("root <> main").select("t", F.col("node").alias("x"), F.col("root").alias("x_root"))
-    pairs = outside.join(mixed, "t").filter(
-        (F.col("root") != F.col("x_root")) & ((F.col("root") == F.col("main")) | (F.col("x") < F.col("node"))))
-    return pairs.select(F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b"))
+    outside = mixed.filter("root <> main").select("t", F.col("y").alias("x"), F.col("root").alias("x_root"))
+    once = (F.col("root") == F.col("main")) | (F.col("x.node") < F.col("y.node"))
+    both = outside.join(mixed, "t").filter((F.col("root") != F.col("x_root")) & once & _could_link("x", "y"))
+    return _enough(both.select(
+        F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"),
+        F.least("x.matches", "y.matches").alias("matches"))).select("a", "b")
 
 
-def components(documents):
-    """doc_id, n_shingles and component_id of every document."""
+def _ordered(pairs):
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+
+
+def _placed(documents):
+    """doc_id, key (hash of id and text), n, root and component_id of every document; root is NULL without shingles."""
     join = _Join(documents)
-    tried = materialise(join.candidates(_star(join)), "pairs")
+    tried = materialise(_ordered(_star(join.postings)).distinct(), "pairs")
     links = materialise(join.verify(tried), "links")
     roots = connected_components(links)
-    rest = join.candidates(_across(join, roots)).join(tried, ["a", "b"], "left_anti")
+    rest = _across(join.postings, roots).join(tried, ["a", "b"], "left_anti")
     more = materialise(join.verify(materialise(rest, "pairs")), "links")
     roots = connected_components(links.unionByName(more))
     placed = join.classes.join(roots, "node", "left").select(
         "d1", "d2", "n", "rep", F.coalesce("root", "node").alias("root"))
     least = placed.groupBy("root").agg(F.min("rep").alias("component_id"))
-    named = placed.join(least, "root").select("d1", "d2", "n", "component_id")
+    named = placed.join(least, "root").select("d1", "d2", "n", "root", "component_id")
     rows = join.summaries.filter("n > 0").join(named, ["d1", "d2", "n"])
-    alone = join.summaries.filter("n = 0").withColumn("component_id", F.col("doc_id"))
-    return rows.unionByName(alone).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+    alone = join.summaries.filter("n = 0").withColumns(
+        {"root": F.lit(None).cast("long"), "component_id": F.col("doc_id")})
+    return rows.unionByName(alone).drop("d1", "d2")
+
+
+def components(documents):
+    """doc_id, n_shingles and component_id of every document."""
+    return _placed(documents).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+
+
+def keep_one(documents):
+    """The documents without all but one of each component (the smallest id), all columns unchanged.
+
+    Of rows that are equal in id and text one stays. Documents without shingles all stay.
+    """
+    placed = materialise(_placed(documents).filter("root IS NOT NULL").select("doc_id", "key", "root"), "placed")
+    first = placed.groupBy("root").agg(F.min(F.struct(F.isnull("doc_id"), "doc_id", "key")).alias("best")).select(
+        "root", F.col("best.key").alias("best"))
+    marked = placed.join(first, "root").groupBy("doc_id", "key").agg(
+        F.max(F.col("key") != F.col("best")).alias("drop"), F.count("*").alias("rows"))
+    marked = broadcast_if_small(marked.filter("drop OR rows > 1").select(
+        F.col("key").alias("marked_key"), F.col("doc_id").alias("marked_id"), "drop"))
+
+    def joined(marks, how):
+        same = (F.xxhash64(documents["doc_id"], documents["text"]) == marks["marked_key"]) & documents[
+            "doc_id"].eqNullSafe(marks["marked_id"])
+        return documents.join(marks, same, how)
+
+    repeated = joined(marked.filter("NOT drop"), "left_semi")
+    return joined(marked, "left_anti").unionByName(repeated.dropDuplicates(["doc_id", "text"]))
