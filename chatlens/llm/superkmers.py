@@ -273,7 +273,8 @@ def repeated_windows(documents, spec):
         _anchors(spec), "minimiser long, key long, known boolean")
     spread = anchors.repartition(F.when(F.col("known"), F.col("key")).otherwise(F.col("minimiser")))
     shared = spread.sortWithinPartitions("minimiser").mapInArrow(_repeated, "key long, minimiser long")
-    lists = shared.groupBy("key").agg(F.collect_set("minimiser").alias("minimisers"))
+    lists = materialise(shared.groupBy("key").agg(F.collect_set("minimiser").alias("minimisers")), "minimisers")
+    release(spark)
     found = materialise(texts.join(lists, "key").mapInArrow(
         _candidates(spec), "minimiser long, digest long, key long, doc_id long, start long, n long"), "superkmers")
     release(spark)
