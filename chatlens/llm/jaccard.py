@@ -8,8 +8,9 @@ chooses the L with the least estimated cost: postings read, plus verifications,
 shared token only counts if its place in both prefixes suits the overlap that the two sizes ask for.
 
 Postings aren't paired within a token. First every class is verified against one leader, the class of its
-tokens that shares most; what that links is one component. Then only classes of different components that
-share tokens are paired: each class outside a token's main component with the others. Within a component no
+tokens that shares most; what that links is one component. Classes left outside a token's main component are
+verified against other leaders of it, a few times. Then only classes of different components that share
+tokens are paired: each class outside a token's main component with the others. Within a component no
 further link can change the result. All verified links are exact Jaccard comparisons of whole sets.
 
 Defined cases: NULL or empty texts and texts without words have 0 shingles and are their own component;
@@ -32,6 +33,7 @@ WORDS = 5
 PERCENT = 80
 MOST_MATCHES = 8
 VERIFY_COST = 20.0
+RETRIES = 2
 SKETCH_BITS = 20
 _SKETCH_BLOCKS = 64
 _CELLS = np.uint64((1 << SKETCH_BITS) - 1)
@@ -243,13 +245,28 @@ def _star(postings):
     return pairs.groupBy("b").agg(F.max_by("a", F.struct("shared", -F.col("a"))).alias("a")).select("a", "b")
 
 
-def _across(postings, roots):
-    """Classes of different components that share tokens: those outside a token's main component with all others."""
+def _mixed(postings, roots):
+    """Postings (t, y, root, main) of the tokens that several components share; main has most of a token's classes."""
     placed = materialise(postings.join(roots, "node", "left").select(
         "t", F.struct("node", "n", "matches", "pos").alias("y"), F.coalesce("root", "node").alias("root")), "placed")
     groups = placed.groupBy("t", "root").count().groupBy("t").agg(
         F.max_by("root", F.struct("count", "root")).alias("main"), F.count("*").alias("roots")).filter("roots > 1")
-    mixed = placed.join(groups.select("t", "main"), "t")
+    return placed.join(groups.select("t", "main"), "t")
+
+
+def _again(mixed, turn):
+    """Each class outside the main component with its best leader of that, one class a token, other ones each turn."""
+    leader = mixed.filter("root = main").groupBy("t").agg(
+        F.max_by("y", F.struct(F.xxhash64("y.node", F.lit(turn)), "y.node")).alias("y"))
+    outside = mixed.filter("root <> main").select("t", F.col("y").alias("x"))
+    both = outside.join(leader, "t").filter(_could_link("x", "y"))
+    pairs = _enough(both.select(
+        F.col("y.node").alias("a"), F.col("x.node").alias("b"), F.least("x.matches", "y.matches").alias("matches")))
+    return pairs.groupBy("b").agg(F.max_by("a", F.struct("shared", -F.col("a"))).alias("a")).select("a", "b")
+
+
+def _across(mixed):
+    """Classes of different components that share tokens: those outside a token's main component with all others."""
     outside = mixed.filter("root <> main").select("t", F.col("y").alias("x"), F.col("root").alias("x_root"))
     once = (F.col("root") == F.col("main")) | (F.col("x.node") < F.col("y.node"))
     both = outside.join(mixed, "t").filter((F.col("root") != F.col("x_root")) & once & _could_link("x", "y"))
@@ -268,7 +285,13 @@ def _placed(documents):
     tried = materialise(_ordered(_star(join.postings)).distinct(), "pairs")
     links = materialise(join.verify(tried), "links")
     roots = connected_components(links)
-    rest = _across(join.postings, roots).join(tried, ["a", "b"], "left_anti")
+    for turn in range(RETRIES):  # only spares pairs: what is still apart then is compared in full
+        pairs = _ordered(_again(_mixed(join.postings, roots), turn)).distinct().join(tried, ["a", "b"], "left_anti")
+        pairs = materialise(pairs, "pairs")
+        links = materialise(links.unionByName(join.verify(pairs)), "links")
+        tried = tried.unionByName(pairs)
+        roots = connected_components(links)
+    rest = _across(_mixed(join.postings, roots)).join(tried, ["a", "b"], "left_anti")
     more = materialise(join.verify(materialise(rest, "pairs")), "links")
     roots = connected_components(links.unionByName(more))
     placed = join.classes.join(roots, "node", "left").select(
