@@ -253,7 +253,9 @@ def _asked(spec, documents, classes):
     lists = classes.groupBy("key").agg(*[
         F.collect_list(c).alias(f"{c}s") for c in ("minimiser", "digest")
     ], F.collect_list("c").alias("counts"), F.collect_list(F.coalesce("least", F.lit(LARGEST))).alias("leasts"))
-    return documents.select("key", "text").join(broadcast_if_small(lists), "key").dropDuplicates(["key"])
+    lists = broadcast_if_small(lists)
+    release(documents.sparkSession)
+    return documents.select("key", "text").join(lists, "key").dropDuplicates(["key"])
 
 
 def release(spark):
@@ -280,6 +282,7 @@ def repeated_windows(documents, spec):
     release(spark)
     classes = materialise(found.groupBy("minimiser", "digest", "n").agg(
         F.count("*").alias("c"), F.min("doc_id").alias("least"), F.min("key").alias("key")), "classes")
+    release(spark)
     groups = classes.groupBy("minimiser").agg(F.count("*").alias("classes"))
     several = groups.filter("classes > 1")
     single = classes.join(several, "minimiser", "left_anti").filter("c > 1").select(
