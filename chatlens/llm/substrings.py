@@ -14,7 +14,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 from chatlens.llm import flat
-from chatlens.llm.superkmers import Windows, covered, repeated_windows, with_runs
+from chatlens.llm.superkmers import Windows, copied, covered, repeated_windows, with_runs
 
 WINDOW = 35
 MINIMISER = 8
@@ -101,8 +101,9 @@ def _cut(k, with_text):
 
 def dedup(documents, k=WINDOW, with_text=True):
     """doc_id, n_words, n_removed, kept_sha256 and the kept text of every document."""
-    marks = repeated_windows(documents, word_windows(k)).drop("least")
+    copies = copied(documents)
+    marks = repeated_windows(documents, copies, word_windows(k)).filter("copies = 1").drop("least")
     id_type = documents.schema["doc_id"].dataType.simpleString()
-    return with_runs(documents, marks).mapInArrow(
+    return with_runs(documents, copies, "copies > 1", marks).mapInArrow(
         _cut(k, with_text), f"doc_id {id_type}, n_words long, n_removed long, kept_sha256 string"
         + ", kept string" * with_text)

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from chatlens.llm import flat
-from chatlens.llm.superkmers import Windows, covered, repeated_windows, with_runs
+from chatlens.llm.superkmers import Windows, copied, covered, repeated_windows, with_runs
 
 WINDOW = 50
 MINIMISER = 16
@@ -225,9 +225,10 @@ def _cut(k, with_bytes):
 
 def dedup(documents, k=WINDOW, with_bytes=True):
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and the kept bytes of every document."""
-    marks = repeated_windows(documents, byte_windows(k)).filter(
-        F.col("least").isNotNull() & (F.col("doc_id").isNull() | (F.col("least") < F.col("doc_id")))).drop("least")
+    copies = copied(documents)
+    earlier = "{0} IS NOT NULL AND ({1} IS NULL OR {0} < {1})"
+    marks = repeated_windows(documents, copies, byte_windows(k)).filter(earlier.format("least", "doc_id")).drop("least")
     id_type = documents.schema["doc_id"].dataType.simpleString()
-    return with_runs(documents, marks).mapInArrow(
+    return with_runs(documents, copies, earlier.format("first", "long_id"), marks).mapInArrow(
         _cut(k, with_bytes), f"doc_id {id_type}, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
         + ", kept binary" * with_bytes)

@@ -5,6 +5,9 @@ symbols in it with the least hash (the leftmost of equal ones), so equal windows
 Consecutive windows with the same minimiser are one super-k-mer; it is named by the hash of its minimiser
 and a digest of its content.
 
+Of equal texts one is searched, the one with the smallest id; it stands for all of them, and what is removed
+from its copies is known without a search.
+
 1. Minimisers that occur once can't belong to a repeated window. The others are found by one shuffle of
    (minimiser, document key); repeats within a slice are known before it and don't meet in one task.
 2. Super-k-mers with a repeated minimiser are listed, without text.
@@ -15,7 +18,9 @@ and a digest of its content.
    neighbours) aren't gathered: their windows are counted by 128-bit digests.
 5. The marked windows go back to the documents of each class, and from there to the texts.
 
-Documents are named by a hash of id and text: rows that are equal in both have equal results.
+Documents are named by a hash of id and text: rows that are equal in both have equal results. If such rows
+are the first of their text, all of them are searched, which changes no result: their windows occur in copies.
+Intermediates are removed as soon as what was made of them is written.
 """
 
 import dataclasses
@@ -26,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from chatlens.llm import flat
-from chatlens.session import materialise
+from chatlens.session import materialise, remove, scratch_path
 from chatlens.sizing import broadcast_if_small
 
 HOT = 1000
@@ -150,9 +155,9 @@ def _candidates(spec):
                 rows = pa.array(document[at])
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(minimiser[at]), pa.array(digest[at]), batch.column("key").slice(first, n).take(rows),
-                     batch.column("doc_id").slice(first, n).take(rows), pa.array(start[at] - bounds[document[at]]),
-                     pa.array(count[at])],
-                    ["minimiser", "digest", "key", "doc_id", "start", "n"],
+                     batch.column("doc_id").slice(first, n).take(rows), batch.column("copies").slice(first, n).take(rows),
+                     pa.array((start[at] - bounds[document[at]]).astype(np.int32)), pa.array(count[at].astype(np.int32))],
+                    ["minimiser", "digest", "key", "doc_id", "copies", "start", "n"],
                 )
     return run
 
@@ -243,9 +248,46 @@ def _solved(spec):
     return run
 
 
-def _named(documents):
-    return documents.select(
-        F.xxhash64("doc_id", "text").alias("key"), F.col("doc_id").cast("long").alias("doc_id"), "text")
+class _Scratch:
+    """Written intermediates of one search, by name."""
+
+    def __init__(self, spark):
+        self.spark, self.paths = spark, {}
+
+    def write(self, df, name):
+        path = self.paths[name] = scratch_path(self.spark, name)
+        df.write.parquet(path)
+        release(self.spark)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self, *names):
+        for name in names:
+            remove(self.spark, self.paths.pop(name))
+
+
+def copied(documents):
+    """(key, doc_id, copies, first) of every row whose text occurs in more than one; first is the smallest id."""
+    rows = documents.filter("text IS NOT NULL").select(
+        F.xxhash64("doc_id", "text").alias("key"), F.col("doc_id").cast("long").alias("doc_id"),
+        F.unhex(F.sha1("text")).alias("digest"))
+    rows = materialise(rows.groupBy("digest", "key", "doc_id").agg(F.count("*").alias("rows")), "rows")
+    first = rows.groupBy("digest").agg(F.sum("rows").alias("copies"), F.min("doc_id").alias("first")).filter("copies > 1")
+    return broadcast_if_small(
+        rows.join(broadcast_if_small(first), "digest").select("key", "doc_id", "copies", "first"))
+
+
+def _with_copies(documents, copies):
+    """doc_id, text, key, long_id; copies and first are NULL for a text that occurs once."""
+    texts = documents.select(
+        "doc_id", "text", F.xxhash64("doc_id", "text").alias("key"), F.col("doc_id").cast("long").alias("long_id"))
+    same = (texts["key"] == copies["key"]) & texts["long_id"].eqNullSafe(copies["doc_id"])
+    return texts.join(copies, same, "left").select(texts["*"], "copies", "first")
+
+
+def _first(documents, copies):
+    """key, doc_id, text and number of copies of the first row of every text."""
+    return _with_copies(documents, copies).filter("copies IS NULL OR long_id <=> first").select(
+        "key", F.col("long_id").alias("doc_id"), "text", F.coalesce("copies", F.lit(1)).alias("copies"))
 
 
 def _asked(spec, documents, classes):
@@ -254,7 +296,6 @@ def _asked(spec, documents, classes):
         F.collect_list(c).alias(f"{c}s") for c in ("minimiser", "digest")
     ], F.collect_list("c").alias("counts"), F.collect_list(F.coalesce("least", F.lit(LARGEST))).alias("leasts"))
     lists = broadcast_if_small(lists)
-    release(documents.sparkSession)
     return documents.select("key", "text").join(lists, "key").dropDuplicates(["key"])
 
 
@@ -263,64 +304,70 @@ def release(spark):
     spark.sparkContext._jvm.System.gc()
 
 
-def repeated_windows(documents, spec):
-    """(key, doc_id, start, length, least): runs of windows that occur more than once.
+def repeated_windows(documents, copies, spec):
+    """(key, doc_id, copies, start, length, least): runs of windows that occur more than once.
 
-    least is the smallest id of a document with the window. Starts count symbols of the document. A run
-    is listed for every document that holds it, the one with the smallest id included.
+    Only the first row of every text is searched; copies is what `copied` returns. least is the smallest id
+    of a document with the window. Starts count symbols of the document. A run is listed for every searched
+    document that holds it, the one with the smallest id included.
     """
-    spark = documents.sparkSession
-    texts = _named(documents)
+    scratch = _Scratch(documents.sparkSession)
+    texts = _first(documents, copies)
     anchors = texts.select("key", "text").mapInArrow(
         _anchors(spec), "minimiser long, key long, known boolean")
     spread = anchors.repartition(F.when(F.col("known"), F.col("key")).otherwise(F.col("minimiser")))
     shared = spread.sortWithinPartitions("minimiser").mapInArrow(_repeated, "key long, minimiser long")
-    lists = materialise(shared.groupBy("key").agg(F.collect_set("minimiser").alias("minimisers")), "minimisers")
-    release(spark)
-    found = materialise(texts.join(lists, "key").mapInArrow(
-        _candidates(spec), "minimiser long, digest long, key long, doc_id long, start long, n long"), "superkmers")
-    release(spark)
-    classes = materialise(found.groupBy("minimiser", "digest", "n").agg(
-        F.count("*").alias("c"), F.min("doc_id").alias("least"), F.min("key").alias("key")), "classes")
-    release(spark)
+    lists = scratch.write(shared.groupBy("key").agg(F.collect_set("minimiser").alias("minimisers")), "minimisers")
+    found = scratch.write(texts.join(lists, "key").mapInArrow(
+        _candidates(spec), "minimiser long, digest long, key long, doc_id long, copies long, start int, n int"), "superkmers")
+    scratch.drop("minimisers")
+    classes = scratch.write(found.groupBy("minimiser", "digest", "n").agg(
+        F.sum("copies").alias("c"), F.min("doc_id").alias("least"), F.min("key").alias("key")), "classes")
     groups = classes.groupBy("minimiser").agg(F.count("*").alias("classes"))
-    several = groups.filter("classes > 1")
-    single = classes.join(several, "minimiser", "left_anti").filter("c > 1").select(
-        "minimiser", "digest", F.lit(0).cast("long").alias("offset"), F.col("n").alias("length"), "least")
-    mixed = classes.join(several, "minimiser")
-    strings = _asked(spec, texts, mixed.filter(F.col("classes") <= HOT)).mapInArrow(
+    sized = scratch.write(classes.join(groups, "minimiser"), "sized")
+    scratch.drop("classes")
+    single = sized.filter("classes = 1 AND c > 1").select(
+        "minimiser", "digest", F.lit(0).cast("long").alias("offset"), F.col("n").cast("long").alias("length"), "least")
+    strings = _asked(spec, texts, sized.filter((F.col("classes") > 1) & (F.col("classes") <= HOT))).mapInArrow(
         _strings(spec), "minimiser long, digest long, c long, least long, packed binary")
     marks = "minimiser long, digest long, offset long, length long, least long"
-    solved = strings.repartition("minimiser").sortWithinPartitions("minimiser").mapInArrow(_solved(spec), marks)
-    hot = materialise(_asked(spec, texts, mixed.filter(F.col("classes") > HOT)).mapInArrow(
+    solved = scratch.write(
+        strings.repartition("minimiser").sortWithinPartitions("minimiser").mapInArrow(_solved(spec), marks), "solved")
+    hot = scratch.write(_asked(spec, texts, sized.filter(F.col("classes") > HOT)).mapInArrow(
         _digests(spec), "minimiser long, digest long, c long, least long, offset long, h1 long, h2 long"), "hot")
     sums = hot.groupBy("h1", "h2").agg(F.sum("c").alias("total"), F.min("least").alias("smallest")).filter("total > 1")
     counted = hot.join(sums, ["h1", "h2"]).select(
         "minimiser", "digest", "offset", F.lit(1).cast("long").alias("length"), F.col("smallest").alias("least"))
-    every = materialise(single.unionByName(solved).unionByName(counted), "marks")
-    release(spark)
+    every = scratch.write(single.unionByName(solved).unionByName(counted), "marks")
+    scratch.drop("sized", "solved", "hot")
     return found.join(every, ["minimiser", "digest"]).select(
-        "key", "doc_id", (F.col("start") + F.col("offset")).alias("start"), "length",
+        "key", "doc_id", "copies", (F.col("start") + F.col("offset")).alias("start"), "length",
         F.when(F.col("least") < LARGEST, F.col("least")).alias("least"))
 
 
-def with_runs(documents, marks):
-    """Every document with the lists of its marked runs, which may be NULL."""
+def with_runs(documents, copies, whole, marks):
+    """Every document with the lists of its marked runs, which may be NULL, and whether all its windows are marked.
+
+    whole is the condition for the latter, on long_id and the columns of `copied`.
+    """
     lists = broadcast_if_small(marks.groupBy("key", F.col("doc_id").alias("marked_id")).agg(
         F.collect_list("start").alias("starts"), F.collect_list("length").alias("lengths")))
-    texts = documents.select(
-        "doc_id", "text", F.xxhash64("doc_id", "text").alias("key"), F.col("doc_id").cast("long").alias("long_id"))
+    release(documents.sparkSession)
+    texts = _with_copies(documents, copies)
     return texts.join(
         lists, (texts["key"] == lists["key"]) & texts["long_id"].eqNullSafe(lists["marked_id"]), "left"
-    ).select("doc_id", "text", "starts", "lengths")
+    ).select("doc_id", "text", "starts", "lengths", F.coalesce(F.expr(whole), F.lit(False)).alias("whole"))
 
 
 def covered(batch, first, n, bounds, k):
-    """Mask of the symbols of a slice that a marked window covers."""
+    """Mask of the symbols of a slice that a marked window covers; of whole documents every window is marked."""
     lists = [batch.column(c).slice(first, n) for c in ("starts", "lengths")]
     counts = np.where(lists[0].is_valid().to_numpy(zero_copy_only=False), np.diff(lists[0].offsets.to_numpy()), 0)
     starts, lengths = (x.flatten().to_numpy(zero_copy_only=False) for x in lists)
-    low = starts + np.repeat(bounds[:-1], counts)
+    room = np.diff(bounds) - k + 1
+    whole = np.flatnonzero(batch.column("whole").slice(first, n).to_numpy(zero_copy_only=False) & (room > 0))
+    low = np.concatenate([starts + np.repeat(bounds[:-1], counts), bounds[whole]]).astype(np.int64)
+    lengths = np.concatenate([lengths, room[whole]]).astype(np.int64)
     depth = np.zeros(int(bounds[-1]) + 1, np.int64)
     np.add.at(depth, low, 1)
     np.add.at(depth, low + lengths + k - 1, -1)
