@@ -2,7 +2,7 @@ from types import SimpleNamespace
 
 import pytest
 
-from chatlens.session import materialise, scratch_path, shared_dir
+from chatlens.session import materialise, remove, scratch_path, shared_dir
 from chatlens.sizing import broadcast_if_small, is_small, measured_copy
 
 
@@ -27,6 +27,14 @@ def test_written_copy_is_the_same(spark):
     assert copy.columns == df.columns and sorted(copy.collect()) == sorted(df.collect())
 
 
+def test_only_the_named_folder_is_removed(spark, tmp_path):
+    for name in ("gone", "kept"):
+        spark.range(3).write.parquet(f"file://{tmp_path}/{name}")
+    remove(spark, f"file://{tmp_path}/gone")
+    remove(spark, f"file://{tmp_path}/never-there")
+    assert [p.name for p in tmp_path.iterdir()] == ["kept"]
+
+
 def test_size_is_measured(spark):
     df = spark.range(100).selectExpr("id", "repeat('é', 10) AS text")
     width = 100 * (16 + 16 + 20)
