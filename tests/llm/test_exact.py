@@ -47,6 +47,15 @@ def test_suffixes_of_given_documents(spark, tiny, documents):
     assert brute.by_key(QUERIES["op9_suffixes"](spark, tiny).collect()) == brute.by_key(want)
 
 
+def test_copies_with_repeated_and_missing_ids(spark):
+    one, two = (" ".join(f"{w}{i}" for i in range(60)) for w in ("alder", "birch"))
+    rows = [(2, one), (2, one), (5, one), (None, one), (None, two), (None, two), (3, f"x {one} y"), (1, one[40:200])]
+    documents = spark.createDataFrame(rows, "doc_id long, text string")
+    for operator, plain in ((substrings, brute.removed_words), (suffixes, brute.removed_bytes)):
+        got = operator.dedup(documents).drop("kept").collect()
+        assert brute.by_key(got) == brute.by_key(plain(brute.pairs(rows)))
+
+
 def test_suffix_array_and_common_prefixes():
     rng = np.random.default_rng(0)
     for trial in range(200):
