@@ -4,8 +4,10 @@ Equal vectors are one node. The graph starts from blocks of vectors on the same
 In each round, every node gathers a bounded sample of its neighbours in both directions (at most SAMPLE of
 each kind) by Spark joins, and compares those neighbours of neighbours with each other; each node keeps its
 K nearest. A query starts at the neighbours of its own node, or at fixed entry nodes, and repeatedly expands
-the nearest nodes not yet expanded, until none of its BEAM nearest is left. Both work on half-precision
-copies only while the graph is built; distances of queries are double precision on the original vectors.
+the nearest nodes not yet expanded, until none of its BEAM nearest is left. While the graph is built, distances
+come from reduced copies: all vectors divided by one factor, so that all rounds rank by the same distances, in
+half precision, or in single precision if magnitudes differ by more than WIDE. Distances of queries are double
+precision on the original vectors.
 
 Defined cases: rows without id and vectors that are NULL, zero, or hold NULL or non-finite components take
 no part, nor do vectors of another length than the commonest; repeated rows (id and vector) count once;
@@ -32,6 +34,8 @@ ENOUGH = 0.01  # rounds end when fewer edges than this share are new
 BEAM = 192
 EXPAND = 24
 ENTRIES = 64
+WIDE = 1e4  # between the largest components of two vectors; half precision would lose the smaller one
+_TOP = 1024  # largest component of the reduced copies
 
 
 def usable(vectors):
@@ -54,88 +58,95 @@ def _matrix(column, kind):
     return flat.reshape(len(column), -1).astype(kind) if len(column) else np.zeros((0, 1), kind)
 
 
-def _assign(bits):
+def _reduced(x, largest, kind):
+    """Copies of the rows for distances, all divided by the same factor."""
+    return pa.array([r.tobytes() for r in (x / largest * _TOP).astype(kind)], pa.binary())
+
+
+def _assign(bits, largest, kind):
     """Bucket of every vector in each tree, by the signs of random projections; the last tree is random."""
     def run(batches):
         planes = None
         for batch in batches:
-            x = _matrix(batch.column("x"), np.float32)
+            x = _matrix(batch.column("x"), np.float64)
             if planes is None:
                 planes = np.random.default_rng(11).standard_normal((x.shape[1], (TREES - 1) * bits)).astype(np.float32)
-            x = x / np.sqrt((x.astype(np.float64) ** 2).sum(1, keepdims=True)).astype(np.float32)
-            signs = (x @ planes > 0).reshape(len(x), TREES - 1, bits)
+            unit = (x / np.abs(x).max(1, keepdims=True)).astype(np.float32)  # signs don't depend on the length
+            signs = (unit @ planes > 0).reshape(len(x), TREES - 1, bits)
             bucket = (signs * (1 << np.arange(bits))).sum(2)
             mixed = batch.column("random").to_numpy()[:, None] % (1 << bits)
             bucket = np.hstack([bucket, mixed]).ravel()
-            half = pa.array([r.tobytes() for r in _half(x)], pa.binary())
             row = pa.array(np.repeat(np.arange(len(x)), TREES))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.tile(np.arange(TREES), len(x))), pa.array(bucket), batch.column("node").take(row),
-                 half.take(row)], ["tree", "bucket", "node", "h"])
+                 _reduced(x, largest, kind).take(row)], ["tree", "bucket", "node", "h"])
     return run
 
 
-def _half(x):
-    return np.clip(x, -6e4, 6e4).astype(np.float16)
-
-
-def _halves(batches):
-    """Half-precision copies; scaled, so that large and tiny vectors keep their order within a node's list."""
-    for batch in batches:
-        x = _matrix(batch.column("x"), np.float32)
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("node"), pa.array([r.tobytes() for r in _half(x)], pa.binary())], ["node", "h"])
+def _copies(largest, kind):
+    """The reduced copy of every vector, the same as in `_assign`."""
+    def run(batches):
+        for batch in batches:
+            x = _matrix(batch.column("x"), np.float64)
+            yield pa.RecordBatch.from_arrays([batch.column("node"), _reduced(x, largest, kind)], ["node", "h"])
+    return run
 
 
-def _unpacked(members):
+def _unpacked(members, kind):
+    """Vectors of the members; double precision where squares of single precision could vanish."""
     values = members.field("h")
     raw = b"".join(values.to_pylist())
-    return np.frombuffer(raw, np.float16).reshape(len(values), -1).astype(np.float32)
+    return np.frombuffer(raw, kind).reshape(len(values), -1).astype(np.float32 if kind == "float16" else np.float64)
 
 
-def _squares(x):
+def _apart(x):
+    """Distances between all rows."""
     norms = (x * x).sum(1)
-    return np.maximum(norms[:, None] + norms[None, :] - 2 * x @ x.T, 0)
+    return np.sqrt(np.maximum(norms[:, None] + norms[None, :] - 2 * x @ x.T, 0)).astype(np.float32)
 
 
-def _block_edges(batches):
+def _block_edges(kind):
     """The K nearest in its block of every member."""
-    for batch in batches:
-        column = batch.column("members")
-        offsets = column.offsets.to_numpy()
-        out = []
-        for low, high in zip(offsets[:-1], offsets[1:]):
-            members = column.values.slice(low, high - low)
-            node = members.field("node").to_numpy()
-            if len(node) < 2:
-                continue
-            d = _squares(_unpacked(members))
-            np.fill_diagonal(d, np.inf)
-            near = np.argpartition(d, min(K, len(node) - 1) - 1, axis=1)[:, :K] if len(node) > K else \
-                np.argsort(d, axis=1)[:, :-1]
-            out.append((np.repeat(node, near.shape[1]), node[near].ravel(), np.take_along_axis(d, near, 1).ravel()))
-        if out:
-            u, v, d = (np.concatenate(x) for x in zip(*out))
-            yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v), pa.array(d.astype(np.float32))], ["u", "v", "d"])
-
-
-def _local_join(batches):
+    def run(batches):
+        for batch in batches:
+            column = batch.column("members")
+            offsets = column.offsets.to_numpy()
+            out = []
+            for low, high in zip(offsets[:-1], offsets[1:]):
+                members = column.values.slice(low, high - low)
+                node = members.field("node").to_numpy()
+                if len(node) < 2:
+                    continue
+                d = _apart(_unpacked(members, kind))
+                np.fill_diagonal(d, np.inf)
+                near = np.argpartition(d, min(K, len(node) - 1) - 1, axis=1)[:, :K] if len(node) > K else \
+                    np.argsort(d, axis=1)[:, :-1]
+                out.append((np.repeat(node, near.shape[1]), node[near].ravel(), np.take_along_axis(d, near, 1).ravel()))
+            if out:
+                u, v, d = (np.concatenate(x) for x in zip(*out))
+                yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v), pa.array(d, pa.float32())], ["u", "v", "d"])
+    return run
+
+
+def _local_join(kind):
     """Compare the gathered neighbours of a node with each other: new ones with all; emit what could improve."""
-    for batch in batches:
-        column = batch.column("members")
-        offsets = column.offsets.to_numpy()
-        out = []
-        for low, high in zip(offsets[:-1], offsets[1:]):
-            members = column.values.slice(low, high - low)
-            node = members.field("node").to_numpy()
-            new = members.field("new").to_numpy(zero_copy_only=False)
-            worst = members.field("worst").to_numpy()
-            d = _squares(_unpacked(members))
-            fits = (new[:, None] | new[None, :]) & (node[:, None] != node[None, :]) & (d < worst[:, None])
-            a, b = np.nonzero(fits)
-            out.append((node[a], node[b], d[a, b]))
-        u, v, d = (np.concatenate(x) for x in zip(*out)) if out else (np.zeros(0, np.int64),) * 3
-        yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v), pa.array(d.astype(np.float32))], ["u", "v", "d"])
+    def run(batches):
+        for batch in batches:
+            column = batch.column("members")
+            offsets = column.offsets.to_numpy()
+            out = []
+            for low, high in zip(offsets[:-1], offsets[1:]):
+                members = column.values.slice(low, high - low)
+                node = members.field("node").to_numpy()
+                new = members.field("new").to_numpy(zero_copy_only=False)
+                worst = members.field("worst").to_numpy()
+                d = _apart(_unpacked(members, kind))
+                fits = (new[:, None] | new[None, :]) & (node[:, None] != node[None, :]) & (d < worst[:, None])
+                a, b = np.nonzero(fits)
+                out.append((node[a], node[b], d[a, b]))
+            u, v, d = (np.concatenate(x) for x in zip(*out)) if out else (np.zeros(0, np.int64),) * 3
+            yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v), pa.array(d, pa.float32())], ["u", "v", "d"])
+    return run
 
 
 def _best(edges):
@@ -148,16 +159,18 @@ def _best(edges):
 def build_graph(nodes):
     """(u, v, d, new): K approximate nearest nodes of each."""
     spark = nodes.sparkSession
-    n = nodes.count()
+    size = F.array_max(F.transform("x", lambda v: F.abs(v.cast("double"))))
+    n, largest, least = nodes.agg(F.count("*"), F.coalesce(F.max(size), F.lit(1.0)), F.coalesce(F.min(size), F.lit(1.0))).first()
+    kind = "float16" if largest / WIDE <= least else "float32"
     bits = max(1, math.ceil(math.log2(max(n, 2) / BLOCK)))
     assigned = nodes.withColumn("random", F.abs(F.xxhash64("node"))).mapInArrow(
-        _assign(bits), "tree long, bucket long, node long, h binary")
+        _assign(bits, largest, kind), "tree long, bucket long, node long, h binary")
     sizes = assigned.groupBy("tree", "bucket").agg(F.ceil(F.count("*") / (2 * BLOCK)).alias("parts"))
     split = assigned.join(sizes, ["tree", "bucket"]).withColumn(
         "part", F.pmod(F.xxhash64("node", "tree"), "parts"))  # any split will do for a start
     blocks = split.groupBy("tree", "bucket", "part").agg(F.collect_list(F.struct("node", "h")).alias("members"))
-    first = blocks.select("members").mapInArrow(_block_edges, "u long, v long, d float")
-    halves = materialise(nodes.mapInArrow(_halves, "node long, h binary"), "halves")
+    first = blocks.select("members").mapInArrow(_block_edges(kind), "u long, v long, d float")
+    copies = materialise(nodes.mapInArrow(_copies(largest, kind), "node long, h binary"), "copies")
     edges = materialise(_best(first.withColumn("new", F.lit(True))), "graph")
     for turn in range(ROUNDS):
         both = edges.select(F.col("u").alias("at"), F.col("v").alias("node"), "new", F.lit(0).alias("way")).unionByName(
@@ -167,10 +180,10 @@ def build_graph(nodes):
         sample = materialise(sample.select("at", "node", "new", "way"), "sample")
         worst = edges.groupBy(F.col("u").alias("node")).agg(
             F.when(F.count("*") < K, float("inf")).otherwise(F.max("d")).cast("float").alias("worst"))
-        known = halves.join(worst, "node", "left").withColumn("worst", F.coalesce("worst", F.lit(float("inf")).cast("float")))
+        known = copies.join(worst, "node", "left").withColumn("worst", F.coalesce("worst", F.lit(float("inf")).cast("float")))
         gathered = sample.groupBy("at", "node").agg(F.max("new").alias("new")).join(known, "node").groupBy("at").agg(
             F.collect_list(F.struct("node", "new", "worst", "h")).alias("members"))  # 4 * SAMPLE at most
-        found = gathered.select("members").mapInArrow(_local_join, "u long, v long, d float")
+        found = gathered.select("members").mapInArrow(_local_join(kind), "u long, v long, d float")
         used = sample.filter("new AND way = 0").select(F.col("at").alias("u"), F.col("node").alias("v"), F.lit(True).alias("used"))
         kept = edges.join(used, ["u", "v"], "left").select("u", "v", "d", (F.col("new") & F.col("used").isNull()).alias("new"))
         edges = materialise(_best(kept.unionByName(found.withColumn("new", F.lit(True)))), "graph")
