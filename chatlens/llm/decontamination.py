@@ -1,15 +1,20 @@
 """Benchmark decontamination by spaced-seed hashing, in DataFrame functions only.
 
-Words are runs of letters and digits, lower-cased. Two fixed masks pick six words each from every place
-of a text and ignore those between. Test and training hashes are joined; a hit names a diagonal of the item
-and the text, along which windows of 13 words are compared word by word. A window overlaps if at least 11 of 13 words
-agree. The two masks find every such window: each way to place two substitutions leaves a seed whole.
+Words are runs of letters and digits, lower-cased; in scripts without spaces each character is a word. Two
+fixed masks pick six words each from every place of a text and ignore those between. Test and training hashes are
+joined; a hit names a diagonal of the item and the text, along which windows of 13 words are compared word by word. A
+window overlaps if at least 11 of 13 words agree. The two masks find every such window: each way to place two
+substitutions leaves a seed whole.
+
+Items of fewer than 13 words are one window and need 84 % of their words: those of 7 to 12 words can have one
+substitution, for which five more masks leave a seed whole; shorter ones must agree in all words and have one
+seed, the whole item. Texts are hashed only with the masks that an item of the benchmark needs.
 
 The seeds of the benchmark and the hits are broadcast only after their size is measured; otherwise they are
 joined by shuffle. Words never travel with seeds.
 
-Defined cases: NULL and empty texts never overlap; items of fewer than 13 words need 84 % of theirs, those
-of fewer than 7 words are too short to count; rows with equal id and text are one document; other columns
+Defined cases: NULL texts and texts without words never overlap; every item with a word counts, so an item of one
+word overlaps with all texts that have this word; rows with equal id and text are one document; other columns
 are kept by `clean` and ignored otherwise.
 """
 
@@ -20,19 +25,57 @@ from chatlens.sizing import broadcast_if_small
 MASKS = ((0, 1, 2, 4, 5, 6), (0, 1, 3, 6, 7, 8))
 WINDOW = 13
 SHARE = 0.84  # 11 of 13
-_SPAN = 7  # of the shorter mask
+# With the first of MASKS: six of seven words, without each of them; the first and the last are left out by places.
+SHORT_MASKS = (
+    (0, 1, 2, 3, 4, 5), (0, 2, 3, 4, 5, 6), (0, 1, 3, 4, 5, 6), (0, 1, 2, 3, 5, 6), (0, 1, 2, 3, 4, 6))
+_ALL = MASKS + SHORT_MASKS + tuple(tuple(range(n)) for n in range(1, 6))
+_SHORT = 7  # words of the shortest item that can have a substitution
+_UNSPACED = r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}]"
 
 
 def words_of(text):
-    return F.split(F.lower(text), r"[^\p{L}\p{N}]+")
+    apart = F.regexp_replace(F.lower(text), f"({_UNSPACED})", " $1 ")
+    return F.array_remove(F.split(apart, r"[^\p{L}\p{N}]+"), "")
+
+
+def masks_for(size):
+    """The masks that find every overlap with an item of so many words."""
+    if size >= WINDOW:
+        return MASKS
+    return (MASKS[0], *SHORT_MASKS) if size >= _SHORT else (tuple(range(size)),)
+
+
+def _seed(mask):
+    """Hash of the masked words at a place; NULL where the mask doesn't fit."""
+    words = [F.get("words", F.col("at") + o) for o in mask]
+    fits = F.col("at") + mask[-1] < F.size("words")
+    return F.when(fits, F.xxhash64(F.lit(_ALL.index(mask)), *words))
+
+
+def _placed(texts, span, *columns):
+    """One row for each place where `span` words follow."""
+    return texts.filter(F.size("words") >= span).select(
+        *columns, "words", F.explode(F.sequence(F.lit(0), F.size("words") - span)).alias("at"))
+
+
+def _seeded_items(items):
+    """One row for each place and mask of an item: item_key, item_at, mask and seed."""
+    placed = _placed(items, 1, "item_key")
+    needed = F.when(F.size("words") >= WINDOW, _seeds(MASKS))
+    for size in range(1, WINDOW):
+        needed = needed.when(F.size("words") == size, _seeds(masks_for(size)))
+    return placed.select("item_key", F.col("at").alias("item_at"), F.explode(needed).alias("s")).select(
+        "item_key", "item_at", "s.mask", "s.seed").filter("seed IS NOT NULL")
+
+
+def _seeds(masks):
+    return F.array(*[F.struct(F.lit(_ALL.index(m)).alias("mask"), _seed(m).alias("seed")) for m in masks])
 
 
-def _seeded(texts, *columns):
-    """One row for each place and mask: the columns, at (place) and seed; not the words, which would be copied to each."""
-    placed = texts.filter(F.size("words") >= _SPAN).select(
-        *columns, "words", F.explode(F.sequence(F.lit(0), F.size("words") - _SPAN)).alias("at"))
-    seeds = [F.xxhash64(F.lit(i), *[F.get("words", F.col("at") + o) for o in mask]) for i, mask in enumerate(MASKS)]
-    return placed.select(*columns, "at", F.explode(F.array(*seeds)).alias("seed"))
+def _seeded_texts(texts, masks):
+    """One row for each place and mask: key, doc_id, at (place) and seed; not the words, which would be copied to each."""
+    placed = _placed(texts, min(m[-1] for m in masks) + 1, "key", "doc_id")
+    return placed.select("key", "doc_id", "at", F.explode(F.array(*[_seed(m) for m in masks])).alias("seed"))
 
 
 def _agreed():
@@ -55,8 +98,10 @@ def overlaps(documents, benchmark):
     items = benchmark.select(
         "item_id", F.xxhash64("item_id", "text").alias("item_key"), words_of("text").alias("words")).distinct()
     texts = documents.select(F.xxhash64("doc_id", "text").alias("key"), "doc_id", words_of("text").alias("words"))
-    wanted = broadcast_if_small(_seeded(items, "item_key").withColumnRenamed("at", "item_at"))
-    hits = _seeded(texts, "key", "doc_id").join(wanted, "seed").groupBy("key", "doc_id", "item_key").agg(
+    wanted = broadcast_if_small(_seeded_items(items))
+    used = sorted(r["mask"] for r in wanted.select("mask").distinct().collect())  # of 12 at most
+    masks = [_ALL[i] for i in used] or MASKS
+    hits = _seeded_texts(texts, masks).join(wanted, "seed").groupBy("key", "doc_id", "item_key").agg(
         F.collect_set(F.col("at") - F.col("item_at")).alias("diagonals"), F.min("at").alias("first_word"),
         F.count("*").alias("n_hits"))
     hits = broadcast_if_small(hits.select(

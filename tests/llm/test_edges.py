@@ -1,9 +1,13 @@
 """Cases at the edges of the operators' methods: magnitudes, short and punctuated texts, odd secrets."""
 
+import itertools
+import math
+
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from chatlens.llm import neighbours
+from chatlens.llm import decontamination, neighbours
 
 
 @pytest.mark.parametrize("norm", ["ten", "mixed", "wide"])
@@ -22,3 +26,42 @@ def test_graph_of_any_norm(spark, norm):
         d[i] = np.inf
         hit += [(i, int(j)) in edges for j in np.argsort(d)[:10]]
     assert np.mean(hit) >= 0.9
+
+
+def changed(words, places):
+    return [f"other{i}" if i in places else w for i, w in enumerate(words)]
+
+
+@pytest.mark.parametrize("size", range(1, 14))
+def test_every_allowed_substitution_leaves_a_seed(size):
+    spare = size - math.ceil(size * decontamination.SHARE)
+    for places in itertools.combinations(range(size), spare):
+        assert any(not set(places) & {s + o for o in mask}
+                   for mask in decontamination.masks_for(size) for s in range(size - mask[-1]))
+
+
+def test_short_items_with_punctuation_at_both_ends(spark):
+    """Found with every allowed substitution and no more, alone and inside a document."""
+    items, rows, want = [], [], set()
+    for size in range(1, 14):
+        words = [f"i{size}w{k}" for k in range(size)]
+        items.append((size, "¿" + " ".join(words) + "?"))
+        spare = size - math.ceil(size * decontamination.SHARE)
+        for n in range(spare + 2):
+            for places in itertools.combinations(range(size), n):
+                text = " ".join(changed(words, places))
+                for whole in (text, f"«Before, {text}» after"):
+                    rows.append((len(rows), whole))
+                    want |= {(len(rows) - 1, size)} if n <= spare else set()
+    documents = spark.createDataFrame(rows, "doc_id long, text string")
+    found = decontamination.overlaps(documents, spark.createDataFrame(items, "item_id long, text string"))
+    assert {(r["doc_id"], r["item_id"]) for r in found.collect()} == want
+
+
+def test_items_in_scripts_without_spaces(spark):
+    items = spark.createDataFrame([(1, "「東京から大阪まで何時間かかりますか」"), (2, "ประเทศไทยมีกี่จังหวัด")], "item_id long, text string")
+    documents = spark.createDataFrame(
+        [(1, "質問です。東京から大阪まで何時間かかりますか。答え"), (2, "ถามว่าประเทศไทยมีกี่จังหวัดครับ"), (3, "東京は大きい")],
+        "doc_id long, text string")
+    assert {(r["doc_id"], r["item_id"]) for r in decontamination.overlaps(documents, items).collect()} == {(1, 1), (2, 2)}
+    assert [r["doc_id"] for r in decontamination.clean(documents, items).collect()] == [3]
