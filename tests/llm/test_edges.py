@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from chatlens.llm import decontamination, neighbours
+from chatlens.llm import decontamination, neighbours, secretscan
 
 
 @pytest.mark.parametrize("norm", ["ten", "mixed", "wide"])
@@ -65,3 +65,18 @@ def test_items_in_scripts_without_spaces(spark):
         "doc_id long, text string")
     assert {(r["doc_id"], r["item_id"]) for r in decontamination.overlaps(documents, items).collect()} == {(1, 1), (2, 2)}
     assert [r["doc_id"] for r in decontamination.clean(documents, items).collect()] == [3]
+
+
+def test_secrets_of_any_length_and_characters(spark, small):
+    rows = [(5000, "then password=Tr0ub4dor&3 was set", "Tr0ub4dor&3"), (5001, "at postgres://u:p4ss!w0rd@host now", "p4ss!w0rd"),
+            (5002, "the secret: correcthorsebattery, he said", "correcthorsebattery"), (5003, "password hunter2.", "hunter2"),
+            (5004, 'token = "a1\\Eb2$c3"', "a1\\Eb2$c3")]
+    df = spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text").unionByName(
+        spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string"))
+    scanned = {(r["doc_id"], r["candidate"]): r for r in secretscan.scan(df).filter("doc_id >= 5000").collect()}
+    assert {(i, c) for i, _, c in rows} <= set(scanned)
+    texts = {r["doc_id"]: r["text"] for r in secretscan.redact(df).filter("doc_id >= 5000").collect()}
+    for i, text, c in rows:
+        assert scanned[i, c]["is_secret"] == (c not in texts[i])
+    assert scanned[5000, "Tr0ub4dor&3"]["is_secret"] and texts[5000] == f"then password={secretscan.MASK} was set"
+    assert (5000, "was") not in scanned
