@@ -162,7 +162,7 @@ def build_graph(nodes):
     size = F.array_max(F.transform("x", lambda v: F.abs(v.cast("double"))))
     n, largest, least = nodes.agg(F.count("*"), F.coalesce(F.max(size), F.lit(1.0)), F.coalesce(F.min(size), F.lit(1.0))).first()
     kind = "float16" if largest / WIDE <= least else "float32"
-    bits = max(1, math.ceil(math.log2(max(n, 2) / BLOCK)))
+    bits = max(0, math.ceil(math.log2(max(n, 2) / BLOCK)))
     assigned = nodes.withColumn("random", F.abs(F.xxhash64("node"))).mapInArrow(
         _assign(bits, largest, kind), "tree long, bucket long, node long, h binary")
     sizes = assigned.groupBy("tree", "bucket").agg(F.ceil(F.count("*") / (2 * BLOCK)).alias("parts"))

@@ -28,6 +28,15 @@ def test_graph_of_any_norm(spark, norm):
     assert np.mean(hit) >= 0.9
 
 
+def test_table_of_one_block_is_complete(spark):
+    """Every node of a table below one block has an edge to every other."""
+    rows = [(i, [float(1 if i % 2 else -1), 0.01 * i]) for i in range(1, 6)]
+    for n in (2, 5):
+        nodes = spark.createDataFrame(rows[:n], "node long, x array<float>")
+        edges = {(r["u"], r["v"]) for r in neighbours.build_graph(nodes).collect()}
+        assert edges == {(a, b) for a in range(1, n + 1) for b in range(1, n + 1) if a != b}
+
+
 def changed(words, places):
     return [f"other{i}" if i in places else w for i, w in enumerate(words)]
 
