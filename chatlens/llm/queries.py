@@ -3,7 +3,10 @@
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from chatlens.llm import decontamination, jaccard, neighbours, packing, quality, secretscan, substrings, suffixes, tokencounts, toxicity
+from chatlens.llm import (
+    decontamination, jaccard, neighbours, packing, periodic, quality, secretscan, substrings, suffixes, tokencounts,
+    toxicity,
+)
 
 WORD_BPE = "word_bpe_49k.json"
 PIECES = "piece_bpe_32k.model"
@@ -60,6 +63,10 @@ def op10_secret_scan(spark, sf_dir):
     return secretscan.scan(_table(spark, sf_dir, "documents")).drop("key")
 
 
+def op11_periodic_runs(spark, sf_dir):
+    return periodic.runs(_table(spark, sf_dir, "documents"), planted=True)
+
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_substrings": op2_substrings,
@@ -71,5 +78,6 @@ QUERIES = {
     "op8_packing": op8_packing,
     "op9_suffixes": op9_suffixes,
     "op10_secret_scan": op10_secret_scan,
+    "op11_periodic_runs": op11_periodic_runs,
 }
 ORACLE = {}
