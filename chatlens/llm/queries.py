@@ -4,10 +4,11 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from chatlens.llm import (
-    decontamination, jaccard, neighbours, packing, periodic, quality, secretscan, substrings, suffixes, tokencounts,
-    toxicity,
+    alignment, decontamination, jaccard, neighbours, packing, periodic, quality, secretscan, substrings, suffixes,
+    tokencounts, toxicity,
 )
 
+BYTE_BPE = "byte_bpe_50k.json"
 WORD_BPE = "word_bpe_49k.json"
 PIECES = "piece_bpe_32k.model"
 
@@ -67,6 +68,11 @@ def op11_periodic_runs(spark, sf_dir):
     return periodic.runs(_table(spark, sf_dir, "documents"), planted=True)
 
 
+def op12_token_alignment(spark, sf_dir):
+    return alignment.align(
+        _table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE), public_tokenizers.path(PIECES))
+
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_substrings": op2_substrings,
@@ -79,5 +85,6 @@ QUERIES = {
     "op9_suffixes": op9_suffixes,
     "op10_secret_scan": op10_secret_scan,
     "op11_periodic_runs": op11_periodic_runs,
+    "op12_token_alignment": op12_token_alignment,
 }
 ORACLE = {}
