@@ -4,8 +4,8 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from chatlens.llm import (
-    alignment, decontamination, jaccard, neighbours, packing, periodic, quality, secretscan, substrings, suffixes,
-    tokencounts, toxicity,
+    alignment, decontamination, innerproducts, jaccard, neighbours, packing, periodic, quality, secretscan,
+    substrings, suffixes, tokencounts, toxicity,
 )
 
 BYTE_BPE = "byte_bpe_50k.json"
@@ -73,6 +73,11 @@ def op12_token_alignment(spark, sf_dir):
         _table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE), public_tokenizers.path(PIECES))
 
 
+def op13_inner_products(spark, sf_dir):
+    vectors = _table(spark, sf_dir, "embeddings")
+    return innerproducts.top_inner_products(vectors, vectors.where("vec_id % 100 = 0"))
+
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_substrings": op2_substrings,
@@ -86,5 +91,21 @@ QUERIES = {
     "op10_secret_scan": op10_secret_scan,
     "op11_periodic_runs": op11_periodic_runs,
     "op12_token_alignment": op12_token_alignment,
+    "op13_inner_products": op13_inner_products,
+}
+ORACLE = {
+    "op13_inner_products": """
+        WITH whole AS (
+            SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS x
+            FROM embeddings
+            WHERE embedding IS NOT NULL
+              AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        pairs AS (
+            SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(
+                CAST(q.x AS DOUBLE[]), CAST(c.x AS DOUBLE[])) AS BIGINT) AS score
+            FROM whole q JOIN whole c ON q.vec_id <> c.vec_id
+            WHERE q.vec_id % 100 = 0),
+        ranked AS (
+            SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM pairs)
+        SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM ranked WHERE rank <= 10""",
 }
-ORACLE = {}
