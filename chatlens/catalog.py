@@ -222,7 +222,7 @@ def stream_enrichment_upsert(spark, sf):
         updates, root, scratch_path(spark, "offsets"), derived.UPDATE_ORDER, available_now=True
     ).awaitTermination()
     log = stream_labels.logged_updates(spark, root, updates.schema)
-    return stream_labels.current_messages(derived.live(spark, sf), log, AS_OF, derived.UPDATE_ORDER)
+    return stream_labels.current_messages(derived.live(spark, sf), log, AS_OF)
 
 
 QUERIES = {

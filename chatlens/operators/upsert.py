@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from chatlens.functions.time import moment
-from chatlens.schema import FLAGS, LABELS
+from chatlens.schema import FLAGS, LABELS, POSITION
 from chatlens.sizing import measured_copy
 
 
@@ -29,20 +29,19 @@ def _overwrite(state_fields, columns, stale):
     ]
 
 
-def keyed_upsert(state, changes, key, insert_missing=True, small=False, stale=None, hidden=()):
+def keyed_upsert(state, changes, key, insert_missing=True, small=False, stale=None):
     """Overwrite matching rows of state and add the unmatched changes.
 
-    `stale`, an expression over a row and its `_new`, keeps a matched row; `hidden` names values of
-    `_new` that only it reads.
+    `stale`, an expression over a row and its `_new`, keeps a matched row.
 
     changes: one row per key, its values in the struct `_new`. With `small` the changes are
     broadcast and the state is not shuffled: unmatched keys then come from a second scan that
     reads only the key column. Otherwise one full outer join on the key.
     """
-    columns = [c for c in changes.schema["_new"].dataType.names if c not in hidden]
+    columns = changes.schema["_new"].dataType.names
     state = state.withColumns({
         f.name: F.lit(None).cast(f.dataType)
-        for f in changes.schema["_new"].dataType.fields if f.name in columns and f.name not in state.columns
+        for f in changes.schema["_new"].dataType.fields if f.name not in state.columns
     })
     fields = [(f.name, f.dataType) for f in state.schema.fields]
     if not small:
@@ -61,27 +60,32 @@ def keyed_upsert(state, changes, key, insert_missing=True, small=False, stale=No
     return updated.unionByName(added)
 
 
-def enrichment_upsert(
-    messages, updates, as_of=None, order=("seq",), insert_missing=True, broadcast_bytes=None, written=None
-):
+def _at(names, prefix=""):
+    return F.struct(*[F.col(f"{prefix}{n}").cast("long").alias(n) for n in names])
+
+
+def enrichment_upsert(messages, updates, as_of=None, order=("seq",), insert_missing=True, broadcast_bytes=None):
     """Write labels back by message id.
 
     The last update of an id wins, an explicit NULL overwrites, unknown ids become partial
-    rows, and matched rows are marked labelled. `as_of` (a time) stamps
-    dt_enriched; without it the stamp is left alone. `written` names a time in the updates: a row
-    that was labelled later than that keeps its labels.
+    rows, and matched rows are marked labelled. `as_of` (a time) stamps dt_enriched; without it the
+    updates' own dt_enriched does, if they have one, else the stamp is left alone.
+
+    Where both sides have a position in the label log (POSITION), it is kept with the row, and an update that
+    is not later than the row's is ignored: writes may then come late, again, and in any order.
 
     The updates are collapsed to one row per id, written and measured once.
     """
     fixed = {"enriched": F.lit(True)}
     if as_of is not None:
         fixed["dt_enriched"] = moment(as_of)
-    labels = [name for name in LABELS if name in updates.columns]
-    hidden = [written] if written else []
-    stale = F.col("dt_enriched") > F.col(f"_new.{written}") if written else None
-    collapsed = last_wins(updates.withColumns(fixed), "id", [*labels, *fixed, *hidden], order)
+    placed = set(POSITION) <= {*updates.columns} & {*messages.columns}
+    values = [name for name in [*LABELS, "dt_enriched"] if name in updates.columns and name not in fixed]
+    values += POSITION if placed else []
+    stale = _at(POSITION) >= _at(POSITION, "_new.") if placed else None
+    collapsed = last_wins(updates.withColumns(fixed), "id", [*values, *fixed], order)
     changes, small = measured_copy(collapsed, broadcast_bytes)
-    return keyed_upsert(messages, changes, "id", insert_missing, small, stale, hidden)
+    return keyed_upsert(messages, changes, "id", insert_missing, small, stale)
 
 
 def enrichment_update_only(messages, updates, order=("seq",), broadcast_bytes=None):

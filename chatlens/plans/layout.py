@@ -12,12 +12,13 @@ from pyspark.sql import types as T
 from chatlens.operators.filters import not_deleted, video_keys
 from chatlens.operators.registry import soft_delete
 from chatlens.operators.upsert import enrichment_upsert
-from chatlens.schema import MESSAGES
+from chatlens.schema import MESSAGES, POSITION
 from chatlens.session import materialise
 
 BLOCK_ROWS = 10_000_000
+_KEPT = T.StructType([*MESSAGES.fields, *[T.StructField(p, T.LongType()) for p in POSITION]])
 STORED = T.StructType([
-    *MESSAGES.fields, T.StructField("n_chars", T.IntegerType()), T.StructField("block_rows", T.LongType()),
+    *_KEPT.fields, T.StructField("n_chars", T.IntegerType()), T.StructField("block_rows", T.LongType()),
     T.StructField("id_block", T.LongType()),
 ])
 
@@ -27,9 +28,9 @@ def block_of(column="id", block_rows=BLOCK_ROWS):
 
 
 def _laid_out(messages, block_rows):
-    missing = {f.name: F.lit(None).cast(f.dataType) for f in MESSAGES.fields if f.name not in messages.columns}
+    missing = {f.name: F.lit(None).cast(f.dataType) for f in _KEPT.fields if f.name not in messages.columns}
     rows = messages.withColumns(missing).select(
-        *MESSAGES.names, F.length("message").alias("n_chars"), F.lit(block_rows).cast("long").alias("block_rows"),
+        *_KEPT.names, F.length("message").alias("n_chars"), F.lit(block_rows).cast("long").alias("block_rows"),
         block_of("id", block_rows),
     )
     # rebalance: files of even size per block, a large block over several tasks
@@ -76,11 +77,11 @@ def _blocks(spark, path, blocks):
     return read_table(spark, path).join(F.broadcast(listed), "id_block", "left_semi")
 
 
-def apply_label_updates(spark, path, updates, as_of, order=("seq",), block_rows=None, written=None):
+def apply_label_updates(spark, path, updates, as_of=None, order=("seq",), block_rows=None):
     """Write a batch of labels into the table, rewriting only the blocks it touches."""
     block_rows = block_size(spark, path, block_rows)
     touched = _blocks(spark, path, updates.select(block_of("id", block_rows)))
-    changed = enrichment_upsert(touched.select(*MESSAGES.names), updates, as_of, order, written=written)
+    changed = enrichment_upsert(touched.select(*_KEPT.names), updates, as_of, order)
     _replace_blocks(changed, path, block_rows)
 
 

@@ -6,8 +6,9 @@ from chatlens.operators.facets import facet_messages
 from chatlens.operators.summaries import model_summaries, summary_records, term_summaries
 from chatlens.operators.upsert import edit_diff
 from chatlens.plans.layout import apply_label_updates
-from chatlens.schema import FACET_SIZE
+from chatlens.schema import FACET_SIZE, POSITION
 from chatlens.session import materialise
+from chatlens.streaming.enrichment import log_correction
 
 
 def summary_run(visible, generated_at, n=FACET_SIZE, fn=None):
@@ -25,8 +26,16 @@ def append_summaries(records, path):
     records.write.mode("append").parquet(path)
 
 
-def correct_labels(spark, path, original, edited, as_of, block_rows=None):
-    """Write the rows a reviewer changed back to the message table."""
-    changed = edit_diff(original, edited).withColumn("seq", F.lit(0))
+def correct_labels(spark, path, original, edited, as_of, block_rows=None, log=None, name=None):
+    """Write the rows a reviewer changed back to the message table.
+
+    With a label log (its folder) the correction, under a name of its own, takes its place there, after the batches
+    written so far: what the log holds from before never overwrites it, what comes later does, whenever it is folded.
+    """
+    changed = edit_diff(original, edited)
+    if log:
+        placed = log_correction(spark, log, changed, name, as_of)
+        return apply_label_updates(spark, path, placed, order=POSITION, block_rows=block_rows)
     # the comparison must not run against files that the write replaces
-    apply_label_updates(spark, path, materialise(changed, "edits"), as_of, block_rows=block_rows)
+    changed = materialise(changed.withColumn("seq", F.lit(0)), "edits")
+    return apply_label_updates(spark, path, changed, as_of, block_rows=block_rows)

@@ -21,6 +21,8 @@ MESSAGES = _struct(
     dt_enriched=_TS, delete=_B,
 )
 REGISTRY = _struct(url=_S, platform=_S, status=_S)
+# Where in the label log the last applied write of a row stands: its batch, and its turn among corrections after it.
+POSITION = ["label_batch", "label_turn"]
 LABEL_UPDATES = _struct(
     id=_L, sg=_S, mil=_S, rnr=_S, societal_impact=_S, lang=_S, senti=_S, troll=_B, toxic=_B, seq=_L
 )

@@ -6,7 +6,7 @@ from pyspark.sql import types as T
 from chatlens.operators.ingest import ingest_new_messages
 from chatlens.schema import MESSAGES, SUPPLIED
 from chatlens.session import materialise
-from chatlens.streaming.batches import prepare, read_batches, start, write_batch
+from chatlens.streaming.batches import read_batches, start, write_batch
 
 LANDED = T.StructType([f for f in MESSAGES.fields if f.name in ("id", *SUPPLIED, "enriched")])
 
@@ -29,12 +29,9 @@ def stream_ingest(stream, stored, root, checkpoint, horizon="1 day", **options):
     """Land new messages below root; repeats older than the horizon are found in `stored`
     and in what earlier batches landed.
     """
-    spark = stream.sparkSession
-    prepare(spark, root, LANDED)
-
     def land(batch, batch_id):
         batch = materialise(batch, "batch")  # several passes follow; run the stream's part once
-        landed = read_batches(batch.sparkSession, root, LANDED).where(F.col("batch") < batch_id)
+        landed = read_batches(batch.sparkSession, root, LANDED, before=batch_id)
         known = stored.select("id", "msg_id").unionByName(landed.select("id", "msg_id"))
         write_batch(ingest_new_messages(known, batch, order=("dt_stamp", "msg_id")), batch_id, root)
 

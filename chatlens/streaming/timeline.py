@@ -8,7 +8,7 @@ than that are not counted.
 from pyspark.sql import functions as F
 
 from chatlens.operators.timeline import stance_buckets, unfold
-from chatlens.streaming.batches import latest, prepare, read_batches, start, write_batch
+from chatlens.streaming.batches import BATCH, latest, read_batches, start, write_batch
 
 
 def counted(stream, width="15 minutes", delay=None):
@@ -19,14 +19,17 @@ def counted(stream, width="15 minutes", delay=None):
     return stance_buckets(timed, width)
 
 
+def _newest(rows):
+    return latest(rows, ["bucket_start"])
+
+
 def stream_stance_timeline(visible, root, checkpoint, width="15 minutes", delay=None, **options):
     """Each micro-batch writes the buckets it changed."""
     buckets = counted(visible, width, delay)
-    prepare(visible.sparkSession, root, buckets.schema)
-    return start(buckets, lambda batch, n: write_batch(batch, n, root), checkpoint, "update", **options)
+    return start(buckets, lambda batch, n: write_batch(batch, n, root, _newest), checkpoint, "update", **options)
 
 
 def streamed_timeline(spark, root, schema):
     """The timeline as of the last micro-batch."""
-    buckets = latest(read_batches(spark, root, schema), ["bucket_start"])
+    buckets = _newest(read_batches(spark, root, schema)).drop(BATCH)
     return unfold(buckets).withColumn("bucket_start", F.col("bucket_start").cast("timestamp_ntz"))

@@ -12,8 +12,9 @@ from chatlens.operators import facets
 from chatlens.plans import layout
 from chatlens.plans.runs import correct_labels
 from chatlens.schema import LABELS
-from chatlens.session import shared_dir
+from chatlens.session import materialise, shared_dir
 from chatlens.streaming import enrichment
+from chatlens.streaming.batches import write_batch
 
 
 def table(spark, tmp_path, rows=6, block_rows=2):
@@ -51,18 +52,21 @@ def test_an_untouched_correction_changes_nothing(spark, tmp_path):
     assert rows_of_spark(layout.read_table(spark, path)) == before
 
 
-@pytest.mark.parametrize(("as_of", "kept"), [("2024-03-01 00:00:00", "NA"), ("2024-01-01 00:00:00", "Against")])
-def test_a_later_correction_survives_the_label_log(spark, tmp_path, as_of, kept):
-    path = table(spark, tmp_path)
-    logged = F.lit("2024-02-01 00:00:00").cast("timestamp_ntz")
-    log = spark.createDataFrame([(1, "Against", 1, 0)], "id long, sg string, seq long, batch long").withColumn(
-        enrichment.LOGGED, logged)
+@pytest.mark.parametrize(("batch", "kept"), [(0, "NA"), (3, "Against")])
+def test_a_later_correction_survives_the_label_log(spark, tmp_path, batch, kept):
+    """By its place in the log, whatever the clocks say: the correction comes after batch 2."""
+    path, root = table(spark, tmp_path), str(tmp_path / "log")
+    write_batch(layout.read_table(spark, path).select("id", *LABELS, "dt_enriched").limit(0), 2, root)
+    log = layout.read_table(spark, path).where("id = 1").select("id", *LABELS).withColumns({
+        "sg": F.lit("Against"), "dt_enriched": F.lit("2024-02-01 00:00:00").cast("timestamp_ntz"),
+        "label_batch": F.lit(batch), "label_turn": F.lit(0)})
+    log = materialise(log, "log")
     shown = layout.read_table(spark, path)
     edited = shown.select("id", *LABELS).withColumn("sg", F.expr("CASE WHEN id = 1 THEN 'NA' ELSE sg END"))
-    correct_labels(spark, path, shown, edited, as_of)
+    correct_labels(spark, path, shown, edited, "2020-01-01 00:00:00", log=root, name="pass")
     current = enrichment.current_messages(layout.read_table(spark, path), log)
     assert current.where("id = 1").first()["sg"] == kept
-    enrichment.fold_log(spark, path, log, "2024-04-01 00:00:00")
+    enrichment.fold_updates(spark, path, log, "2024-04-01 00:00:00")
     assert layout.read_table(spark, path).where("id = 1").first()["sg"] == kept
 
 

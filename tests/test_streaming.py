@@ -1,5 +1,7 @@
+import random
 from datetime import timedelta
 
+import pytest
 from compare import rows_of_spark
 from pyspark.sql import functions as F
 from rows import NOON, messages
@@ -8,6 +10,7 @@ from chatlens.operators import timeline, upsert
 from chatlens.operators.filters import visible_messages
 from chatlens.plans import layout
 from chatlens.schema import LABEL_UPDATES, MESSAGES
+from chatlens.session import materialise
 from chatlens.sources import derived
 from chatlens.sources.tables import stream_messages
 from chatlens.streaming import enrichment, ingest
@@ -87,9 +90,9 @@ def test_label_log_equals_one_batch(spark, tiny, tmp_path):
     order = derived.UPDATE_ORDER
     batch = upsert.enrichment_upsert(live, feed, AT, order)
     # the first file may hold later seq values than the second only if the files were read out of order
-    if log.groupBy("batch").agg(F.max("seq").alias("s")).orderBy("batch").first()["s"] <= 3:
-        assert rows_of_spark(enrichment.current_messages(live, log, AT, order)) == rows_of_spark(batch)
-    assert log.count() == log.select("id", "batch").distinct().count()
+    if log.groupBy("label_batch").agg(F.max("seq").alias("s")).orderBy("label_batch").first()["s"] <= 3:
+        assert rows_of_spark(enrichment.current_messages(live, log, AT)) == rows_of_spark(batch)
+    assert log.count() == log.select("id", "label_batch").distinct().count()
 
 
 def test_later_batch_wins_and_folds(spark, tmp_path):
@@ -106,7 +109,74 @@ def test_later_batch_wins_and_folds(spark, tmp_path):
     log = enrichment.logged_updates(spark, root, LABEL_UPDATES)
     current = enrichment.current_messages(layout.read_table(spark, table), log, AT)
     assert {r["id"]: r["sg"] for r in current.collect()} == {1: "Against", 2: "NA"}
-    enrichment.fold_log(spark, table, log, AT)
+    enrichment.fold_log(spark, table, root, LABEL_UPDATES, AT)
     folded = layout.read_table(spark, table)
     assert {r["id"]: r["sg"] for r in folded.collect()} == {1: "Against", 2: "NA"}
     assert enrichment.logged_updates(spark, root, LABEL_UPDATES, after=1).count() == 0
+    assert enrichment.logged_updates(spark, root, LABEL_UPDATES).count() == 0
+
+
+def label_rows(spark, *rows):
+    """(id, sg, seq) as label updates."""
+    return spark.createDataFrame([(i, sg, None, None, None, "EN", "Pos", True, None, seq) for i, sg, seq in rows], LABEL_UPDATES)
+
+
+@pytest.fixture
+def logged(spark, tmp_path):
+    """A table of three messages, its label log, and a function that logs one more batch."""
+    source, root, checkpoint, table = dirs(tmp_path, "in", "out", "check", "table")
+    layout.append_messages(messages(spark, {}, {}, {}), table, block_rows=2)
+
+    def log(*rows):
+        add_file(label_rows(spark, *rows), source)
+        stream = stream_messages(spark, source, schema=LABEL_UPDATES)
+        run(enrichment.stream_label_updates(stream, root, checkpoint, as_of=AT, available_now=True))
+
+    return table, root, log
+
+
+def test_what_is_logged_during_a_fold_is_not_lost(spark, logged):
+    """The stamp of a fold may lie after the logging of updates that it has not seen."""
+    table, root, log = logged
+    log((1, "Favor", 1))
+    seen = materialise(enrichment.logged_updates(spark, root, LABEL_UPDATES), "seen")
+    log((1, "Against", 1))
+    enrichment.fold_updates(spark, table, seen, "2030-01-01 00:00:00")
+    enrichment.fold_log(spark, table, root, LABEL_UPDATES, "2024-01-01 00:00:00")
+    assert layout.read_table(spark, table).where("id = 1").first()["sg"] == "Against"
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_folds_in_any_order_equal_one_ordered_batch(spark, logged, seed):
+    """Batches, a correction in between, and repetitions, folded in random order and parts."""
+    table, root, log = logged
+    log((1, "Favor", 1), (2, "Favor", 1), (9, "Favor", 1))
+    log((2, "Against", 5), (2, "Neutral", 9))
+    log_rows = enrichment.logged_updates(spark, root, LABEL_UPDATES)
+    shown = materialise(enrichment.current_messages(layout.read_table(spark, table), log_rows), "shown")
+    edited = shown.withColumn("sg", F.when(F.col("id").isin(1, 2, 3), "NA").otherwise(F.col("sg")))
+    edited = edited.withColumn("troll", F.when(F.col("id") == 3, True).otherwise(F.col("troll")))
+    changed = upsert.edit_diff(shown, edited)
+    for _ in range(2):
+        enrichment.log_correction(spark, root, changed, "first pass", AT)
+    log((2, "Favor", 1), (10, "Favor", 1))
+    parts = materialise(enrichment.logged_updates(spark, root, LABEL_UPDATES, after=-1), "parts")
+    assert parts.where("label_turn = 1").count() == 3
+    places = [(b, t) for b, t in parts.select("label_batch", "label_turn").distinct().collect()] * 2
+    random.Random(seed).shuffle(places)
+    for b, t in places:
+        enrichment.fold_updates(spark, table, parts.where(f"label_batch = {b} AND label_turn = {t}"))
+    got = {r["id"]: (r["sg"], r["troll"], r["label_batch"], r["label_turn"], str(r["dt_enriched"]))
+           for r in layout.read_table(spark, table).collect()}
+    assert got == {1: ("NA", True, 1, 1, AT), 2: ("Favor", True, 2, 0, AT), 3: ("NA", True, 1, 1, AT),
+                   9: ("Favor", True, 0, 0, AT), 10: ("Favor", True, 2, 0, AT)}
+    before = rows_of_spark(layout.read_table(spark, table))
+    enrichment.fold_log(spark, table, root, LABEL_UPDATES)
+    assert rows_of_spark(layout.read_table(spark, table)) == before
+    assert enrichment.logged_updates(spark, root, LABEL_UPDATES).count() == 0
+
+
+def test_label_writes_carry_all_labels(spark, logged):
+    _, root, _ = logged
+    with pytest.raises(ValueError):
+        enrichment.log_correction(spark, root, spark.createDataFrame([(1, "NA")], "id long, sg string"), "x")
