@@ -11,9 +11,10 @@ from pyspark.sql import types as T
 
 from chatlens.operators.filters import not_deleted, video_keys
 from chatlens.operators.registry import soft_delete
-from chatlens.operators.upsert import enrichment_upsert
-from chatlens.schema import MESSAGES, POSITION
+from chatlens.operators.upsert import enrichment_upsert, keyed_upsert
+from chatlens.schema import MESSAGES, POSITION, SUPPLIED
 from chatlens.session import materialise
+from chatlens.sizing import measured_copy
 
 BLOCK_ROWS = 10_000_000
 _KEPT = T.StructType([*MESSAGES.fields, *[T.StructField(p, T.LongType()) for p in POSITION]])
@@ -41,14 +42,19 @@ def read_table(spark, path):
     return spark.read.schema(STORED).parquet(path)
 
 
-def block_size(spark, path, wanted=None):
-    """Rows per block of a table, as stored in it. Asking for another size is an error."""
+def table_exists(spark, path):
     try:
-        stored = read_table(spark, path).select("block_rows").first()
+        read_table(spark, path)
     except AnalysisException as e:
         if e.getCondition() != "PATH_NOT_FOUND":
             raise
-        stored = None
+        return False
+    return True
+
+
+def block_size(spark, path, wanted=None):
+    """Rows per block of a table, as stored in it. Asking for another size is an error."""
+    stored = read_table(spark, path).select("block_rows").first() if table_exists(spark, path) else None
     size = stored["block_rows"] if stored else wanted or BLOCK_ROWS
     if wanted not in (None, size):
         raise ValueError(f"the table has blocks of {size} rows, not {wanted}")
@@ -77,6 +83,28 @@ def _blocks(spark, path, blocks):
     return read_table(spark, path).join(F.broadcast(listed), "id_block", "left_semi")
 
 
+def ids_of_blocks(spark, path, rows):
+    """id and msg_id of the stored messages in the blocks that the rows' ids fall into; labels without a message
+    are left out."""
+    blocks = _blocks(spark, path, rows.select(block_of("id", block_size(spark, path))))
+    return blocks.select("id", "msg_id").where("msg_id IS NOT NULL")
+
+
+def insert_messages(spark, path, messages, block_rows=None):
+    """Put messages (id and what a collector supplies) into the table, rewriting only the blocks they fall into.
+
+    Done again it changes nothing. A row that labels have reached first gets its message and keeps its labels.
+    """
+    block_rows = block_size(spark, path, block_rows)
+    changes, small = measured_copy(messages.select("id", F.struct(*SUPPLIED).alias("_new")))
+    if table_exists(spark, path):
+        touched = _blocks(spark, path, changes.select(block_of("id", block_rows))).select(*_KEPT.names)
+    else:
+        touched = spark.createDataFrame([], _KEPT)
+    inserted = keyed_upsert(touched, changes, "id", small=small)
+    _replace_blocks(inserted.withColumn("enriched", F.coalesce("enriched", F.lit(False))), path, block_rows)
+
+
 def apply_label_updates(spark, path, updates, as_of=None, order=("seq",), block_rows=None):
     """Write a batch of labels into the table, rewriting only the blocks it touches."""
     block_rows = block_size(spark, path, block_rows)

@@ -11,6 +11,7 @@ One stream writes a log. Rows carry their batch number in `batch`.
 """
 
 import re
+from functools import reduce
 
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -84,7 +85,7 @@ def removable(found, last, released_at=-1):
     return [s for s in found if covered(s) or s[1] <= min(released_at, last - 1)]
 
 
-def _path(root, segment):
+def segment_path(root, segment):
     return f"{root}/{segment[0]:010d}-{segment[1]:010d}"
 
 
@@ -93,9 +94,11 @@ def _with_batch(schema):
 
 
 def read_segments(spark, root, schema, chosen):
+    """Rows of segments; each is read on its own, as a segment may be laid out by a column."""
     if not chosen:
         return spark.createDataFrame([], _with_batch(schema))
-    return spark.read.schema(_with_batch(schema)).parquet(*[_path(root, s) for s in chosen])
+    parts = [spark.read.schema(_with_batch(schema)).parquet(segment_path(root, s)) for s in chosen]
+    return reduce(lambda a, b: a.unionByName(b), parts)
 
 
 def read_batches(spark, root, schema, after=-1, before=None):
@@ -109,23 +112,30 @@ def last_batch(spark, root):
     return max((last for _, last in segments(spark, root)), default=-1)
 
 
-def write_batch(df, batch_id, root, merge=None):
+def _write(rows, path, by, options):
+    if by:
+        rows = rows.hint("rebalance", by)
+    writer = rows.write.mode("overwrite").options(**options)
+    (writer.partitionBy(by) if by else writer).parquet(path)
+
+
+def write_batch(df, batch_id, root, merge=None, by=None, options=None):
     """Write a batch (again), merge what is due, remove what is no longer read.
 
-    merge(rows with their batch) -> rows with a batch; without it rows are kept as they are.
+    merge(rows with their batch) -> rows with a batch; without it rows are kept as they are. With `by` a segment is
+    laid out by the values of a column; `options` are the writer's.
     """
-    spark = df.sparkSession
-    numbered = df.withColumn(BATCH, F.lit(batch_id).cast("long"))
-    numbered.write.mode("overwrite").parquet(_path(root, (batch_id, batch_id)))
+    spark, options = df.sparkSession, options or {}
+    _write(df.withColumn(BATCH, F.lit(batch_id).cast("long")), segment_path(root, (batch_id, batch_id)), by, options)
     schema = T.StructType([f for f in df.schema.fields if f.name != BATCH])
     for first, last in merges_due(batch_id):
         inside = [s for s in segments(spark, root) if first <= s[0] and s[1] <= last and s != (first, last)]
         rows = read_segments(spark, root, schema, cover(inside))
-        merged = merge(rows) if merge else rows
-        merged.select(*schema.names, BATCH).write.mode("overwrite").parquet(_path(root, (first, last)))
+        merged = (merge(rows) if merge else rows).select(*schema.names, BATCH)
+        _write(merged, segment_path(root, (first, last)), by, options)
     found = segments(spark, root)
     for s in removable(found, batch_id, released(spark, root)):
-        remove(spark, _path(root, s))
+        remove(spark, segment_path(root, s))
 
 
 def latest(rows, keys):
