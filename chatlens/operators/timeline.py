@@ -41,6 +41,12 @@ def stance_buckets(visible, width="15 minutes", by=()):
     )
 
 
+def merged_buckets(buckets, by=()):
+    """Bucket counters of parts of the messages, added up."""
+    keys = [*by, "bucket_start"]
+    return buckets.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in buckets.columns if c not in keys])
+
+
 def unfold(buckets, by=()):
     """One row per stance and bucket.
 
@@ -61,36 +67,50 @@ def stance_timeline(visible, width="15 minutes", by=()):
     return unfold(stance_buckets(visible, width, by), by)
 
 
-def stance_timeline_adaptive(visible, by=()):
-    """As stance_timeline, with the bucket width following from the time span.
+def minute_counters(visible, by=()):
+    """One row per minute (and key): counters of all stances, and the first and last time in it."""
+    return visible.where("dt_stamp IS NOT NULL").groupBy(*by, F.window("dt_stamp", "1 minute").alias("bucket")).agg(
+        *bucket_counters(_present(visible)),
+        F.min("dt_stamp").alias("first_at"), F.max("dt_stamp").alias("last_at"),
+    ).withColumn("minute", F.col("bucket.start")).drop("bucket")
+
+
+def merged_minutes(minutes, by=()):
+    """Minute counters of parts of the messages, added up."""
+    counters = [c for c in _counter_names(STANCES) if c in minutes.columns]
+    return minutes.groupBy(*by, "minute").agg(
+        *[F.sum(c).alias(c) for c in counters], F.min("first_at").alias("first_at"), F.max("last_at").alias("last_at"))
 
-    Minute counters are merged into the final buckets (every width is a whole number of
-    minutes). With keys, each key has its own span and width.
+
+def rolled_up(minutes, by=()):
+    """The timeline from minute counters, in buckets whose width follows from the time span.
+
+    Every width is a whole number of minutes, so a minute belongs to one bucket. With keys, each key has its own
+    span and width. The minutes are read twice.
     """
     by = list(by)
-    timed = visible.where("dt_stamp IS NOT NULL")
-    minutes = timed.groupBy(*by, F.window("dt_stamp", "1 minute").alias("bucket")).agg(
-        *bucket_counters(_present(visible)),
-        F.min("dt_stamp").alias("first_at"), F.max("dt_stamp").alias("last_at"),
-    )
     if by:
         # One row per key and minute is left, so a key's window holds minutes, not messages.
         w = Window.partitionBy(*by)
-        span = F.max("last_at").over(w) - F.min("first_at").over(w)
-        width = bucket_minutes(span)
+        width = bucket_minutes(F.max("last_at").over(w) - F.min("first_at").over(w))
     else:
-        minutes = materialise(minutes, "minutes")  # one row a minute, read twice; the messages are read once
         ends = minutes.agg(F.min("first_at").alias("first_at"), F.max("last_at").alias("last_at"))
         width = ends.select(bucket_minutes(F.col("last_at") - F.col("first_at")).alias("w")).scalar()
+    counters = [c for c in _counter_names(STANCES) if c in minutes.columns]
     merged = (
         minutes.withColumn("width", width)
-        .withColumn("bucket_start", bucket_of_minute(F.col("bucket.start"), F.col("width")))
-        .groupBy(*by, "width", "bucket_start")
-        .agg(*[F.sum(c).alias(c) for c in _counter_names(_present(visible))])
+        .withColumn("bucket_start", bucket_of_minute(F.col("minute"), F.col("width")))
+        .groupBy(*by, "width", "bucket_start").agg(*[F.sum(c).alias(c) for c in counters])
     )
     return unfold(merged, [*by, "width"])
 
 
+def stance_timeline_adaptive(visible, by=()):
+    """As stance_timeline, with the bucket width following from the time span."""
+    minutes = minute_counters(visible, by)
+    return rolled_up(minutes if by else materialise(minutes, "minutes"), by)  # the messages are read once
+
+
 def stance_peaks(visible, width="15 minutes"):
     """The highest favor or against count any bucket reaches, per stance."""
     stances = _present(visible)

@@ -41,8 +41,19 @@ def _fixed_items(spark):
     return spark.createDataFrame([(*item, 0) for item in items], "panel string, item string, n long")
 
 
+def merged_counters(counters):
+    """Counters of parts of the messages, added up."""
+    keys = ["shown", "senti", "lang"]
+    return counters.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in counters.columns if c not in keys])
+
+
 def dashboard_overview(messages):
     """All count panels as rows: panel, item, n, percentage and display text."""
+    return overview_of(label_counters(messages))
+
+
+def overview_of(counters):
+    """The count panels from counters per sentiment and language."""
     rows = [
         ["'corpus'", "if(shown, 'enriched', 'not_enriched')", "n", "true"],
         ["'sentiment'", "sentiment", "n", "shown AND spelling <> 'Na'"],
@@ -53,12 +64,11 @@ def dashboard_overview(messages):
     for s in STANCES:
         rows += [[f"'{s}'", f"'{k}'", f"{s}_{k}", "shown"] for k in _KINDS]
     spelling = capitalised("senti")
-    counters = label_counters(messages).withColumns(
-        {"spelling": spelling, "sentiment": named(spelling, SENTIMENT_NAMES)})
+    counters = counters.withColumns({"spelling": spelling, "sentiment": named(spelling, SENTIMENT_NAMES)})
     panel, count = F.col("panel"), F.col("n")
     items = (
         as_rows(counters, ["panel", "item", "n", "counts"], rows).where("counts").drop("counts")
-        .unionByName(_fixed_items(messages.sparkSession))
+        .unionByName(_fixed_items(counters.sparkSession))
         .groupBy("panel", "item").agg(F.sum("n").alias("n"))
     )
     is_base = panel == "flag base"

@@ -13,7 +13,7 @@ from chatlens.operators.filters import not_deleted, video_keys
 from chatlens.operators.registry import soft_delete
 from chatlens.operators.upsert import enrichment_upsert, keyed_upsert
 from chatlens.schema import MESSAGES, POSITION, SUPPLIED
-from chatlens.session import materialise
+from chatlens.session import materialise, passing_copies
 from chatlens.sizing import measured_copy
 
 BLOCK_ROWS = 10_000_000
@@ -96,30 +96,33 @@ def insert_messages(spark, path, messages, block_rows=None):
     Done again it changes nothing. A row that labels have reached first gets its message and keeps its labels.
     """
     block_rows = block_size(spark, path, block_rows)
-    changes, small = measured_copy(messages.select("id", F.struct(*SUPPLIED).alias("_new")))
-    if table_exists(spark, path):
-        touched = _blocks(spark, path, changes.select(block_of("id", block_rows))).select(*_KEPT.names)
-    else:
-        touched = spark.createDataFrame([], _KEPT)
-    inserted = keyed_upsert(touched, changes, "id", small=small)
-    _replace_blocks(inserted.withColumn("enriched", F.coalesce("enriched", F.lit(False))), path, block_rows)
+    with passing_copies(spark):
+        changes, small = measured_copy(messages.select("id", F.struct(*SUPPLIED).alias("_new")))
+        if table_exists(spark, path):
+            touched = _blocks(spark, path, changes.select(block_of("id", block_rows))).select(*_KEPT.names)
+        else:
+            touched = spark.createDataFrame([], _KEPT)
+        inserted = keyed_upsert(touched, changes, "id", small=small)
+        _replace_blocks(inserted.withColumn("enriched", F.coalesce("enriched", F.lit(False))), path, block_rows)
 
 
 def apply_label_updates(spark, path, updates, as_of=None, order=("seq",), block_rows=None):
     """Write a batch of labels into the table, rewriting only the blocks it touches."""
     block_rows = block_size(spark, path, block_rows)
-    touched = _blocks(spark, path, updates.select(block_of("id", block_rows)))
-    changed = enrichment_upsert(touched.select(*_KEPT.names), updates, as_of, order)
-    _replace_blocks(changed, path, block_rows)
+    with passing_copies(spark):
+        touched = _blocks(spark, path, updates.select(block_of("id", block_rows)))
+        changed = enrichment_upsert(touched.select(*_KEPT.names), updates, as_of, order)
+        _replace_blocks(changed, path, block_rows)
 
 
 def apply_soft_delete(spark, path, urls, block_rows=None):
     """Mark the messages of the URLs' videos deleted, rewriting only blocks where that changes a row."""
     block_rows = block_size(spark, path, block_rows)
-    open_rows = read_table(spark, path).where(not_deleted()).select("vid_id", "id_block")
-    hits = open_rows.join(video_keys(urls), "vid_id", "left_semi")
-    touched = _blocks(spark, path, hits.select("id_block"))
-    _replace_blocks(soft_delete(touched, urls), path, block_rows)
+    with passing_copies(spark):
+        open_rows = read_table(spark, path).where(not_deleted()).select("vid_id", "id_block")
+        hits = open_rows.join(video_keys(urls), "vid_id", "left_semi")
+        touched = _blocks(spark, path, hits.select("id_block"))
+        _replace_blocks(soft_delete(touched, urls), path, block_rows)
 
 
 def replace_table(df, path):
@@ -128,7 +131,8 @@ def replace_table(df, path):
     The new state is written to the shared folder first: overwriting a path that is still
     being read would lose it.
     """
-    materialise(df, "replace").write.mode("overwrite").parquet(path)
+    with passing_copies(spark):
+        materialise(df, "replace").write.mode("overwrite").parquet(path)
 
 
 def empty_table(spark, path, schema, confirm):

@@ -1,10 +1,12 @@
 """Session settings and the shared folder for written intermediates."""
 
 import atexit
+import contextlib
 import functools
 import re
 import shutil
 import tempfile
+import threading
 import uuid
 
 from pyspark.sql import SparkSession
@@ -50,6 +52,22 @@ def scratch_path(spark, name):
     return f"{shared_dir(spark).rstrip('/')}/chatlens/{name}-{uuid.uuid4().hex}"
 
 
+_copies = threading.local()
+
+
+@contextlib.contextmanager
+def passing_copies(spark):
+    """Remove at the end the copies that this thread has materialised meanwhile: for work that ends in a write, such
+    as a micro-batch, of which nothing is read later."""
+    outer, _copies.paths = getattr(_copies, "paths", None), []
+    try:
+        yield
+    finally:
+        paths, _copies.paths = _copies.paths, outer
+        for path in paths:
+            remove(spark, path)
+
+
 def materialise(df, name):
     """Write df once to the shared folder and read it back.
 
@@ -57,6 +75,8 @@ def materialise(df, name):
     executors are lost.
     """
     path = scratch_path(df.sparkSession, name)
+    if getattr(_copies, "paths", None) is not None:
+        _copies.paths.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

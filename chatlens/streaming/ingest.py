@@ -15,7 +15,7 @@ from chatlens.plans.keys import next_batch, stored_again, write_keys
 from chatlens.plans.layout import insert_messages
 from chatlens.plans.ledger import reserve_ids
 from chatlens.schema import MESSAGES, SUPPLIED
-from chatlens.session import materialise
+from chatlens.session import materialise, passing_copies
 from chatlens.streaming.batches import BATCH, last_batch, read_batches, release, released, start, write_batch
 
 LANDED = T.StructType([f for f in MESSAGES.fields if f.name in ("id", *SUPPLIED, "enriched")])
@@ -48,14 +48,14 @@ def know_stored(stored, root, writer="stored"):
 def land_batch(batch, batch_id, root, writer="stream"):
     """Land the messages of a batch (again) that are not known yet, under the next free ids."""
     spark = batch.sparkSession
-    batch = materialise(batch.select(*SUPPLIED).where("msg_id IS NOT NULL"), "batch")  # several passes follow
-    known = stored_again(batch, f"{root}/keys", writer, batch_id).select("msg_id")
-    fresh = materialise(first_wins(batch, "msg_id", ORDER).join(known, "msg_id", "left_anti"), "fresh")
-    first = reserve_ids(spark, f"{root}/ids", writer, batch_id, fresh.count())
-    numbered = sequence_ids(fresh, ORDER, first - 1).withColumn("enriched", F.lit(False))
-    landed = f"{root}/landed/{writer}"
-    write_batch(numbered.select(*LANDED.names), batch_id, landed)
-    write_keys(numbered, f"{root}/keys", writer, batch_id)
+    with passing_copies(spark):
+        batch = materialise(batch.select(*SUPPLIED).where("msg_id IS NOT NULL"), "batch")  # several passes follow
+        known = stored_again(batch, f"{root}/keys", writer, batch_id).select("msg_id")
+        fresh = materialise(first_wins(batch, "msg_id", ORDER).join(known, "msg_id", "left_anti"), "fresh")
+        first = reserve_ids(spark, f"{root}/ids", writer, batch_id, fresh.count())
+        numbered = sequence_ids(fresh, ORDER, first - 1).withColumn("enriched", F.lit(False))
+        write_batch(numbered.select(*LANDED.names), batch_id, f"{root}/landed/{writer}")
+        write_keys(numbered, f"{root}/keys", writer, batch_id)
 
 
 def stream_ingest(stream, stored, root, checkpoint, horizon="1 day", writer="stream", **options):
