@@ -1,5 +1,7 @@
 """Summaries of facets: a user's text function, or key terms, into appendable records."""
 
+import time
+
 import pandas as pd
 from pyspark.sql import functions as F
 
@@ -12,7 +14,7 @@ def summarise(corpus, fn, column="corpus"):
     """Apply fn(text) -> text to each corpus row, on the executors.
 
     A row holds at most the n messages of one facet, so no grouping is needed; spread the
-    rows first if fn is slow (corpus.repartition(k)).
+    rows first if fn is slow (one_a_task). A call that fails fails the run: see try_summaries.
     """
 
     @F.pandas_udf("string")
@@ -22,6 +24,39 @@ def summarise(corpus, fn, column="corpus"):
     return corpus.withColumn("summary", run(column))
 
 
+def one_a_task(corpus):
+    """Facets dealt to as many tasks as there are facets, so that slow calls run side by side."""
+    names = F.array(*[F.lit(f"{section}/{label}") for section, label in FACETS])
+    place = F.array_position(names, F.concat_ws("/", "section", "label"))
+    return corpus.withColumn("_place", place).repartitionByRange(len(FACETS), "_place").drop("_place")
+
+
+def try_summaries(corpus, fn, tries=3, wait=1.0, column="corpus"):
+    """As summarise, with an outcome for each row: the text, or the error of the last try, and how many were made.
+
+    Between tries the task waits: `wait` seconds, then twice as long each time. Rows without text are not tried.
+    """
+
+    def attempt(text):
+        error = None
+        for n in range(1, tries + 1):
+            try:
+                return fn(text), None, n
+            except Exception as e:  # whatever a user's function raises is the row's outcome
+                error = f"{type(e).__name__}: {e}"
+                if n < tries:
+                    time.sleep(wait * 2 ** (n - 1))
+        return None, error, tries
+
+    @F.pandas_udf("summary string, error string, tries int")
+    def run(texts: pd.Series) -> pd.DataFrame:
+        outcomes = [(None, None, 0) if text is None else attempt(text) for text in texts]
+        return pd.DataFrame(outcomes, columns=["summary", "error", "tries"])
+
+    outcome = run.asNondeterministic()(column)
+    return corpus.withColumn("_outcome", outcome).select(*corpus.columns, "_outcome.*")
+
+
 def term_summaries(facets, n=FACET_SIZE, k=5):
     """Model-free summary text: the key terms of every facet that has n messages."""
     rows = facets.where(F.col("n") >= n).select(
@@ -35,8 +70,7 @@ def term_summaries(facets, n=FACET_SIZE, k=5):
 
 def model_summaries(facets, fn, n=FACET_SIZE):
     """Summary text by a user's function, for every facet that has n messages."""
-    spread = corpus_of(facets, n).repartition(len(FACETS), "section", "label")  # slow calls run side by side
-    return summarise(spread, fn).select("section", "label", "summary")
+    return summarise(one_a_task(corpus_of(facets, n)), fn).select("section", "label", "summary")
 
 
 def summary_records(facets, summaries, generated_at):
@@ -55,4 +89,3 @@ def nested_record(records):
     return sections.groupBy("generate_dt").agg(
         F.map_from_entries(F.collect_list(F.struct("section", "labels"))).alias("sections")
     )
-

@@ -12,8 +12,8 @@ from pyspark.sql import types as T
 from chatlens.operators.filters import not_deleted, video_keys
 from chatlens.operators.registry import soft_delete
 from chatlens.operators.upsert import enrichment_upsert, keyed_upsert
-from chatlens.schema import MESSAGES, POSITION, SUPPLIED
-from chatlens.session import materialise, passing_copies
+from chatlens.schema import MESSAGES, POSITION, REGISTRY, SUPPLIED
+from chatlens.session import materialise, passing_copies, remove
 from chatlens.sizing import measured_copy
 
 BLOCK_ROWS = 10_000_000
@@ -125,6 +125,12 @@ def apply_soft_delete(spark, path, urls, block_rows=None):
         _replace_blocks(soft_delete(touched, urls), path, block_rows)
 
 
+def rewrite_blocks(spark, path, blocks, change, block_rows=None):
+    """Replace the listed blocks (a DataFrame of id_block) by change(rows)."""
+    block_rows = block_size(spark, path, block_rows)
+    _replace_blocks(change(_blocks(spark, path, blocks)), path, block_rows)
+
+
 def replace_table(df, path):
     """Overwrite a small table (the registry) with a state computed from itself.
 
@@ -140,3 +146,15 @@ def empty_table(spark, path, schema, confirm):
     if confirm != path:
         raise ValueError("to empty a table, repeat its path in `confirm`")
     spark.createDataFrame([], schema).write.mode("overwrite").parquet(path)
+
+
+def reset_store(spark, path, registry_path, confirm, root=None):
+    """Clear the registry and recreate the message table, and with it the store (keys, ids, landed messages) that
+    belongs to it. `confirm` must repeat both paths; nothing is touched otherwise.
+    """
+    if set(confirm) != {path, registry_path}:
+        raise ValueError("to clear messages and registry, repeat both paths in `confirm`")
+    empty_table(spark, registry_path, REGISTRY, registry_path)
+    for folder in [f"{path.rstrip('/')}_deleted", *([root] if root else [])]:
+        remove(spark, folder)
+    spark.createDataFrame([], STORED).write.mode("overwrite").partitionBy("id_block").parquet(path)

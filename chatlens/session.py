@@ -81,6 +81,12 @@ def materialise(df, name):
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def exists(spark, path):
+    """Whether a write to a folder has ended."""
+    done = spark._jvm.org.apache.hadoop.fs.Path(path, "_SUCCESS")
+    return done.getFileSystem(spark._jsc.hadoopConfiguration()).exists(done)
+
+
 def remove(spark, path):
     """Delete a folder below the shared one that no later query reads."""
     folder = spark._jvm.org.apache.hadoop.fs.Path(path)

@@ -31,24 +31,29 @@ def read_messages(spark, path, fmt="parquet", schema=MESSAGES):
     if fmt == "parquet":
         return spark.read.schema(schema).parquet(path)
     if fmt == "json":
-        raw = _json_lines(spark, path, schema).where(F.isnull(BROKEN)).drop(BROKEN)
-        return _parse_times(raw, schema)
+        return messages_of(parsed_lines(spark.read.text(path), schema), schema)
     raise ValueError(f"unknown format {fmt!r}")
 
 
-def _json_lines(spark, path, schema):
-    """JSON lines with a column for the text of those that can't be read; lines are texts first, as JSON
-    files can't be queried for that column alone."""
+def parsed_lines(lines, schema=MESSAGES):
+    """JSON lines (column value) with a column for the text of those that can't be read, blank ones left out; lines
+    are texts first, as JSON files can't be queried for that column alone. Works on a batch or a stream."""
     broken = T.StructField(BROKEN, T.StringType())
     parsed = F.from_json(
         "value", T.StructType([*_times_as_text(schema).fields, broken]),
         {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": BROKEN})
-    return spark.read.text(path).where("trim(value) <> ''").select(parsed.alias("row")).select("row.*")
+    return lines.where("trim(value) <> ''").select(parsed.alias("row")).select("row.*")
+
+
+def messages_of(parsed, schema=MESSAGES):
+    """The messages of parsed lines."""
+    return _parse_times(parsed.where(F.isnull(BROKEN)).drop(BROKEN), schema)
 
 
 def rejected_lines(spark, path, schema=MESSAGES):
     """The lines of JSON files that can't be read as a message."""
-    return _json_lines(spark, path, schema).where(F.col(BROKEN).isNotNull()).select(F.col(BROKEN).alias("line"))
+    parsed = parsed_lines(spark.read.text(path), schema)
+    return parsed.where(F.col(BROKEN).isNotNull()).select(F.col(BROKEN).alias("line"))
 
 
 def read_registry(spark, path):
@@ -60,20 +65,31 @@ def registry_listing(registry):
     return registry.select("url", "platform", "status")
 
 
-def stream_messages(spark, path, fmt="parquet", schema=MESSAGES, files_per_batch=None, glob=None):
-    """The live source: new files below path, picked up by every trigger."""
+def _stream_reader(spark, files_per_batch, glob):
     reader = spark.readStream
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
-    if glob:
-        reader = reader.option("pathGlobFilter", glob)
+    return reader.option("pathGlobFilter", glob) if glob else reader
+
+
+def stream_messages(spark, path, fmt="parquet", schema=MESSAGES, files_per_batch=None, glob=None):
+    """The live source: new files below path, picked up by every trigger.
+
+    JSON lines that can't be read are left out; `streaming.lines` keeps and counts them.
+    """
+    reader = _stream_reader(spark, files_per_batch, glob)
     if fmt == "parquet":
         return reader.schema(schema).parquet(path)
     if fmt == "json":
-        return _parse_times(reader.schema(_times_as_text(schema)).json(path), schema)
+        return messages_of(parsed_lines(reader.text(path), schema), schema)
     raise ValueError(f"unknown format {fmt!r}")
 
 
+def stream_lines(spark, path, files_per_batch=None, glob=None):
+    """New text files below path as lines (column value)."""
+    return _stream_reader(spark, files_per_batch, glob).text(path)
+
+
 def legacy_frame(rows):
     """Sixteen positional columns of the older store, under their display names."""
     return rows.toDF(*LEGACY_COLUMNS).withColumns({
