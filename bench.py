@@ -1,4 +1,5 @@
-"""Time every query: one warm-up, then the median of BENCH_RUNS runs (three), full results forced.
+"""Time every query: one warm-up, then the median of BENCH_RUNS runs (three), full results forced; queries whose warm-up
+takes more than LONG seconds are timed once.
 
 Reads BENCH_SF_DIR (default sf0.1) on local[BENCH_CPUS] and prints one JSON line.
 """
@@ -17,6 +18,7 @@ from chatlens.session import local_session
 SF_DIR = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
 CPUS = int(os.environ.get("BENCH_CPUS", "8"))
 RUNS = int(os.environ.get("BENCH_RUNS", "3"))
+LONG = 5
 
 
 def timed(spark, query):
@@ -31,9 +33,8 @@ def main():
     chosen = sys.argv[1:] or list(QUERIES)
     seconds = {}
     for name in chosen:
-        timed(spark, QUERIES[name])
-        runs = []
-        while len(runs) < RUNS:
+        warm, runs = timed(spark, QUERIES[name]), []
+        while len(runs) < (RUNS if warm < LONG else 1):
             runs.append(timed(spark, QUERIES[name]))
         seconds[name] = round(statistics.median(runs), 4)
         print(f"{name}: {seconds[name]}", file=sys.stderr)

@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from chatlens.catalog_streams import QUERIES as STREAM_QUERIES
 from chatlens.functions.text import video_key
 from chatlens.functions.time import lenient_timestamp, local_clock
 from chatlens.operators import facets, filters, ingest, metrics, projections, quality, summaries, timeline
@@ -308,4 +309,5 @@ QUERIES = {
     "stream_ingest_dedup": stream_ingest_dedup,
     "stream_stance_timeline": stream_stance_timeline,
     "stream_enrichment_upsert": stream_enrichment_upsert,
+    **STREAM_QUERIES,
 }

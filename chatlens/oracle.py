@@ -71,11 +71,15 @@ VIEWS = {
       WHEN l_returnflag = 'A' THEN 'Against' ELSE 'Neutral' END AS societal_impact,
     CASE l_linestatus WHEN 'F' THEN 'EN' ELSE 'TA' END AS lang,
     CASE l_returnflag WHEN 'R' THEN 'Pos' WHEN 'A' THEN 'Neg' END AS senti,
-    l_discount > 0.05::DOUBLE AS troll, l_tax > 0.06::DOUBLE AS toxic,
+    l_discount > 0.05::DOUBLE AS troll, l_tax > 0.06::DOUBLE AS toxic, l_linenumber AS seq,
     row_number() OVER (PARTITION BY l_orderkey
       ORDER BY l_linenumber DESC, l_shipdate DESC, l_partkey DESC, l_suppkey DESC) AS age
   FROM lineitem""",
     "final_updates": "SELECT * FROM updates WHERE age = 1",
+    "early_updates": """
+  SELECT * FROM updates WHERE seq <= 4 QUALIFY row_number() OVER (PARTITION BY id ORDER BY age) = 1""",
+    "late_updates": """
+  SELECT * FROM updates WHERE seq > 4 QUALIFY row_number() OVER (PARTITION BY id ORDER BY age) = 1""",
     "incoming": """
   SELECT vid_id, author, author_id, dt_stamp, msg_id, message, id - 1000000000000000 AS arrival FROM live
   UNION ALL
@@ -134,7 +138,8 @@ VIEWS["corpora"] = f"""
 
 _USES = {
     "visible": ["live"], "visible_doc": ["docmsg"], "drop_list": ["registry"], "drop_keys": ["drop_list"],
-    "all_urls": ["registry"], "final_updates": ["updates"], "incoming": ["live"], "fresh": ["incoming"],
+    "all_urls": ["registry"], "final_updates": ["updates"], "early_updates": ["updates"],
+    "late_updates": ["updates"], "incoming": ["live"], "fresh": ["incoming"],
     "edited": ["live"], "latest": ["visible"], "latest_doc": ["visible_doc"], "corpora": ["latest_doc"],
 }
 
@@ -275,6 +280,29 @@ def _differs():
     return " OR ".join(f"{shown('e.' + c)} IS DISTINCT FROM {shown('o.' + c)}" for c in LABELS)
 
 
+def _folded_labels():
+    """Early updates, a correction of what they gave, late updates: per message the last of the three."""
+    labels = ", ".join(LABELS)
+    return f"""SELECT * FROM (
+  WITH seen AS ({_upsert("FULL", True, "early_updates")}),
+  reviewed AS (SELECT * REPLACE (CASE WHEN toxic THEN 'NA' ELSE sg END AS sg,
+    CASE WHEN vid_id <> 'v9' THEN troll END AS troll) FROM seen),
+  corrected AS (SELECT e.id, {", ".join("e." + c for c in LABELS)} FROM reviewed e JOIN seen o ON e.id = o.id WHERE {_differs()}),
+  applied AS (
+    SELECT id, {labels} FROM late_updates
+    UNION ALL SELECT id, {labels} FROM corrected WHERE id NOT IN (SELECT id FROM late_updates)
+    UNION ALL SELECT id, {labels} FROM early_updates
+      WHERE id NOT IN (SELECT id FROM late_updates) AND id NOT IN (SELECT id FROM corrected))
+  {_upsert("FULL", True, "applied")})"""
+
+
+_LATE = """SELECT id, dt_stamp, id % 3 AS batch FROM visible v
+WHERE time_bucket(INTERVAL 15 MINUTE, dt_stamp, TIMESTAMP '2000-01-01') + INTERVAL 15 MINUTE
+  <= (SELECT max(dt_stamp) FROM visible w WHERE w.id % 3 < v.id % 3) - INTERVAL 10 DAY"""
+
+_DELETED_HALF = """SELECT * REPLACE (CASE WHEN id <= (SELECT max(id) // 2 FROM live) AND vid_id IN (SELECT vid_id FROM drop_keys)
+  THEN true ELSE "delete" END AS "delete") FROM live"""
+
 _DISPLAY = """id AS "ID", vid_id AS "Video Id", author AS "Author", dt_stamp AS "Create DateTime",
   message AS "Message", enriched AS "Enriched", sg AS "SG", mil AS "Military", rnr AS "RnR",
   societal_impact AS "Societal Impact", senti AS "Sentiment", lang AS "Language",
@@ -462,3 +490,55 @@ SELECT 'msg_id', msg_id, count(*) FROM incoming GROUP BY msg_id HAVING count(*)
     "stream_stance_timeline": _with(["visible"], _timeline()),
     "stream_enrichment_upsert": _with(["live", "final_updates"], _upsert("FULL", True)),
 }
+
+ORACLE |= {
+    "stream_label_folds": _with(["live", "early_updates", "late_updates"], _folded_labels()),
+    "stream_ingest_fold": _with(
+        ["live"],
+        """SELECT row_number() OVER (ORDER BY id % 3, dt_stamp, msg_id) AS id, vid_id, author, author_id, dt_stamp, msg_id,
+  message, false AS enriched FROM live""",
+    ),
+    "append_rejects": _with(
+        ["live"],
+        """SELECT id, msg_id, 'msg_id stored' AS reason FROM live UNION ALL
+SELECT 1000000000 + conv_id * 100 + turn, 'c-' || conv_id || '-' || turn, 'msg_id repeated' FROM conversations""",
+    ),
+    "stream_overview": ORACLE["dashboard_overview"],
+    "stream_latest_per_facet": ORACLE["latest_per_facet"],
+    "stream_timeline_adaptive": ORACLE["stance_timeline_adaptive"],
+    "stream_timeline_by_video": ORACLE["stance_timeline_by_video"],
+    "late_messages": _with(["visible"], _LATE),
+    "late_counts": _with(
+        ["visible"],
+        f"""SELECT time_bucket(INTERVAL 15 MINUTE, dt_stamp, TIMESTAMP '2000-01-01') AS bucket_start, count(*) AS late
+FROM ({_LATE}) GROUP BY ALL""",
+    ),
+    "late_repaired_timeline": ORACLE["stance_timeline"],
+    "deletions_on_read": _with(["live", "drop_keys"], _DELETED_HALF),
+    "deletions_folded": _with(["live", "drop_keys"], _DELETED_HALF),
+    "facet_summary_outcomes": f"""SELECT section, label, length(corpus) || ' characters' AS summary,
+  CASE WHEN length(corpus) % 2 = 1 THEN 3 ELSE 1 END::BIGINT AS tries, NULL::VARCHAR AS error FROM ({ORACLE["facet_corpus"]})""",
+    "stream_line_counts": _with(
+        ["live"],
+        """SELECT landed + rejected + repeated AS received, landed, repeated, rejected FROM (
+  SELECT count(*) AS landed, count(*) FILTER (id % 3 = 0) AS repeated,
+    count(*) FILTER (id % 10 = 0) + count(*) FILTER (id % 7 = 0) AS rejected FROM live)""",
+    ),
+    "stream_line_rejects": _with(
+        ["live"],
+        """SELECT 'no JSON' AS reason, '{"id": ' || id || ', "vid_id"' AS shown FROM live WHERE id % 10 = 0
+UNION ALL SELECT 'no msg_id', id::VARCHAR FROM live WHERE id % 7 = 0""",
+    ),
+    "store_reset": _with(
+        ["live", "registry"],
+        """SELECT 'filled' AS step, (SELECT count(*) FROM live) AS messages, (SELECT count(*) FROM registry) AS urls
+UNION ALL SELECT 'cleared', 0, 0 UNION ALL SELECT 'filled again', count(*) FILTER (id % 2 = 0), 0 FROM live""",
+    ),
+    "summary_nested": f"""SELECT generate_dt, section, label, n, summary FROM ({ORACLE["summary_records"]})""",
+    "registry_upsert_ordered": _with(
+        ["registry"],
+        """SELECT url, arg_max(platform, place) AS platform, 'start' AS status FROM (
+  SELECT url, 'YouTube' AS platform, 2 AS place FROM registry UNION ALL
+  SELECT url, CASE WHEN page_id % 2 = 0 THEN 'Web' ELSE 'Blog' END, page_id FROM pages) GROUP BY url""",
+    ),
+}

@@ -11,15 +11,18 @@ from functools import reduce
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from chatlens.sizing import is_small
-from chatlens.streaming.batches import entries, last_batch, read_batches, write_batch
+from chatlens.sizing import BROADCAST_BYTES
+from chatlens.streaming.batches import compact, entries, last_batch, read_batches, write_batch
 
-BUCKETS = 64
+BUCKETS = 16
 FEW = 32
+_KEY_WIDTH = 32
 BUCKET = "bucket"
 KEYS = T.StructType([
     T.StructField("msg_id", T.StringType()), T.StructField("id", T.LongType()), T.StructField(BUCKET, T.IntegerType())])
-_OPTIONS = {"parquet.bloom.filter.enabled#msg_id": "true"}
+# filters as large as the keys of a file need
+_OPTIONS = {"parquet.bloom.filter.enabled#msg_id": "true", "parquet.bloom.filter.adaptive.enabled": "true",
+            "parquet.bloom.filter.max.bytes": "262144"}
 
 
 def bucket_of(column="msg_id"):
@@ -32,6 +35,11 @@ def write_keys(messages, root, writer, batch_id):
     write_batch(keys, batch_id, f"{root}/{writer}", by=BUCKET, options=_OPTIONS)
 
 
+def compact_keys(spark, root, writer, batch_id):
+    """What is due after a batch without new keys."""
+    compact(spark, batch_id, f"{root}/{writer}", KEYS, by=BUCKET, options=_OPTIONS)
+
+
 def writers(spark, root):
     return sorted(p.getName() for p in entries(spark, root)[1])
 
@@ -49,13 +57,13 @@ def known_keys(spark, root, writer=None, before=None):
 def stored_again(rows, root, writer=None, before=None, broadcast_bytes=None):
     """The keys among the rows' msg_id that are known already, with the id they were given."""
     wanted = rows.select("msg_id").where("msg_id IS NOT NULL").withColumn(BUCKET, bucket_of())
-    buckets = [r[BUCKET] for r in wanted.select(BUCKET).distinct().collect()]  # BUCKETS numbers at most
+    asked = wanted.agg(F.collect_set(BUCKET).alias("buckets"), F.count("*").alias("n"),  # BUCKETS numbers at most
+                       F.coalesce(F.sum(F.octet_length("msg_id") + _KEY_WIDTH), F.lit(0)).alias("bytes")).first()
     known = known_keys(rows.sparkSession, root, writer, before)
-    known = known.where(F.col(BUCKET).isin(buckets) if buckets else F.lit(False))
-    few = [r["msg_id"] for r in wanted.select("msg_id").limit(FEW + 1).collect()] if len(buckets) <= FEW else None
-    if few is not None and len(few) <= FEW:
-        hits = [F.col("msg_id") == key for key in few]
+    known = known.where(F.col(BUCKET).isin(asked["buckets"]) if asked["n"] else F.lit(False))
+    if asked["n"] <= FEW:
+        hits = [F.col("msg_id") == r["msg_id"] for r in wanted.collect()]
         return known.where(reduce(lambda a, b: a | b, hits, F.lit(False))).select("msg_id", "id")
-    if is_small(wanted, broadcast_bytes):
+    if asked["bytes"] <= (BROADCAST_BYTES if broadcast_bytes is None else broadcast_bytes):
         wanted = F.broadcast(wanted)
     return known.join(wanted, ["msg_id", BUCKET], "left_semi").select("msg_id", "id")

@@ -5,7 +5,6 @@ order of arrival, so new labels mostly concern a few recent blocks. n_chars carr
 of the text: the length rule then reaches the scan, and panels need not read the text.
 """
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -43,13 +42,8 @@ def read_table(spark, path):
 
 
 def table_exists(spark, path):
-    try:
-        read_table(spark, path)
-    except AnalysisException as e:
-        if e.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return False
-    return True
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder)
 
 
 def block_size(spark, path, wanted=None):

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from chatlens.operators.facets import corpus_of, facet_messages
+from chatlens.operators.facets import facet_corpus, facet_messages
 from chatlens.operators.summaries import (
     model_summaries, one_a_task, summary_records, term_summaries, try_summaries,
 )
@@ -52,7 +52,7 @@ _OUTCOME = T.StructType([
 
 def _kept_corpus(spark, visible, path, n):
     if not exists(spark, path):
-        corpus_of(facet_messages(visible, n), n).select("section", "label", "corpus").write.parquet(path)
+        facet_corpus(visible, n).select("section", "label", "corpus").write.parquet(path)
     return spark.read.parquet(path)
 
 

@@ -160,8 +160,12 @@ def incoming(spark, sf_dir):
 
 
 def edited(spark, sf_dir):
-    """`live` after a reviewer's pass: no stance on toxic messages, troll cleared for one video."""
-    return live(spark, sf_dir).withColumns({
+    return reviewed(live(spark, sf_dir))
+
+
+def reviewed(messages):
+    """Messages after a reviewer's pass: no stance on toxic messages, troll cleared for one video."""
+    return messages.withColumns({
         "sg": F.expr("CASE WHEN toxic THEN 'NA' ELSE sg END"),
         "troll": F.expr("CASE WHEN vid_id <> 'v9' THEN troll END"),
     })

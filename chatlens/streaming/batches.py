@@ -125,14 +125,20 @@ def write_batch(df, batch_id, root, merge=None, by=None, options=None):
     merge(rows with their batch) -> rows with a batch; without it rows are kept as they are. With `by` a segment is
     laid out by the values of a column; `options` are the writer's.
     """
-    spark, options = df.sparkSession, options or {}
-    _write(df.withColumn(BATCH, F.lit(batch_id).cast("long")), segment_path(root, (batch_id, batch_id)), by, options)
+    rows = df.withColumn(BATCH, F.lit(batch_id).cast("long"))
+    _write(rows, segment_path(root, (batch_id, batch_id)), by, options or {})
     schema = T.StructType([f for f in df.schema.fields if f.name != BATCH])
+    compact(df.sparkSession, batch_id, root, schema, merge, by, options)
+
+
+def compact(spark, batch_id, root, schema, merge=None, by=None, options=None):
+    """Merge what is due after a batch, which may have written nothing, and remove what is no longer read."""
     for first, last in merges_due(batch_id):
         inside = [s for s in segments(spark, root) if first <= s[0] and s[1] <= last and s != (first, last)]
-        rows = read_segments(spark, root, schema, cover(inside))
-        merged = (merge(rows) if merge else rows).select(*schema.names, BATCH)
-        _write(merged, segment_path(root, (first, last)), by, options)
+        if inside:
+            rows = read_segments(spark, root, schema, cover(inside))
+            merged = (merge(rows) if merge else rows).select(*schema.names, BATCH)
+            _write(merged, segment_path(root, (first, last)), by, options or {})
     found = segments(spark, root)
     for s in removable(found, batch_id, released(spark, root)):
         remove(spark, segment_path(root, s))

@@ -11,12 +11,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from chatlens.operators.ingest import first_wins, sequence_ids
-from chatlens.plans.keys import next_batch, stored_again, write_keys
+from chatlens.plans.keys import compact_keys, next_batch, stored_again, write_keys
 from chatlens.plans.layout import insert_messages
 from chatlens.plans.ledger import reserve_ids
 from chatlens.schema import MESSAGES, SUPPLIED
 from chatlens.session import materialise, passing_copies
-from chatlens.streaming.batches import BATCH, last_batch, read_batches, release, released, start, write_batch
+from chatlens.streaming.batches import BATCH, compact, last_batch, read_batches, release, released, start, write_batch
 
 LANDED = T.StructType([f for f in MESSAGES.fields if f.name in ("id", *SUPPLIED, "enriched")])
 ORDER = ["dt_stamp", "msg_id"]
@@ -52,7 +52,11 @@ def land_batch(batch, batch_id, root, writer="stream"):
         batch = materialise(batch.select(*SUPPLIED).where("msg_id IS NOT NULL"), "batch")  # several passes follow
         known = stored_again(batch, f"{root}/keys", writer, batch_id).select("msg_id")
         fresh = materialise(first_wins(batch, "msg_id", ORDER).join(known, "msg_id", "left_anti"), "fresh")
-        first = reserve_ids(spark, f"{root}/ids", writer, batch_id, fresh.count())
+        new = fresh.count()
+        if not new:  # as often: streams run batches without data to clear their state
+            compact(spark, batch_id, f"{root}/landed/{writer}", LANDED)
+            return compact_keys(spark, f"{root}/keys", writer, batch_id)
+        first = reserve_ids(spark, f"{root}/ids", writer, batch_id, new)
         numbered = sequence_ids(fresh, ORDER, first - 1).withColumn("enriched", F.lit(False))
         write_batch(numbered.select(*LANDED.names), batch_id, f"{root}/landed/{writer}")
         write_keys(numbered, f"{root}/keys", writer, batch_id)
