@@ -38,13 +38,16 @@ WIDE = 1e4  # between the largest components of two vectors; half precision woul
 _TOP = 1024  # largest component of the reduced copies
 
 
-def usable(vectors):
-    """(vec_id, x) of the rows that take part."""
+def usable(vectors, like=None):
+    """(vec_id, x) of the rows that take part; `like`, rows that do, tell the length instead of the vectors."""
     x = F.col("embedding")
     finite = F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
     good = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding").filter(
         F.col("vec_id").isNotNull() & x.isNotNull() & finite & F.exists(x, lambda v: v != 0))
-    common = good.groupBy(F.size(x).alias("size")).count().orderBy(F.desc("count"), "size").limit(1).select("size")
+    if like is None:
+        common = good.groupBy(F.size(x).alias("size")).count().orderBy(F.desc("count"), "size").limit(1).select("size")
+    else:
+        common = like.select(F.size("x").alias("size")).limit(1)
     return good.join(F.broadcast(common), F.size(x) == F.col("size")).select("vec_id", x.alias("x"))  # one row
 
 
@@ -239,7 +242,7 @@ def nearest(vectors, queries, best=10):
     points = materialise(usable(vectors).distinct(), "points")
     nodes = materialise(_nodes(points), "nodes")
     edges = build_graph(nodes)
-    asked = usable(queries.select(F.col("query_id").alias("vec_id"), "embedding")).select(
+    asked = usable(queries.select(F.col("query_id").alias("vec_id"), "embedding"), points).select(
         F.col("vec_id").alias("query_id"), "x")
     placed = asked.join(nodes, "x", "left")
     distinct = placed.groupBy("x").agg(F.coalesce(F.first("node"), -1 - F.min("query_id")).alias("q"))

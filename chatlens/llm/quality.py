@@ -9,8 +9,8 @@ by which documents are kept.
 Training reads at most MAX_ROWS rated texts, the first ones in an order by hashed id.
 
 Defined cases: NULL and empty texts score 0, so that the thresholds alone decide; rows whose id or rating
-is NULL are never learnt from; without rated rows every document is kept with probability 1 and NULL grade;
-repeated rows are judged each; other columns are kept by `keep` and ignored otherwise.
+is NULL are never learnt from; without rated rows every document is kept, with NULL grade and tails; repeated
+rows are judged each; other columns are kept by `keep` and ignored otherwise; an empty table gives no rows.
 """
 
 import numpy as np
@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from chatlens.llm import flat
 
 MAX_ROWS = 20_000
+TOP = 2  # the best grade of `grade_of`
 BITS = 18
 EPOCHS = 6
 RATE = 0.5
@@ -161,14 +162,18 @@ def _dense(model):
     return weights
 
 
-def assess(documents, model):
-    """doc_id, expected_grade, tail_1 .. tail_k (probability of that grade or a better one) and keep."""
-    top = len(model["cuts"])
-    if not top:
-        return documents.select(
-            "doc_id", F.lit(None).cast("double").alias("expected_grade"), F.lit(1.0).alias("tail_1"),
-            F.lit(True).alias("keep"),
-        )
+def assess(documents, model, top=TOP):
+    """doc_id, expected_grade, tail_1 .. tail_top (probability of that grade or a better one) and keep.
+
+    The columns follow from `top`, the best grade there is, not from the ratings: without ratings nothing is known of a
+    document, so all but keep (true) is NULL; a grade above the best one rated has tail 0.
+    """
+    if len(model["cuts"]) > top:
+        raise ValueError(f"the ratings go beyond grade {top}")
+    tail_names = [f"tail_{k + 1}" for k in range(top)]
+    if not model["cuts"]:
+        nothing = [F.lit(None).cast("double").alias(c) for c in ["expected_grade", *tail_names]]
+        return documents.select("doc_id", *nothing, F.lit(True).alias("keep"))
 
     def assessed(batches):
         weights = _dense(model)
@@ -176,14 +181,15 @@ def assess(documents, model):
             for first, n, data, offsets in flat.slices(batch.column("text")):
                 score = _scores(weights, data, offsets)
                 tails = [_sigmoid(score - cut) for cut in model["cuts"]]
+                tails += [np.zeros(n)] * (top - len(tails))
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("doc_id").slice(first, n), pa.array(np.sum(tails, axis=0)), *map(pa.array, tails),
                      pa.array(tails[0] >= LEAST_TAIL)],
-                    ["doc_id", "expected_grade", *[f"tail_{k + 1}" for k in range(top)], "keep"],
+                    ["doc_id", "expected_grade", *tail_names, "keep"],
                 )
 
     id_type = documents.schema["doc_id"].dataType.simpleString()
-    columns = "".join(f", tail_{k + 1} double" for k in range(top))
+    columns = "".join(f", {c} double" for c in tail_names)
     return documents.select("doc_id", "text").mapInArrow(
         assessed, f"doc_id {id_type}, expected_grade double{columns}, keep boolean"
     )

@@ -117,11 +117,16 @@ def train(findings, max_rows=MAX_ROWS):
 
 
 def scan(documents, labelled=weak_labels):
-    """(key, doc_id, place, candidate, features, probability, is_secret) of every candidate."""
+    """(key, doc_id, place, candidate, features, probability, is_secret) of every candidate.
+
+    Without findings of both labels there is no forest: then what the labels mark as a secret is one, and no more.
+    """
     found = materialise(described(candidates(documents)), "candidates")
     model = train(labelled(found))
     if model is None:
-        judged = found.withColumn("probability", F.lit(1.0))
+        secrets = labelled(found).filter("label = 1").select("key", "place", "candidate").distinct()
+        judged = found.join(secrets.withColumn("probability", F.lit(1.0)), ["key", "place", "candidate"], "left").select(
+            *found.columns, F.coalesce("probability", F.lit(0.0)).alias("probability"))
     else:
         judged = model.transform(_assembler().transform(found)).withColumn(
             "probability", vector_to_array("probability")[1]).drop("features", "rawPrediction", "prediction")

@@ -25,7 +25,6 @@ from chatlens.llm import flat
 
 MARK = "▁"
 UNKNOWN_SCORE = -200_000
-_COUNT_BITS = 20
 _FILTER_BITS = 20
 _SLICE = 8 << 20
 
@@ -81,8 +80,8 @@ def count_tokens(texts, path):
     powers = roller.powers(int(lengths.max()) + 1, roller.base)
     inverse = roller.powers(int(lengths.max()) + 1, roller.inverse)
     tokens = np.zeros(len(texts), np.int64)
-    # A level holds, for each node of one depth: best key (score and count), hash so far, place of its parent.
-    levels = [(np.zeros(1, np.int64), np.zeros(1, np.uint64), None)]
+    # A level holds, for each node of one depth: best score, its tokens, hash so far, place of its parent.
+    levels = [(np.zeros(1, np.int64), np.zeros(1, np.int64), np.zeros(1, np.uint64), None)]
     word, node = np.arange(len(texts)), np.zeros(len(texts), np.int64)
     depth = 0
     while len(word):
@@ -92,21 +91,23 @@ def count_tokens(texts, path):
         new[1:] = (node[1:] != node[:-1]) | (symbol[1:] != symbol[:-1])
         first = np.flatnonzero(new)
         parent = node[first]
-        total = levels[-1][1][parent] + symbol[first] * powers[depth - 1]
+        total = levels[-1][2][parent] + symbol[first] * powers[depth - 1]
         worth = width[starts[word[first]] + depth - 1]
-        best = levels[-1][0][parent] + (UNKNOWN_SCORE * worth << _COUNT_BITS) - worth
+        best, count = levels[-1][0][parent] + UNKNOWN_SCORE * worth, levels[-1][1][parent] + worth
         above = parent
         for size in range(1, min(depth, longest) + 1):
             level = levels[-size]
-            wanted = flat.mix((total - level[1][above]) * inverse[depth - size] + np.uint64(size))
+            wanted = flat.mix((total - level[2][above]) * inverse[depth - size] + np.uint64(size))
             at, score = _lookup(hashes, scores, seen, wanted)
-            best[at] = np.maximum(best[at], level[0][above[at]] + (score << _COUNT_BITS) - 1)
-            if level[2] is not None:
-                above = level[2][above]
+            score, tokens_so_far = level[0][above[at]] + score, level[1][above[at]] + 1
+            better = (score > best[at]) | ((score == best[at]) & (tokens_so_far < count[at]))
+            best[at[better]], count[at[better]] = score[better], tokens_so_far[better]
+            if level[3] is not None:
+                above = level[3][above]
         node = np.cumsum(new) - 1
         done = lengths[word] == depth
-        tokens[word[done]] = -best[node[done]] & (1 << _COUNT_BITS) - 1
-        levels = [*levels[-longest:], (best, total, parent)]
+        tokens[word[done]] = count[node[done]]
+        levels = [*levels[-longest:], (best, count, total, parent)]
         word, node = word[~done], node[~done]
     return tokens
 
