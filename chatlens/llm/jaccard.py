@@ -13,12 +13,20 @@ verified against other leaders of it, a few times. Then only classes of differen
 tokens are paired: each class outside a token's main component with the others. Within a component no
 further link can change the result. All verified links are exact Jaccard comparisons of whole sets.
 
+A near copy shares its rarest tokens with many that it isn't linked to. So that such a group doesn't send a row for
+every two of its members on to the counting of shared tokens, pairs across components are first held against
+bitmaps of their sets (SIGNATURE_BITS hashed bits each): a bit that only one side has stands for a token that only that
+side has, and two linked sets differ by few. No linked pair fails; the larger the sets, the fewer others do (bitmaps of
+sets well beyond SIGNATURE_BITS tokens are full). The two sides of a token are still compared inside the join.
+
 Defined cases: NULL or empty texts and texts without words have 0 shingles and are their own component;
 rows with repeated ids are documents of their own; a component without any id has a NULL component_id;
 other columns are ignored.
 """
 
 from collections.abc import Iterator
+from functools import reduce
+from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +42,7 @@ PERCENT = 80
 MOST_MATCHES = 8
 VERIFY_COST = 20.0
 RETRIES = 2
+SIGNATURE_BITS = 512
 SKETCH_BITS = 20
 _SKETCH_BLOCKS = 64
 _CELLS = np.uint64((1 << SKETCH_BITS) - 1)
@@ -131,6 +140,13 @@ def prefix_of(tokens, frequency):
     return tokens[order[:sizes[best]]], int(matches[best])
 
 
+def signature(tokens):
+    """Bitmap of a set, as 64-bit words."""
+    bits = np.zeros(SIGNATURE_BITS, bool)
+    bits[(flat.mix(tokens * _OTHER) & np.uint64(SIGNATURE_BITS - 1)).astype(np.int64)] = True
+    return np.packbits(bits).view(np.int64)
+
+
 def _prefixes(sketch):
     def run(batches):
         for batch in batches:
@@ -142,11 +158,14 @@ def _prefixes(sketch):
                 found = [prefix_of(sets[i], sketch.value) for i in good]
                 tokens = np.concatenate([t for t, _ in found]) if found else np.zeros(0, np.uint64)
                 cuts = np.cumsum([0] + [len(t) for t, _ in found])
+                bitmaps = np.array([signature(sets[i]) for i in good], np.int64).ravel()
+                words = SIGNATURE_BITS // 64
                 yield pa.RecordBatch.from_arrays(
                     [part.column("node").take(pa.array(good, pa.int64())),
                      pa.array([len(sets[i]) for i in good], pa.int32()), pa.array([m for _, m in found], pa.int32()),
-                     pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(tokens.astype(np.int64)))],
-                    ["node", "n", "matches", "tokens"],
+                     pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(tokens.astype(np.int64))),
+                     pa.ListArray.from_arrays(pa.array(np.arange(len(good) + 1) * words, pa.int32()), pa.array(bitmaps))],
+                    ["node", "n", "matches", "tokens", "bitmap"],
                 )
     return run
 
@@ -195,7 +214,9 @@ class _Join:
         classes = self.summaries.filter("n > 0").groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("rep"))
         self.classes = materialise(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
         prefixes = materialise(self.texts(self.classes).mapInArrow(
-            _prefixes(self.sketch), "node long, n int, matches int, tokens array<long>"), "prefixes")
+            _prefixes(self.sketch), "node long, n int, matches int, tokens array<long>, bitmap array<long>"), "prefixes")
+        words = [F.col("bitmap")[i].alias(f"w{i}") for i in range(SIGNATURE_BITS // 64)]
+        self.bitmaps = prefixes.select("node", F.struct(*words).alias("bits"))
         postings = prefixes.select("node", "n", "matches", F.posexplode("tokens").alias("pos", "t"))
         several = postings.groupBy("t").count().filter("count > 1").select("t")
         self.postings = materialise(postings.join(several, "t"), "postings")
@@ -265,12 +286,31 @@ def _again(mixed, turn):
     return pairs.groupBy("b").agg(F.max_by("a", F.struct("shared", -F.col("a"))).alias("a")).select("a", "b")
 
 
-def _across(mixed):
-    """Classes of different components that share tokens: those outside a token's main component with all others."""
-    outside = mixed.filter("root <> main").select("t", F.col("y").alias("x"), F.col("root").alias("x_root"))
+def _bitmaps_allow(x, y):
+    """Whether neither side has more tokens of its own, by the bitmaps, than a linked pair of these sizes."""
+    need = F.floor((PERCENT * (F.col(f"{x}.n") + F.col(f"{y}.n")) + 99 + PERCENT) / (100 + PERCENT))
+
+    def own(a, b):
+        words = [F.col(f"{a}_bits.w{i}").bitwiseAND(F.bitwise_not(F.col(f"{b}_bits.w{i}"))) for i in range(SIGNATURE_BITS // 64)]
+        return reduce(add, map(F.bit_count, words))
+
+    return (own(x, y) <= F.col(f"{x}.n") - need) & (own(y, x) <= F.col(f"{y}.n") - need)
+
+
+def _shared_across(mixed, bitmaps):
+    """Shared tokens of classes of different components: of those outside a token's main component with all others."""
+    bitmaps = broadcast_if_small(bitmaps)
+    placed = mixed.join(bitmaps, mixed["y.node"] == bitmaps["node"]).select("t", "main", "root", "y", F.col("bits").alias("y_bits"))
+    outside = placed.filter("root <> main").select(
+        "t", F.col("y").alias("x"), F.col("y_bits").alias("x_bits"), F.col("root").alias("x_root"))
     once = (F.col("root") == F.col("main")) | (F.col("x.node") < F.col("y.node"))
-    both = outside.join(mixed, "t").filter((F.col("root") != F.col("x_root")) & once & _could_link("x", "y"))
-    return _enough(both.select(
+    return outside.join(placed, "t").filter(
+        (F.col("root") != F.col("x_root")) & once & _could_link("x", "y") & _bitmaps_allow("x", "y"))
+
+
+def _across(mixed, bitmaps):
+    """Classes of different components that share enough tokens."""
+    return _enough(_shared_across(mixed, bitmaps).select(
         F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"),
         F.least("x.matches", "y.matches").alias("matches"))).select("a", "b")
 
@@ -291,7 +331,7 @@ def _placed(documents):
         links = materialise(links.unionByName(join.verify(pairs)), "links")
         tried = tried.unionByName(pairs)
         roots = connected_components(links)
-    rest = _across(_mixed(join.postings, roots)).join(tried, ["a", "b"], "left_anti")
+    rest = _across(_mixed(join.postings, roots), join.bitmaps).join(tried, ["a", "b"], "left_anti")
     more = materialise(join.verify(materialise(rest, "pairs")), "links")
     roots = connected_components(links.unionByName(more))
     placed = join.classes.join(roots, "node", "left").select(
