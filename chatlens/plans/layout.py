@@ -131,7 +131,7 @@ def replace_table(df, path):
     The new state is written to the shared folder first: overwriting a path that is still
     being read would lose it.
     """
-    with passing_copies(spark):
+    with passing_copies(df.sparkSession):
         materialise(df, "replace").write.mode("overwrite").parquet(path)
 
 
