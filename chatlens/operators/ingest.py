@@ -37,13 +37,15 @@ def sequence_ids(rows, order, start=0, name="id"):
 
     Rows are range partitioned and sorted, written once with their place in the partition,
     and shifted by the sizes of the partitions before. The written copy fixes the numbers:
-    a lost executor cannot change them. `order` must be unique.
+    a lost executor cannot change them. `order` must be unique. `start` may be a function that gets the number of rows.
     """
     place = F.monotonically_increasing_id()
     placed = materialise(
         rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_place", place),
         "sequence",
     )
+    if callable(start):
+        start = start(placed.count())
     part = F.shiftright("_place", _POSITION_BITS)
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     shift = (

@@ -32,7 +32,7 @@ def bucket_of(column="msg_id"):
 def write_keys(messages, root, writer, batch_id):
     """Append the keys of a batch's messages (again)."""
     keys = messages.select("msg_id", "id").withColumn(BUCKET, bucket_of())
-    write_batch(keys, batch_id, f"{root}/{writer}", by=BUCKET, options=_OPTIONS)
+    write_batch(keys, batch_id, f"{root}/{writer}", by=BUCKET, options=_OPTIONS, parts=BUCKETS)
 
 
 def compact_keys(spark, root, writer, batch_id):

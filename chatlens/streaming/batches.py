@@ -112,21 +112,21 @@ def last_batch(spark, root):
     return max((last for _, last in segments(spark, root)), default=-1)
 
 
-def _write(rows, path, by, options):
+def _write(rows, path, by, options, parts=None):
     if by:
-        rows = rows.hint("rebalance", by)
+        rows = rows.repartition(parts, by) if parts else rows.hint("rebalance", by)
     writer = rows.write.mode("overwrite").options(**options)
     (writer.partitionBy(by) if by else writer).parquet(path)
 
 
-def write_batch(df, batch_id, root, merge=None, by=None, options=None):
+def write_batch(df, batch_id, root, merge=None, by=None, options=None, parts=None):
     """Write a batch (again), merge what is due, remove what is no longer read.
 
     merge(rows with their batch) -> rows with a batch; without it rows are kept as they are. With `by` a segment is
-    laid out by the values of a column; `options` are the writer's.
+    laid out by the values of a column, by as many tasks as `parts` says; `options` are the writer's.
     """
     rows = df.withColumn(BATCH, F.lit(batch_id).cast("long"))
-    _write(rows, segment_path(root, (batch_id, batch_id)), by, options or {})
+    _write(rows, segment_path(root, (batch_id, batch_id)), by, options or {}, parts)
     schema = T.StructType([f for f in df.schema.fields if f.name != BATCH])
     compact(df.sparkSession, batch_id, root, schema, merge, by, options)
 

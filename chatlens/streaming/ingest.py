@@ -50,14 +50,14 @@ def land_batch(batch, batch_id, root, writer="stream"):
     spark = batch.sparkSession
     with passing_copies(spark):
         batch = materialise(batch.select(*SUPPLIED).where("msg_id IS NOT NULL"), "batch")  # several passes follow
-        known = stored_again(batch, f"{root}/keys", writer, batch_id).select("msg_id")
-        fresh = materialise(first_wins(batch, "msg_id", ORDER).join(known, "msg_id", "left_anti"), "fresh")
-        new = fresh.count()
-        if not new:  # as often: streams run batches without data to clear their state
+        if batch.isEmpty():  # as often: streams run batches without data to clear their state
             compact(spark, batch_id, f"{root}/landed/{writer}", LANDED)
             return compact_keys(spark, f"{root}/keys", writer, batch_id)
-        first = reserve_ids(spark, f"{root}/ids", writer, batch_id, new)
-        numbered = sequence_ids(fresh, ORDER, first - 1).withColumn("enriched", F.lit(False))
+        known = stored_again(batch, f"{root}/keys", writer, batch_id).select("msg_id")
+        fresh = first_wins(batch, "msg_id", ORDER).join(known, "msg_id", "left_anti")
+        numbered = sequence_ids(
+            fresh, ORDER, lambda n: reserve_ids(spark, f"{root}/ids", writer, batch_id, n) - 1,
+        ).withColumn("enriched", F.lit(False))
         write_batch(numbered.select(*LANDED.names), batch_id, f"{root}/landed/{writer}")
         write_keys(numbered, f"{root}/keys", writer, batch_id)
 
