@@ -3,8 +3,9 @@
 Equal vectors are one node. The graph starts from blocks of vectors on the same side of random hyperplanes.
 In each round, every node gathers a bounded sample of its neighbours in both directions (at most SAMPLE of
 each kind) by Spark joins, and compares those neighbours of neighbours with each other; each node keeps its
-K nearest. A query starts at the neighbours of its own node, or at fixed entry nodes, and repeatedly expands
-the nearest nodes not yet expanded, until none of its BEAM nearest is left. While the graph is built, distances
+K nearest. Which of its edges a node sends next is decided where they are ranked, so a round shuffles edges once. A query starts at the neighbours of its own node, or at fixed entry nodes, and repeatedly expands
+the nearest nodes not yet expanded, until none of its BEAM nearest is left. What queries ask for is sent to the graph
+and to the vectors by measured broadcasts, beyond their bound by shuffles. While the graph is built, distances
 come from reduced copies: all vectors divided by one factor, so that all rounds rank by the same distances, in
 half precision, or in single precision if magnitudes differ by more than WIDE. Distances of queries are double
 precision on the original vectors.
@@ -21,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from chatlens.llm.superkmers import release
+from chatlens.llm.superkmers import Scratch
 from chatlens.session import materialise
 from chatlens.sizing import broadcast_if_small
 
@@ -32,7 +33,7 @@ BLOCK = 128
 ROUNDS = 8
 ENOUGH = 0.01  # rounds end when fewer edges than this share are new
 BEAM = 192
-EXPAND = 24
+EXPAND = 48
 ENTRIES = 64
 WIDE = 1e4  # between the largest components of two vectors; half precision would lose the smaller one
 _TOP = 1024  # largest component of the reduced copies
@@ -131,6 +132,20 @@ def _block_edges(kind):
     return run
 
 
+def _nearest_pairs(u, v, d):
+    """The K nearest of each u among different pairs, so that a node in many neighbourhoods doesn't pile up."""
+    order = np.lexsort((d, v, u))
+    u, v, d = u[order], v[order], d[order]
+    once = np.ones(len(u), bool)
+    once[1:] = (u[1:] != u[:-1]) | (v[1:] != v[:-1])
+    u, v, d = u[once], v[once], d[once]
+    order = np.lexsort((v, d, u))
+    u, v, d = u[order], v[order], d[order]
+    starts = np.flatnonzero(np.diff(u, prepend=u[:1] - 1))
+    near = np.arange(len(u)) - np.repeat(starts, np.diff(starts, append=len(u))) < K
+    return u[near], v[near], d[near]
+
+
 def _local_join(kind):
     """Compare the gathered neighbours of a node with each other: new ones with all; emit what could improve."""
     def run(batches):
@@ -140,23 +155,26 @@ def _local_join(kind):
             out = []
             for low, high in zip(offsets[:-1], offsets[1:]):
                 members = column.values.slice(low, high - low)
-                node = members.field("node").to_numpy()
-                new = members.field("new").to_numpy(zero_copy_only=False)
-                worst = members.field("worst").to_numpy()
-                d = _apart(_unpacked(members, kind))
+                every, sent = members.field("node").to_numpy(), members.field("new").to_numpy(zero_copy_only=False)
+                node, at, same = np.unique(every, return_index=True, return_inverse=True)  # both ways: one member
+                new = np.bincount(same, sent) > 0
+                worst = members.field("worst").to_numpy()[at]
+                d = _apart(_unpacked(members, kind)[at])
                 fits = (new[:, None] | new[None, :]) & (node[:, None] != node[None, :]) & (d < worst[:, None])
                 a, b = np.nonzero(fits)
                 out.append((node[a], node[b], d[a, b]))
             u, v, d = (np.concatenate(x) for x in zip(*out)) if out else (np.zeros(0, np.int64),) * 3
+            u, v, d = _nearest_pairs(u, v, d)
             yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v), pa.array(d, pa.float32())], ["u", "v", "d"])
     return run
 
 
-def _best(edges):
-    """The K nearest of each node; an edge that was known is not new."""
-    once = edges.groupBy("u", "v").agg(F.min("d").alias("d"), F.min("new").alias("new"))
-    rank = F.row_number().over(Window.partitionBy("u").orderBy("d", "v"))
-    return once.withColumn("rank", rank).filter(F.col("rank") <= K).drop("rank")
+def _best(edges, turn):
+    """The K nearest of each node, in one shuffle; an edge that was known is not new. `sent` is the sample of round `turn`."""
+    once = edges.repartition("u").groupBy("u", "v").agg(F.min("d").alias("d"), F.min("new").alias("new"))
+    near = once.withColumn("rank", F.row_number().over(Window.partitionBy("u").orderBy("d", "v"))).filter(F.col("rank") <= K)
+    order = Window.partitionBy("u", "new").orderBy(F.xxhash64("u", "v", F.lit(turn)), "v")
+    return near.drop("rank").withColumn("sent", F.row_number().over(order) <= SAMPLE)
 
 
 def build_graph(nodes):
@@ -173,27 +191,27 @@ def build_graph(nodes):
         "part", F.pmod(F.xxhash64("node", "tree"), "parts"))  # any split will do for a start
     blocks = split.groupBy("tree", "bucket", "part").agg(F.collect_list(F.struct("node", "h")).alias("members"))
     first = blocks.select("members").mapInArrow(_block_edges(kind), "u long, v long, d float")
-    copies = materialise(nodes.mapInArrow(_copies(largest, kind), "node long, h binary"), "copies")
-    edges = materialise(_best(first.withColumn("new", F.lit(True))), "graph")
+    scratch = Scratch(spark)
+    copies = scratch.write(nodes.mapInArrow(_copies(largest, kind), "node long, h binary"), "copies")
+    edges = scratch.write(_best(first.withColumn("new", F.lit(True)), 0), "graph0")
     for turn in range(ROUNDS):
-        both = edges.select(F.col("u").alias("at"), F.col("v").alias("node"), "new", F.lit(0).alias("way")).unionByName(
-            edges.select(F.col("v").alias("at"), F.col("u").alias("node"), "new", F.lit(1).alias("way")))
-        order = Window.partitionBy("at", "new", "way").orderBy(F.xxhash64("at", "node", F.lit(turn)), "node")
-        sample = both.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= SAMPLE)
-        sample = materialise(sample.select("at", "node", "new", "way"), "sample")
+        order = Window.partitionBy("at", "new").orderBy(F.xxhash64("at", "node", F.lit(turn)), "node")
+        back = edges.select(F.col("v").alias("at"), F.col("u").alias("node"), "new").withColumn(
+            "rank", F.row_number().over(order)).filter(F.col("rank") <= SAMPLE).drop("rank")
+        sample = edges.filter("sent").select(F.col("u").alias("at"), F.col("v").alias("node"), "new").unionByName(back)
         worst = edges.groupBy(F.col("u").alias("node")).agg(
             F.when(F.count("*") < K, float("inf")).otherwise(F.max("d")).cast("float").alias("worst"))
         known = copies.join(worst, "node", "left").withColumn("worst", F.coalesce("worst", F.lit(float("inf")).cast("float")))
-        gathered = sample.groupBy("at", "node").agg(F.max("new").alias("new")).join(known, "node").groupBy("at").agg(
+        gathered = sample.join(known, "node").groupBy("at").agg(
             F.collect_list(F.struct("node", "new", "worst", "h")).alias("members"))  # 4 * SAMPLE at most
         found = gathered.select("members").mapInArrow(_local_join(kind), "u long, v long, d float")
-        used = sample.filter("new AND way = 0").select(F.col("at").alias("u"), F.col("node").alias("v"), F.lit(True).alias("used"))
-        kept = edges.join(used, ["u", "v"], "left").select("u", "v", "d", (F.col("new") & F.col("used").isNull()).alias("new"))
-        edges = materialise(_best(kept.unionByName(found.withColumn("new", F.lit(True)))), "graph")
-        release(spark)
+        kept = edges.select("u", "v", "d", (F.col("new") & ~F.col("sent")).alias("new"))
+        edges = scratch.write(_best(kept.unionByName(found.withColumn("new", F.lit(True))), turn + 1), f"graph{turn + 1}")
+        scratch.drop(f"graph{turn}")
         if edges.filter("new").count() <= ENOUGH * K * n:
             break
-    return edges
+    scratch.drop("copies")
+    return edges.select("u", "v", "d", "new")
 
 
 def _distances(batches):
@@ -204,11 +222,19 @@ def _distances(batches):
 
 
 def _measured(pairs, nodes, queries):
-    """Exact distances of (q, node) pairs."""
-    return pairs.join(nodes, "node").join(queries.select("q", F.col("x").alias("qx")), "q").select(
+    """Exact distances of (q, node) pairs, which are sent to the vectors if they fit a broadcast."""
+    return nodes.join(broadcast_if_small(pairs), "node").join(queries.select("q", F.col("x").alias("qx")), "q").select(
         "q", "node", "x", "qx").mapInArrow(_distances, "q long, node long, d double")
 
 
+def _ranked(state, beam):
+    """The nodes nearest to each query; `now` marks those to expand next. One shuffle, by query."""
+    near = state.repartition("q").withColumn("rank", F.row_number().over(Window.partitionBy("q").orderBy("d", "node")))
+    order = Window.partitionBy("q", "open").orderBy("d", "node")
+    return near.filter(F.col("rank") <= beam).drop("rank").withColumn(
+        "now", F.col("open") & (F.row_number().over(order) <= EXPAND))
+
+
 def search(nodes, edges, queries, beam=BEAM):
     """(q, node, d): the nodes nearest to each query (q, x) that a greedy search of the graph reaches."""
     spark = nodes.sparkSession
@@ -219,22 +245,19 @@ def search(nodes, edges, queries, beam=BEAM):
     entries = nodes.select("node").orderBy(F.xxhash64("node"), "node").limit(ENTRIES)
     strangers = queries.select("q").join(own, "q", "left_anti").crossJoin(F.broadcast(entries))  # ENTRIES rows
     start = own.select("q", F.col("q").alias("node")).unionByName(strangers)
-    state = materialise(_measured(start, nodes, queries).withColumn("open", F.lit(True)), "beam")
-    nearest = Window.partitionBy("q").orderBy("d", "node")
-    while True:
-        rank = F.row_number().over(Window.partitionBy("q", "open").orderBy("d", "node"))
-        ranked = state.withColumn("rank", rank)
-        expanded = F.col("open") & (F.col("rank") <= EXPAND)
-        chosen = ranked.filter(expanded).select("q", F.col("node").alias("u"))
-        reached = chosen.join(links, "u").select("q", F.col("v").alias("node")).distinct()
-        fresh = _measured(reached.join(state.select("q", "node"), ["q", "node"], "left_anti"), nodes, queries)
-        after = ranked.select("q", "node", "d", (F.col("open") & ~expanded).alias("open")).unionByName(
-            fresh.withColumn("open", F.lit(True)))
-        after = after.withColumn("rank", F.row_number().over(nearest)).filter(F.col("rank") <= beam).drop("rank")
-        state = materialise(after, "beam")
-        release(spark)
-        if state.filter("open").isEmpty():
-            return state.select("q", "node", "d")
+    scratch, turn = Scratch(spark), 0
+    state = scratch.write(_ranked(_measured(start, nodes, queries).withColumn("open", F.lit(True)), beam), "beam0")
+    while not state.filter("now").isEmpty():
+        chosen = broadcast_if_small(state.filter("now").select("q", F.col("node").alias("u")))
+        reached = links.join(chosen, "u").select("q", F.col("v").alias("node"), F.lit(False).alias("seen"))
+        pairs = reached.unionByName(state.select("q", "node", F.lit(True).alias("seen")))
+        fresh = pairs.groupBy("q", "node").agg(F.max("seen").alias("seen")).filter("NOT seen").drop("seen")
+        after = state.select("q", "node", "d", (F.col("open") & ~F.col("now")).alias("open")).unionByName(
+            _measured(fresh, nodes, queries).withColumn("open", F.lit(True)))
+        state = scratch.write(_ranked(after, beam), f"beam{turn + 1}")
+        scratch.drop(f"beam{turn}")
+        turn += 1
+    return state.select("q", "node", "d")
 
 
 def nearest(vectors, queries, best=10):

@@ -248,7 +248,7 @@ def _solved(spec):
     return run
 
 
-class _Scratch:
+class Scratch:
     """Written intermediates of one search, by name."""
 
     def __init__(self, spark):
@@ -311,7 +311,7 @@ def repeated_windows(documents, copies, spec):
     of a document with the window. Starts count symbols of the document. A run is listed for every searched
     document that holds it, the one with the smallest id included.
     """
-    scratch = _Scratch(documents.sparkSession)
+    scratch = Scratch(documents.sparkSession)
     texts = _first(documents, copies)
     anchors = texts.select("key", "text").mapInArrow(
         _anchors(spec), "minimiser long, key long, known boolean")
