@@ -3,7 +3,8 @@
 Equal vectors are one node. The graph starts from blocks of vectors on the same side of random hyperplanes.
 In each round, every node gathers a bounded sample of its neighbours in both directions (at most SAMPLE of
 each kind) by Spark joins, and compares those neighbours of neighbours with each other; each node keeps its
-K nearest. Which of its edges a node sends next is decided where they are ranked, so a round shuffles edges once. A query starts at the neighbours of its own node, or at fixed entry nodes, and repeatedly expands
+K nearest. Which of its edges a node sends next is decided where they are ranked, so a round shuffles edges once.
+A query starts at the neighbours of its own node, or at fixed entry nodes, and repeatedly expands
 the nearest nodes not yet expanded, until none of its BEAM nearest is left. What queries ask for is sent to the graph
 and to the vectors by measured broadcasts, beyond their bound by shuffles. While the graph is built, distances
 come from reduced copies: all vectors divided by one factor, so that all rounds rank by the same distances, in
@@ -36,9 +37,15 @@ BEAM = 192
 EXPAND = 48
 ENTRIES = 64
 WIDE = 1e4  # between the largest components of two vectors; half precision would lose the smaller one
+PER_TASK = 1 << 16  # rows of a task at least, where their number is known; more tasks cost more than they save
 _TOP = 1024  # largest component of the reduced copies
 
 
+def _sized(df, rows):
+    """df in no more tasks than its number of rows needs; tables beyond that keep the tasks of their shuffle."""
+    return df.coalesce(max(df.sparkSession.sparkContext.defaultParallelism, rows // PER_TASK))
+
+
 def usable(vectors, like=None):
     """(vec_id, x) of the rows that take part; `like`, rows that do, tell the length instead of the vectors."""
     x = F.col("embedding")
@@ -190,10 +197,10 @@ def build_graph(nodes):
     split = assigned.join(sizes, ["tree", "bucket"]).withColumn(
         "part", F.pmod(F.xxhash64("node", "tree"), "parts"))  # any split will do for a start
     blocks = split.groupBy("tree", "bucket", "part").agg(F.collect_list(F.struct("node", "h")).alias("members"))
-    first = blocks.select("members").mapInArrow(_block_edges(kind), "u long, v long, d float")
+    first = _sized(blocks.select("members"), TREES * n).mapInArrow(_block_edges(kind), "u long, v long, d float")
     scratch = Scratch(spark)
     copies = scratch.write(nodes.mapInArrow(_copies(largest, kind), "node long, h binary"), "copies")
-    edges = scratch.write(_best(first.withColumn("new", F.lit(True)), 0), "graph0")
+    edges = scratch.write(_sized(_best(first.withColumn("new", F.lit(True)), 0), K * n), "graph0")
     for turn in range(ROUNDS):
         order = Window.partitionBy("at", "new").orderBy(F.xxhash64("at", "node", F.lit(turn)), "node")
         back = edges.select(F.col("v").alias("at"), F.col("u").alias("node"), "new").withColumn(
@@ -204,9 +211,10 @@ def build_graph(nodes):
         known = copies.join(worst, "node", "left").withColumn("worst", F.coalesce("worst", F.lit(float("inf")).cast("float")))
         gathered = sample.join(known, "node").groupBy("at").agg(
             F.collect_list(F.struct("node", "new", "worst", "h")).alias("members"))  # 4 * SAMPLE at most
-        found = gathered.select("members").mapInArrow(_local_join(kind), "u long, v long, d float")
+        found = _sized(gathered.select("members"), 4 * SAMPLE * n).mapInArrow(_local_join(kind), "u long, v long, d float")
         kept = edges.select("u", "v", "d", (F.col("new") & ~F.col("sent")).alias("new"))
-        edges = scratch.write(_best(kept.unionByName(found.withColumn("new", F.lit(True))), turn + 1), f"graph{turn + 1}")
+        ranked = _best(kept.unionByName(found.withColumn("new", F.lit(True))), turn + 1)
+        edges = scratch.write(_sized(ranked, K * n), f"graph{turn + 1}")
         scratch.drop(f"graph{turn}")
         if edges.filter("new").count() <= ENOUGH * K * n:
             break
@@ -240,21 +248,22 @@ def search(nodes, edges, queries, beam=BEAM):
     spark = nodes.sparkSession
     queries = broadcast_if_small(queries)
     links = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct()
-    links = materialise(links, "links")
+    links = materialise(_sized(links, 2 * edges.count()), "links")
+    most = beam * queries.count()
     own = queries.select("q").join(nodes.select(F.col("node").alias("q")), "q", "left_semi")
     entries = nodes.select("node").orderBy(F.xxhash64("node"), "node").limit(ENTRIES)
     strangers = queries.select("q").join(own, "q", "left_anti").crossJoin(F.broadcast(entries))  # ENTRIES rows
     start = own.select("q", F.col("q").alias("node")).unionByName(strangers)
     scratch, turn = Scratch(spark), 0
-    state = scratch.write(_ranked(_measured(start, nodes, queries).withColumn("open", F.lit(True)), beam), "beam0")
+    state = scratch.write(_sized(_ranked(_measured(start, nodes, queries).withColumn("open", F.lit(True)), beam), most), "beam0")
     while not state.filter("now").isEmpty():
         chosen = broadcast_if_small(state.filter("now").select("q", F.col("node").alias("u")))
         reached = links.join(chosen, "u").select("q", F.col("v").alias("node"), F.lit(False).alias("seen"))
         pairs = reached.unionByName(state.select("q", "node", F.lit(True).alias("seen")))
         fresh = pairs.groupBy("q", "node").agg(F.max("seen").alias("seen")).filter("NOT seen").drop("seen")
         after = state.select("q", "node", "d", (F.col("open") & ~F.col("now")).alias("open")).unionByName(
-            _measured(fresh, nodes, queries).withColumn("open", F.lit(True)))
-        state = scratch.write(_ranked(after, beam), f"beam{turn + 1}")
+            _measured(_sized(fresh, EXPAND * most), nodes, queries).withColumn("open", F.lit(True)))
+        state = scratch.write(_sized(_ranked(after, beam), most), f"beam{turn + 1}")
         scratch.drop(f"beam{turn}")
         turn += 1
     return state.select("q", "node", "d")
@@ -262,14 +271,15 @@ def search(nodes, edges, queries, beam=BEAM):
 
 def nearest(vectors, queries, best=10):
     """query_id, rank, vec_id and score of the `best` nearest rows of each query (query_id, embedding)."""
-    points = materialise(usable(vectors).distinct(), "points")
-    nodes = materialise(_nodes(points), "nodes")
+    rows = vectors.count()
+    points = materialise(_sized(usable(vectors).distinct(), rows), "points")
+    nodes = materialise(_sized(_nodes(points), rows), "nodes")
     edges = build_graph(nodes)
     asked = usable(queries.select(F.col("query_id").alias("vec_id"), "embedding"), points).select(
         F.col("vec_id").alias("query_id"), "x")
     placed = asked.join(nodes, "x", "left")
     distinct = placed.groupBy("x").agg(F.coalesce(F.first("node"), -1 - F.min("query_id")).alias("q"))
-    placed = materialise(asked.join(distinct, "x").select("query_id", "q", "x"), "asked")
+    placed = materialise(_sized(asked.join(distinct, "x").select("query_id", "q", "x"), rows), "asked")
     found = search(nodes, edges, placed.select("q", "x").distinct())
     few = Window.partitionBy("q").orderBy("d", "node")
     found = found.withColumn("place", F.row_number().over(few)).filter(F.col("place") <= best + 1).drop("place")
