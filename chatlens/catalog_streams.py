@@ -18,15 +18,17 @@ from chatlens.streaming.late import LateTimeline
 
 AS_OF = "2024-02-01 00:00:00"
 BLOCK = 5_000
+BLOCKS = 100
 PARTS = 3
 LATE_AFTER = "10 days"
 
 
 def _fed(spark, parts, start):
-    """Write one file after another below a folder and let a stream, start(stream, checkpoint), consume each."""
+    """Write one part after another below a folder, each by all tasks, and let a stream, start(stream, checkpoint), consume
+    it; without a bound on files the new ones are one micro-batch."""
     source, checkpoint = scratch_path(spark, "source"), scratch_path(spark, "offsets")
     for part in parts:
-        part.coalesce(1).write.mode("append").parquet(source)
+        part.write.mode("append").parquet(source)
         start(stream_messages(spark, source, schema=part.schema), checkpoint).awaitTermination()
 
 
@@ -34,9 +36,15 @@ def _thirds(rows):
     return [rows.where(F.col("id") % PARTS == k) for k in range(PARTS)]
 
 
+def _block_rows(messages):
+    """BLOCK, or more where a table of the messages would have over BLOCKS folders: each is listed, opened and moved by
+    every write."""
+    return max(BLOCK, -(-messages.count() // BLOCKS))
+
+
 def _table(spark, messages):
     path = scratch_path(spark, "table")
-    layout.append_messages(messages, path, block_rows=BLOCK)
+    layout.append_messages(messages, path, block_rows=_block_rows(messages))
     return path
 
 
@@ -47,7 +55,7 @@ def stream_label_folds(spark, sf):
     source, checkpoint = scratch_path(spark, "source"), scratch_path(spark, "offsets")
 
     def log(part):
-        feed.where(part).coalesce(1).write.mode("append").parquet(source)
+        feed.where(part).write.mode("append").parquet(source)
         stream = stream_messages(spark, source, schema=feed.schema)
         enrichment.stream_label_updates(
             stream, root, checkpoint, derived.UPDATE_ORDER, AS_OF, available_now=True).awaitTermination()
