@@ -12,7 +12,7 @@ from typing import NamedTuple
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chatlens.operators.facets import facet_rows, newest
+from chatlens.operators.facets import latest_per_facet, newest
 from chatlens.operators.filters import visible_messages
 from chatlens.operators.timeline import merged_minutes, minute_counters, rolled_up
 from chatlens.plans.dashboard import label_counters, merged_counters, overview_of
@@ -48,12 +48,13 @@ def adaptive_timeline(by=()):
 
 
 def latest_messages(n=FACET_SIZE, columns=None):
-    """As `latest_per_facet` over the visible messages: at most n rows a facet are kept."""
+    """As `latest_per_facet` over the visible messages: at most n rows a facet are kept. Of a batch only what its counters
+    per hour leave over is sorted."""
     def top(rows):
         return newest(rows, ["section", "label"], n)
 
     return Summary(
-        lambda messages: top(facet_rows(visible_messages(messages), columns)).drop("rank"),
+        lambda messages: latest_per_facet(visible_messages(messages), n, columns=columns).drop("rank"),
         lambda rows: top(rows).drop("rank"), top)
 
 
