@@ -78,14 +78,14 @@ def stream_ingest_fold(spark, sf):
     live = derived.live(spark, sf)
     root, path = scratch_path(spark, "store"), scratch_path(spark, "table")
     nothing = spark.createDataFrame([], MESSAGES)
-    thirds, done = _thirds(live), []
+    thirds, done, block_rows = _thirds(live), [], _block_rows(live)
 
     def start(stream, checkpoint):
         query = ingest.stream_ingest(stream, nothing, root, checkpoint, available_now=True)
         query.awaitTermination()
         done.append(1)
         if len(done) > 1:
-            ingest.fold_landed(spark, root, path, BLOCK)
+            ingest.fold_landed(spark, root, path, block_rows)
         return query
 
     _fed(spark, [reduce(lambda a, b: a.unionByName(b), [*thirds[:k + 1], thirds[k]]) for k in range(PARTS)], start)
@@ -197,12 +197,12 @@ def store_reset(spark, sf):
         urls = spark.read.schema(REGISTRY).parquet(listed).agg(F.count("*").alias("urls"))
         return spark.createDataFrame([(step, held.first()["messages"], urls.first()["urls"])], "step string, messages long, urls long")
 
-    layout.append_messages(live, path, BLOCK)
+    layout.append_messages(live, path, _block_rows(live))
     derived.registry(spark, sf).write.parquet(listed)
     steps = [counted("filled")]
     layout.reset_store(spark, path, listed, [path, listed])
     steps.append(counted("cleared"))
-    layout.append_messages(live.where("id % 2 = 0"), path, BLOCK)
+    layout.append_messages(live.where("id % 2 = 0"), path, _block_rows(live))
     return reduce(lambda a, b: a.unionByName(b), [*steps, counted("filled again")])
 
 
