@@ -14,11 +14,13 @@ from chatlens.session import materialise, scratch_path
 from chatlens.sources import derived
 from chatlens.sources.tables import stream_lines, stream_messages
 from chatlens.streaming import enrichment, ingest, lines, panels
+from chatlens.streaming.batches import entries
 from chatlens.streaming.late import LateTimeline
 
 AS_OF = "2024-02-01 00:00:00"
 BLOCK = 5_000
 BLOCKS = 100
+LINE_BATCHES = 2
 PARTS = 3
 LATE_AFTER = "10 days"
 
@@ -173,8 +175,9 @@ def _lines(spark, sf):
     source, root = scratch_path(spark, "lines"), scratch_path(spark, "store")
     texts = [live.select(line), broken, unnamed, live.where("id % 3 = 0").select(line)]
     reduce(lambda a, b: a.unionByName(b), texts).write.text(source)
+    files = sum(p.getName().startswith("part-") for p in entries(spark, source)[1])
     lines.stream_ingest_lines(
-        stream_lines(spark, source, files_per_batch=2), spark.createDataFrame([], MESSAGES), root,
+        stream_lines(spark, source, files_per_batch=-(-files // LINE_BATCHES)), spark.createDataFrame([], MESSAGES), root,
         scratch_path(spark, "offsets"), available_now=True).awaitTermination()
     return root
 

@@ -40,3 +40,21 @@ def test_only_the_newest_hours_of_a_batch_are_sorted(spark, monkeypatch):
     kept = panels.latest_messages(5).rows(messages(spark, *rows))
     shown = {(r["section"], r["label"]): r["n"] for r in kept.groupBy("section", "label").agg(F.count("*").alias("n")).collect()}
     assert sorted(shown.values()) == [2, 5] and max(sorted_rows) == 7
+
+
+def test_lines_of_many_files_come_in_as_few_batches(spark, small, tmp_path, monkeypatch):
+    spark.read.parquet(f"{small}/events.parquet").repartition(6).write.parquet(f"{tmp_path}/events.parquet")
+    asked = []
+
+    class Ended:
+        def awaitTermination(self):
+            pass
+
+    def stream_lines(_, source, files_per_batch):
+        files = len([p for p in spark.read.text(source).inputFiles()])
+        asked.append(-(-files // files_per_batch))
+
+    monkeypatch.setattr(catalog_streams, "stream_lines", stream_lines)
+    monkeypatch.setattr(catalog_streams.lines, "stream_ingest_lines", lambda *args, **options: Ended())
+    catalog_streams._lines(spark, str(tmp_path))
+    assert asked == [2]
