@@ -1,5 +1,6 @@
 """Connected components by alternating large and small stars, each a few narrow Spark joins."""
 
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from chatlens.session import materialise
@@ -20,8 +21,12 @@ def _small_star(edges):
     return moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
 
 
-def _state(edges):
-    return edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38)"))).first()
+def _written(edges):
+    """The edges in the shared folder, and their number and sum of hashes, taken while they are written."""
+    seen = Observation()
+    copy = materialise(edges.observe(
+        seen, F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38)")).alias("hashes")), "edges")
+    return copy, seen.get
 
 
 def connected_components(edges):
@@ -29,12 +34,18 @@ def connected_components(edges):
 
     Each round is written to the shared folder, which cuts the lineage.
     """
-    edges = materialise(edges.filter("u <> v").select("u", "v").distinct(), "edges")
-    state = _state(edges)
-    while True:
-        edges = materialise(_small_star(_large_star(edges).distinct()), "edges")
-        before, state = state, _state(edges)
+    edges, state = _written(edges.filter("u <> v").select("u", "v").distinct())
+    while state["n"]:
+        before = state
+        edges, state = _written(_small_star(_large_star(edges).distinct()))
         if state == before:
             break
     down = edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
     return down.unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root"))).distinct()
+
+
+def extended_components(roots, edges):
+    """(node, root) with further edges: `roots` are stars, so that few rounds follow; none without edges."""
+    if edges.isEmpty():
+        return roots
+    return connected_components(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(edges))

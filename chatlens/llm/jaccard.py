@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from chatlens.llm import flat
-from chatlens.llm.components import connected_components
+from chatlens.llm.components import connected_components, extended_components
 from chatlens.session import materialise
 from chatlens.sizing import broadcast_if_small
 
@@ -323,17 +323,15 @@ def _placed(documents):
     """doc_id, key (hash of id and text), n, root and component_id of every document; root is NULL without shingles."""
     join = _Join(documents)
     tried = materialise(_ordered(_star(join.postings)).distinct(), "pairs")
-    links = materialise(join.verify(tried), "links")
-    roots = connected_components(links)
+    roots = connected_components(materialise(join.verify(tried), "links"))
     for turn in range(RETRIES):  # only spares pairs: what is still apart then is compared in full
         pairs = _ordered(_again(_mixed(join.postings, roots), turn)).distinct().join(tried, ["a", "b"], "left_anti")
         pairs = materialise(pairs, "pairs")
-        links = materialise(links.unionByName(join.verify(pairs)), "links")
         tried = tried.unionByName(pairs)
-        roots = connected_components(links)
+        roots = extended_components(roots, materialise(join.verify(pairs), "links"))
     rest = _across(_mixed(join.postings, roots), join.bitmaps).join(tried, ["a", "b"], "left_anti")
     more = materialise(join.verify(materialise(rest, "pairs")), "links")
-    roots = connected_components(links.unionByName(more))
+    roots = extended_components(roots, more)
     placed = join.classes.join(roots, "node", "left").select(
         "d1", "d2", "n", "rep", F.coalesce("root", "node").alias("root"))
     least = placed.groupBy("root").agg(F.min("rep").alias("component_id"))
