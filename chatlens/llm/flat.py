@@ -106,6 +106,13 @@ class Rolling:
         length = (ends - starts).astype(np.uint64)
         return mix((sums[ends] - sums[starts]) * shift[starts] + length)
 
+    def all_spans(self, sums, length):
+        """Hash of the span of so many symbols at every place."""
+        out = sums[length:] - sums[:-length]
+        out *= self.powers(len(sums), self.inverse)[:len(out)]
+        out += np.uint64(length)
+        return mix(out)
+
 
 @functools.cache
 def rolling(seed):

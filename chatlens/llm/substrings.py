@@ -14,7 +14,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 from chatlens.llm import flat
-from chatlens.llm.superkmers import Windows, copied, covered, repeated_windows, with_runs
+from chatlens.llm.superkmers import Windows, covered, prepared, repeated_windows, with_runs
 
 WINDOW = 35
 MINIMISER = 8
@@ -75,7 +75,7 @@ def _sorted_windows(k):
 
 
 def word_windows(k=WINDOW, m=MINIMISER):
-    return Windows(k, m, _parse, _pack, _sorted_windows(k), once_a_document=False)
+    return Windows(k, m, m, _parse, _pack, _sorted_windows(k), once_a_document=False)
 
 
 def _cut(k, with_text):
@@ -101,9 +101,9 @@ def _cut(k, with_text):
 
 def dedup(documents, k=WINDOW, with_text=True):
     """doc_id, n_words, n_removed, kept_sha256 and the kept text of every document."""
-    copies = copied(documents)
-    marks = repeated_windows(documents, copies, word_windows(k)).filter("copies = 1").drop("least")
+    texts = prepared(documents)
+    marks = repeated_windows(texts, word_windows(k)).filter("copies = 1").drop("least")
     id_type = documents.schema["doc_id"].dataType.simpleString()
-    return with_runs(documents, copies, "copies > 1", marks).mapInArrow(
+    return with_runs(texts, "copies > 1", marks).mapInArrow(
         _cut(k, with_text), f"doc_id {id_type}, n_words long, n_removed long, kept_sha256 string"
         + ", kept string" * with_text)

@@ -20,10 +20,11 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from chatlens.llm import flat
-from chatlens.llm.superkmers import Windows, copied, covered, repeated_windows, with_runs
+from chatlens.llm.superkmers import Windows, covered, prepared, repeated_windows, with_runs
 
 WINDOW = 50
-MINIMISER = 16
+MINIMISER = 30
+CHOICE = 9
 MOST_SYMBOLS = 512
 
 
@@ -196,8 +197,9 @@ def _sorted_suffixes(k):
     return solve
 
 
-def byte_windows(k=WINDOW, m=MINIMISER):
-    return Windows(k, m, _parse, _pack, _sorted_suffixes(k), once_a_document=True)
+def byte_windows(k=WINDOW):
+    m = k * MINIMISER // WINDOW
+    return Windows(k, m, min(CHOICE, m), _parse, _pack, _sorted_suffixes(k), once_a_document=True)
 
 
 def _cut(k, with_bytes):
@@ -225,10 +227,10 @@ def _cut(k, with_bytes):
 
 def dedup(documents, k=WINDOW, with_bytes=True):
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and the kept bytes of every document."""
-    copies = copied(documents)
+    texts = prepared(documents)
     earlier = "{0} IS NOT NULL AND ({1} IS NULL OR {0} < {1})"
-    marks = repeated_windows(documents, copies, byte_windows(k)).filter(earlier.format("least", "doc_id")).drop("least")
+    marks = repeated_windows(texts, byte_windows(k)).filter(earlier.format("least", "doc_id")).drop("least")
     id_type = documents.schema["doc_id"].dataType.simpleString()
-    return with_runs(documents, copies, earlier.format("first", "long_id"), marks).mapInArrow(
+    return with_runs(texts, earlier.format("first", "long_id"), marks).mapInArrow(
         _cut(k, with_bytes), f"doc_id {id_type}, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
         + ", kept binary" * with_bytes)

@@ -1,29 +1,35 @@
 """Repeated windows by super-k-mers: the part that word and byte windows have in common.
 
-A window is `k` consecutive symbols (words or bytes) of one document. Its minimiser is the run of `m`
-symbols in it with the least hash (the leftmost of equal ones), so equal windows have equal minimisers.
-Consecutive windows with the same minimiser are one super-k-mer; it is named by the hash of its minimiser
-and a digest of its content.
+A window is `k` consecutive symbols (words or bytes) of one document. Its minimiser is a run of `m` symbols
+in it: the run of `t` symbols with the least hash (the leftmost of equal ones) starts at some place of the
+window, and the minimiser starts at that place modulo k - m + 1 (a mod-minimiser; the plain one if t is m).
+So equal windows have equal minimisers. Consecutive windows with the same minimiser are one super-k-mer.
 
 Of equal texts one is searched, the one with the smallest id; it stands for all of them, and what is removed
 from its copies is known without a search.
 
 1. Minimisers that occur once can't belong to a repeated window. The others are found by one shuffle of
    (minimiser, document key); repeats within a slice are known before it and don't meet in one task.
-2. Super-k-mers with a repeated minimiser are listed, without text.
-3. Equal super-k-mers are one class with a count and the smallest document id. A minimiser with a single
-   class needs no text: all its windows have that count.
-4. For the others one string of each class goes to the bucket of its minimiser, where a solver compares
-   the windows exactly. Minimisers with more than HOT classes (a passage between thousands of different
-   neighbours) aren't gathered: their windows are counted by 128-bit digests.
+2. Super-k-mers with a repeated minimiser are listed, without text, in two halves: windows in which the
+   minimiser lies left and those in which it lies right. All windows of a half share more symbols than the
+   minimiser, its core; a half is named by the hash of its core and a digest of its content.
+3. Equal halves are one class with a count and the smallest document id. A core with a single class needs
+   no text: all its windows have that count. So minimisers that meet by chance, whose number grows faster
+   than the input, end here.
+4. For the others one string of each class goes to the bucket of its core, where a solver compares the
+   windows exactly. Cores with more than HOT classes (a passage between thousands of different neighbours)
+   aren't gathered: their windows are counted by 128-bit digests.
 5. The marked windows go back to the documents of each class, and from there to the texts.
 
+The texts move once, into a table in buckets of their names; later only lists move to them.
+
 Documents are named by a hash of id and text: rows that are equal in both have equal results. If such rows
 are the first of their text, all of them are searched, which changes no result: their windows occur in copies.
 Intermediates are removed as soon as what was made of them is written.
 """
 
 import dataclasses
+import uuid
 from collections.abc import Callable
 
 import numpy as np
@@ -32,7 +38,7 @@ from pyspark.sql import functions as F
 
 from chatlens.llm import flat
 from chatlens.session import materialise, remove, scratch_path
-from chatlens.sizing import broadcast_if_small
+from chatlens.sizing import broadcast_if_small, measured_copy
 
 HOT = 1000
 LARGEST = np.iinfo(np.int64).max
@@ -44,42 +50,70 @@ _GRAMS, _CONTENT, _SECOND = 2, 3, 4
 
 @dataclasses.dataclass(frozen=True)
 class Windows:
-    """What to look for: windows of k symbols by minimisers of m; parse gives symbols and bounds of a slice."""
+    """What to look for: windows of k symbols by minimisers of m, chosen by runs of t; parse gives symbols and bounds
+    of a slice."""
 
     k: int
     m: int
+    t: int
     parse: Callable
     pack: Callable
     solve: Callable
     once_a_document: bool
 
 
-def super_kmers(symbols, bounds, k, m):
-    """Document, first symbol, number of windows, minimiser hash and content digest of every super-k-mer."""
-    size = len(symbols)
+def super_kmers(symbols, bounds, k, m, t, halves=False, keep=None):
+    """Document, first symbol, number of windows and minimiser hash of every super-k-mer.
+
+    With halves also the hash of the core and the content digest, of every half; keep tells by documents and minimisers
+    which halves are wanted.
+    """
+    windows = max(len(symbols) - k + 1, 0)
     room = np.maximum(np.diff(bounds) - k + 1, 0)
-    window = flat.ranges(bounds[:-1].astype(np.int64), room.astype(np.int64))
-    if not len(window):
+    begins, stops = bounds[:-1][room > 0], (bounds[:-1] + room)[room > 0]
+    if not len(begins):
         nothing = np.zeros(0, np.int64)
-        return nothing, nothing, nothing, nothing, nothing
+        return (nothing,) * (6 if halves else 4)
     grams = flat.rolling(_GRAMS)
     sums = grams.prefix(symbols)
-    at = np.arange(size - m + 1)
-    hashes = grams.spans(sums, at, at + m)
+    at = np.arange(len(symbols) - t + 1)
     low = (np.uint64(1) << _INDEX_BITS) - np.uint64(1)
-    least = flat.window_minima((hashes & ~low) | at.astype(np.uint64), k - m + 1)[window]
-    place = (least & low).astype(np.int64)
-    new = np.ones(len(window), bool)
-    new[1:] = (place[1:] != place[:-1]) | (window[1:] != window[:-1] + 1)
-    new[(np.cumsum(room) - room)[room > 0]] = True
-    first = np.flatnonzero(new)
-    count = np.diff(first, append=len(window))
-    start = window[first]
+    hashes = grams.all_spans(sums, t)
+    hashes &= ~low
+    hashes |= at.view(np.uint64)
+    least = flat.window_minima(hashes, k - t + 1)
+    width = k - m + 1
+    part = (width + 1) // 2
+    place = (least & low).view(np.int64)
+    place -= at[:windows]
+    place = (np.arange(k - t + 1) % width)[place]
+    right = place >= part  # where in its window the minimiser lies
+    place += at[:windows]
+    new = np.ones(windows, bool)
+    np.not_equal(place[1:], place[:-1], out=new[1:])
+    if halves:
+        new[1:] |= right[1:] != right[:-1]
+    new[begins] = True
+    depth = np.zeros(windows + 1, np.int8)
+    np.add.at(depth, begins, 1)
+    np.add.at(depth, stops, -1)
+    new &= np.cumsum(depth[:-1], dtype=np.int8).view(bool)
+    start = np.flatnonzero(new)
+    document = np.searchsorted(bounds, start, "right") - 1
+    count = np.minimum(np.append(start[1:], windows), bounds[document] + room[document]) - start
+    place, right = place[start], right[start]
+    minimiser = flat.mix(grams.spans(sums, place, place + m) + np.uint64(m)).view(np.int64)
+    if not halves:
+        return document, start, count, minimiser
+    if keep is not None:
+        kept = np.flatnonzero(keep(document, minimiser))
+        document, start, count, minimiser, place, right = (
+            x[kept] for x in (document, start, count, minimiser, place, right))
     content = flat.rolling(_CONTENT)
     digest = content.spans(content.prefix(symbols), start, start + count + k - 1)
-    document = np.searchsorted(bounds, start, "right") - 1
-    minimiser = flat.mix(hashes[place[first]] + np.uint64(m))
-    return document, start, count, minimiser.view(np.int64), digest.view(np.int64)
+    core = grams.spans(sums, np.where(right, place - part, place), np.where(right, place - width, place - part) + k + 1)
+    core = flat.mix(core + right.astype(np.uint64))
+    return document, start, count, minimiser, core.view(np.int64), digest.view(np.int64)
 
 
 def _anchors(spec):
@@ -88,7 +122,7 @@ def _anchors(spec):
         for batch in batches:
             for first, n, data, offsets in flat.slices(batch.column("text"), _SLICE):
                 symbols, bounds = spec.parse(data, offsets)[:2]
-                document, _, _, minimiser, _ = super_kmers(symbols, bounds, spec.k, spec.m)
+                document, _, _, minimiser = super_kmers(symbols, bounds, spec.k, spec.m, spec.t)
                 if spec.once_a_document:
                     order = np.lexsort((minimiser, document))
                     document, minimiser = document[order], minimiser[order]
@@ -143,34 +177,44 @@ def _pair(a, b):
     return flat.mix(a.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + b.view(np.uint64))
 
 
+def _among(row, listed):
+    """Tells which documents and minimisers are listed."""
+    pairs = np.sort(_pair(row, listed))
+
+    def keep(document, minimiser):
+        have = _pair(document, minimiser)
+        return pairs[np.minimum(np.searchsorted(pairs, have), len(pairs) - 1)] == have
+    return keep
+
+
 def _candidates(spec):
-    """Super-k-mers whose minimiser is in the list of the row."""
+    """Halves of super-k-mers whose minimiser is in the list of the row."""
     def run(batches):
         for batch in batches:
             for first, n, data, offsets in flat.slices(batch.column("text"), _SLICE):
                 symbols, bounds = spec.parse(data, offsets)[:2]
-                document, start, count, minimiser, digest = super_kmers(symbols, bounds, spec.k, spec.m)
                 row, (listed,) = _wanted(batch, first, n, ["minimisers"])
-                at = np.flatnonzero(np.isin(_pair(document, minimiser), _pair(row, listed)))
-                rows = pa.array(document[at])
+                document, start, count, _, core, digest = super_kmers(
+                    symbols, bounds, spec.k, spec.m, spec.t, True, _among(row, listed))
+                rows = pa.array(document)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(minimiser[at]), pa.array(digest[at]), batch.column("key").slice(first, n).take(rows),
+                    [pa.array(core), pa.array(digest), batch.column("key").slice(first, n).take(rows),
                      batch.column("doc_id").slice(first, n).take(rows), batch.column("copies").slice(first, n).take(rows),
-                     pa.array((start[at] - bounds[document[at]]).astype(np.int32)), pa.array(count[at].astype(np.int32))],
-                    ["minimiser", "digest", "key", "doc_id", "copies", "start", "n"],
+                     pa.array((start - bounds[document]).astype(np.int32)), pa.array(count.astype(np.int32))],
+                    ["core", "digest", "key", "doc_id", "copies", "start", "n"],
                 )
     return run
 
 
 def _fetched(spec, batches):
-    """Per slice: its parsed symbols, and the first super-k-mer of every class that a row is asked for."""
-    names = ["minimisers", "digests", "counts", "leasts"]
+    """Per slice: its parsed symbols, and the first half of every class that a row is asked for."""
+    names = ["cores", "digests", "counts", "leasts"]
     for batch in batches:
         for first, n, data, offsets in flat.slices(batch.column("text"), _SLICE):
             parsed = spec.parse(data, offsets)
-            document, start, count, minimiser, digest = super_kmers(*parsed[:2], spec.k, spec.m)
+            document, start, count, _, core, digest = super_kmers(*parsed[:2], spec.k, spec.m, spec.t, True)
             row, (listed, digests, counts, leasts) = _wanted(batch, first, n, names)
-            have = _pair(document, flat.mix(_pair(minimiser, digest)).view(np.int64))
+            have = _pair(document, flat.mix(_pair(core, digest)).view(np.int64))
             want = _pair(row, flat.mix(_pair(listed, digests)).view(np.int64))
             distinct, where = np.unique(have, return_index=True)
             if not len(distinct):
@@ -186,7 +230,7 @@ def _strings(spec):
     def run(batches):
         for parsed, data, start, count, columns in _fetched(spec, batches):
             strings = spec.pack(parsed, data, start, start + count + spec.k - 1)
-            yield pa.RecordBatch.from_arrays([*columns, strings], ["minimiser", "digest", "c", "least", "packed"])
+            yield pa.RecordBatch.from_arrays([*columns, strings], ["core", "digest", "c", "least", "packed"])
     return run
 
 
@@ -202,14 +246,24 @@ def _digests(spec):
                 sides.append(pa.array(roller.spans(roller.prefix(parsed[0]), at, at + spec.k).view(np.int64)))
             yield pa.RecordBatch.from_arrays(
                 [*[c.take(row) for c in columns], pa.array(offset), *sides],
-                ["minimiser", "digest", "c", "least", "offset", "h1", "h2"],
+                ["core", "digest", "c", "least", "offset", "h1", "h2"],
             )
     return run
 
 
+def _distinct(rows):
+    """One batch with one row of each class: equal rows of the table send the same strings."""
+    rows = pa.concat_batches(rows)
+    names = np.stack([rows.column(c).to_numpy() for c in ("core", "digest")])
+    new = np.ones(rows.num_rows, bool)
+    new[1:] = (names[:, 1:] != names[:, :-1]).any(axis=0)
+    return rows.take(pa.array(np.flatnonzero(new)))
+
+
 def _solved(spec):
-    """Compare the windows of complete minimiser groups, some MB at a time; rows come sorted by minimiser."""
+    """Compare the windows of complete core groups, some MB at a time; rows come sorted by core and digest."""
     def out(rows):
+        rows = [_distinct(rows)]
         strings = pa.concat_arrays([r.column("packed") for r in rows])
         c = np.concatenate([r.column("c").to_numpy() for r in rows])
         least = np.concatenate([r.column("least").to_numpy() for r in rows])
@@ -220,19 +274,19 @@ def _solved(spec):
         first = np.flatnonzero(new)
         length = np.diff(first, append=len(row))
         first, length = first[total[first] > 1], length[total[first] > 1]
-        names = pa.concat_batches([r.select(["minimiser", "digest"]) for r in rows]).take(pa.array(row[first]))
+        names = pa.concat_batches([r.select(["core", "digest"]) for r in rows]).take(pa.array(row[first]))
         return pa.RecordBatch.from_arrays(
             [*names.columns, pa.array(offset[first]), pa.array(length), pa.array(smallest[first])],
-            ["minimiser", "digest", "offset", "length", "least"],
+            ["core", "digest", "offset", "length", "least"],
         )
 
     def run(batches):
         held, size = [], 0
         for batch in batches:
             first = 0
-            minimiser = batch.column("minimiser").to_numpy()
-            bounds = np.flatnonzero(np.diff(minimiser)) + 1
-            if held and len(minimiser) and held[-1].column("minimiser")[-1].as_py() != minimiser[0] and size >= _CHUNK:
+            core = batch.column("core").to_numpy()
+            bounds = np.flatnonzero(np.diff(core)) + 1
+            if held and len(core) and held[-1].column("core")[-1].as_py() != core[0] and size >= _CHUNK:
                 yield out(held)
                 held, size = [], 0
             offsets = flat.byte_array(batch.column("packed"))[1]
@@ -276,27 +330,44 @@ def copied(documents):
         rows.join(broadcast_if_small(first), "digest").select("key", "doc_id", "copies", "first"))
 
 
-def _with_copies(documents, copies):
-    """doc_id, text, key, long_id; copies and first are NULL for a text that occurs once."""
+def prepared(documents):
+    """doc_id, text, key, long_id, and copies and first as in `copied`, NULL for a text that occurs once.
+
+    It is a table in buckets of the key, so that joins with lists of keys leave the texts where they are.
+    """
+    spark, copies = documents.sparkSession, copied(documents)
     texts = documents.select(
         "doc_id", "text", F.xxhash64("doc_id", "text").alias("key"), F.col("doc_id").cast("long").alias("long_id"))
     same = (texts["key"] == copies["key"]) & texts["long_id"].eqNullSafe(copies["doc_id"])
-    return texts.join(copies, same, "left").select(texts["*"], "copies", "first")
-
-
-def _first(documents, copies):
+    buckets = max(int(spark.conf.get(f"spark.sql.{c}", None) or 1) for c in (
+        "shuffle.partitions", "adaptive.coalescePartitions.initialPartitionNum"))
+    name = f"chatlens_texts_{uuid.uuid4().hex}"
+    texts.join(copies, same, "left").select(texts["*"], "copies", "first").repartition(buckets, "key").write.bucketBy(
+        buckets, "key").option("path", scratch_path(spark, "texts")).format("parquet").saveAsTable(name)
+    table = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")  # its files stay
+    release(spark)
+    return table
+
+
+def _first(texts):
     """key, doc_id, text and number of copies of the first row of every text."""
-    return _with_copies(documents, copies).filter("copies IS NULL OR long_id <=> first").select(
+    return texts.filter("copies IS NULL OR long_id <=> first").select(
         "key", F.col("long_id").alias("doc_id"), "text", F.coalesce("copies", F.lit(1)).alias("copies"))
 
 
-def _asked(spec, documents, classes):
-    """Texts with the classes that each is asked for: one text for each class, the smallest key."""
+def _beside_texts(lists):
+    """Lists by key for a join with the table of texts: a broadcast, or dealt to its buckets."""
+    lists, small = measured_copy(lists)
+    return F.broadcast(lists) if small else lists.hint("shuffle_hash")
+
+
+def _asked(texts, classes):
+    """Texts with the classes that each is asked for: one name for each class, the smallest key."""
     lists = classes.groupBy("key").agg(*[
-        F.collect_list(c).alias(f"{c}s") for c in ("minimiser", "digest")
+        F.collect_list(c).alias(f"{c}s") for c in ("core", "digest")
     ], F.collect_list("c").alias("counts"), F.collect_list(F.coalesce("least", F.lit(LARGEST))).alias("leasts"))
-    lists = broadcast_if_small(lists)
-    return documents.select("key", "text").join(lists, "key").dropDuplicates(["key"])
+    return texts.select("key", "text").join(_beside_texts(lists), "key")
 
 
 def release(spark):
@@ -304,59 +375,59 @@ def release(spark):
     spark.sparkContext._jvm.System.gc()
 
 
-def repeated_windows(documents, copies, spec):
+def repeated_windows(prepared_texts, spec):
     """(key, doc_id, copies, start, length, least): runs of windows that occur more than once.
 
-    Only the first row of every text is searched; copies is what `copied` returns. least is the smallest id
+    Of the table of `prepared` only the first row of every text is searched. least is the smallest id
     of a document with the window. Starts count symbols of the document. A run is listed for every searched
     document that holds it, the one with the smallest id included.
     """
-    scratch = Scratch(documents.sparkSession)
-    texts = _first(documents, copies)
+    scratch = Scratch(prepared_texts.sparkSession)
+    texts = _first(prepared_texts)
     anchors = texts.select("key", "text").mapInArrow(
         _anchors(spec), "minimiser long, key long, known boolean")
     spread = anchors.repartition(F.when(F.col("known"), F.col("key")).otherwise(F.col("minimiser")))
     shared = spread.sortWithinPartitions("minimiser").mapInArrow(_repeated, "key long, minimiser long")
     lists = scratch.write(shared.groupBy("key").agg(F.collect_set("minimiser").alias("minimisers")), "minimisers")
-    found = scratch.write(texts.join(lists, "key").mapInArrow(
-        _candidates(spec), "minimiser long, digest long, key long, doc_id long, copies long, start int, n int"), "superkmers")
+    found = scratch.write(texts.join(lists.hint("shuffle_hash"), "key").mapInArrow(
+        _candidates(spec), "core long, digest long, key long, doc_id long, copies long, start int, n int"), "superkmers")
     scratch.drop("minimisers")
-    classes = scratch.write(found.groupBy("minimiser", "digest", "n").agg(
+    classes = scratch.write(found.groupBy("core", "digest", "n").agg(
         F.sum("copies").alias("c"), F.min("doc_id").alias("least"), F.min("key").alias("key")), "classes")
-    groups = classes.groupBy("minimiser").agg(F.count("*").alias("classes"))
-    sized = scratch.write(classes.join(groups, "minimiser"), "sized")
+    groups = classes.groupBy("core").agg(F.count("*").alias("classes"))
+    sized = scratch.write(classes.join(groups, "core").filter("classes > 1 OR c > 1"), "sized")
     scratch.drop("classes")
-    single = sized.filter("classes = 1 AND c > 1").select(
-        "minimiser", "digest", F.lit(0).cast("long").alias("offset"), F.col("n").cast("long").alias("length"), "least")
-    strings = _asked(spec, texts, sized.filter((F.col("classes") > 1) & (F.col("classes") <= HOT))).mapInArrow(
-        _strings(spec), "minimiser long, digest long, c long, least long, packed binary")
-    marks = "minimiser long, digest long, offset long, length long, least long"
+    single = sized.filter("classes = 1").select(
+        "core", "digest", F.lit(0).cast("long").alias("offset"), F.col("n").cast("long").alias("length"), "least")
+    strings = _asked(texts, sized.filter((F.col("classes") > 1) & (F.col("classes") <= HOT))).mapInArrow(
+        _strings(spec), "core long, digest long, c long, least long, packed binary")
+    marks = "core long, digest long, offset long, length long, least long"
     solved = scratch.write(
-        strings.repartition("minimiser").sortWithinPartitions("minimiser").mapInArrow(_solved(spec), marks), "solved")
-    hot = scratch.write(_asked(spec, texts, sized.filter(F.col("classes") > HOT)).mapInArrow(
-        _digests(spec), "minimiser long, digest long, c long, least long, offset long, h1 long, h2 long"), "hot")
+        strings.repartition("core").sortWithinPartitions("core", "digest").mapInArrow(_solved(spec), marks), "solved")
+    hot = scratch.write(_asked(texts, sized.filter(F.col("classes") > HOT)).dropDuplicates(["key"]).mapInArrow(
+        _digests(spec), "core long, digest long, c long, least long, offset long, h1 long, h2 long"), "hot")
     sums = hot.groupBy("h1", "h2").agg(F.sum("c").alias("total"), F.min("least").alias("smallest")).filter("total > 1")
     counted = hot.join(sums, ["h1", "h2"]).select(
-        "minimiser", "digest", "offset", F.lit(1).cast("long").alias("length"), F.col("smallest").alias("least"))
+        "core", "digest", "offset", F.lit(1).cast("long").alias("length"), F.col("smallest").alias("least"))
     every = scratch.write(single.unionByName(solved).unionByName(counted), "marks")
     scratch.drop("sized", "solved", "hot")
-    return found.join(every, ["minimiser", "digest"]).select(
+    return found.join(every, ["core", "digest"]).select(
         "key", "doc_id", "copies", (F.col("start") + F.col("offset")).alias("start"), "length",
         F.when(F.col("least") < LARGEST, F.col("least")).alias("least"))
 
 
-def with_runs(documents, copies, whole, marks):
+def with_runs(prepared_texts, whole, marks):
     """Every document with the lists of its marked runs, which may be NULL, and whether all its windows are marked.
 
     whole is the condition for the latter, on long_id and the columns of `copied`.
     """
-    lists = broadcast_if_small(marks.groupBy("key", F.col("doc_id").alias("marked_id")).agg(
-        F.collect_list("start").alias("starts"), F.collect_list("length").alias("lengths")))
-    release(documents.sparkSession)
-    texts = _with_copies(documents, copies)
-    return texts.join(
-        lists, (texts["key"] == lists["key"]) & texts["long_id"].eqNullSafe(lists["marked_id"]), "left"
-    ).select("doc_id", "text", "starts", "lengths", F.coalesce(F.expr(whole), F.lit(False)).alias("whole"))
+    lists = _beside_texts(marks.groupBy("key").agg(F.collect_list(F.struct(
+        F.col("doc_id").alias("marked_id"), "start", "length")).alias("runs")))
+    release(prepared_texts.sparkSession)
+    own = F.filter("runs", lambda r: r["marked_id"].eqNullSafe(F.col("long_id")))
+    return prepared_texts.join(lists, "key", "left").select(
+        "doc_id", "text", F.transform(own, lambda r: r["start"]).alias("starts"),
+        F.transform(own, lambda r: r["length"]).alias("lengths"), F.coalesce(F.expr(whole), F.lit(False)).alias("whole"))
 
 
 def covered(batch, first, n, bounds, k):

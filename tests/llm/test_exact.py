@@ -165,3 +165,34 @@ def test_empty_tables(spark):
     assert jaccard.components(nothing).count() == 0 and jaccard.keep_one(nothing).columns == nothing.columns
     assert tokencounts.token_counts(nothing, public_tokenizers.path(PIECES)).count() == 0
     assert packing.pack(nothing, public_tokenizers.path(WORD_BPE)).count() == 0
+
+
+def test_cores_keep_texts_apart_that_share_less_than_a_window():
+    """Texts that share 36 bytes, and no window of 50, have no core in common; minimisers of 16 bytes they had."""
+    rng = np.random.default_rng(1)
+    around = rng.integers(0, 256, (300, 2, 80)).astype(np.uint8)
+    texts = np.concatenate([around[:, 0], np.tile(np.frombuffer(b"a passage that stands in every text.", np.uint8), (300, 1)),
+                            around[:, 1]], axis=1)
+    spec = suffixes.byte_windows()
+    document, start, count, minimiser, core, digest = superkmers.super_kmers(
+        texts.ravel(), np.arange(301) * texts.shape[1], spec.k, spec.m, spec.t, True)
+    assert count.sum() == 300 * (texts.shape[1] - spec.k + 1)
+    assert len(np.unique(core)) == len(core) and len(np.unique(minimiser)) < len(np.unique(core))
+
+
+def test_equal_windows_have_equal_cores():
+    text = np.random.default_rng(2).integers(0, 3, 400).astype(np.uint8)
+    both, bounds = np.concatenate([text, text[40:300]]), np.array([0, 400, 660])
+    for spec in (suffixes.byte_windows(), suffixes.byte_windows(17), suffixes.byte_windows(120)):
+        _, start, count, _, core, _ = superkmers.super_kmers(both, bounds, spec.k, spec.m, spec.t, True)
+        of_window = {s + i: c for s, n, c in zip(start, count, core) for i in range(n)}
+        assert all(of_window[40 + i] == of_window[400 + i] for i in range(260 - spec.k + 1))
+
+
+def test_lists_move_to_the_texts(spark):
+    texts = superkmers.prepared(brute.odd(spark))
+    lists = spark.range(40).withColumnRenamed("id", "key").hint("shuffle_hash")
+    plan = texts.join(lists, "key")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1
+    assert texts.count() == len(brute.odd_rows())
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("chatlens_texts")]
