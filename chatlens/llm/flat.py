@@ -11,6 +11,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 SLICE_BYTES = 1 << 21
+_POWERS = 1 << 16
 
 _SPACES = np.zeros(256, bool)
 _SPACES[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
@@ -39,7 +40,11 @@ def byte_array(column):
 
 def slices(column, limit=SLICE_BYTES):
     """Yield (first row, rows, bytes, offsets) for runs of rows of about `limit` bytes, one row at least."""
-    data, offsets = byte_array(column)
+    yield from blocks(*byte_array(column), limit)
+
+
+def blocks(data, offsets, limit):
+    """The same for bytes and offsets."""
     first, rows = 0, len(offsets) - 1
     while first < rows:
         last = int(np.searchsorted(offsets, offsets[first] + limit, "right")) - 1
@@ -83,12 +88,12 @@ class Rolling:
     def powers(self, n, base):
         known = self._powers.get(base)
         if known is None or len(known) < n:
-            size = max(1 << 16, 1 << (n - 1).bit_length())
+            size = -(-n // _POWERS) * _POWERS
             known = np.ones(size, np.uint64)
             done = 1
             step = np.uint64(base)
             while done < size:
-                known[done:2 * done] = known[:done] * step
+                known[done:2 * done] = known[:min(done, size - done)] * step
                 step = np.uint64(int(step) * int(step) & (1 << 64) - 1)
                 done *= 2
             self._powers[base] = known

@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from chatlens.llm import flat
 from chatlens.llm.components import connected_components, extended_components
-from chatlens.session import materialise
+from chatlens.session import materialise, release, small_batches
 from chatlens.sizing import broadcast_if_small
 
 WORDS = 5
@@ -44,6 +44,8 @@ VERIFY_COST = 20.0
 RETRIES = 2
 SIGNATURE_BITS = 512
 SKETCH_BITS = 20
+SLICE_BYTES = 1 << 19
+ARROW_ROWS = 1000
 _SKETCH_BLOCKS = 64
 _CELLS = np.uint64((1 << SKETCH_BITS) - 1)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -82,10 +84,9 @@ def _summaries(batches):
     """n and digest of every document; after them the sketch counts of this task, in blocks."""
     sketch = np.zeros(1 << SKETCH_BITS, np.int64)
     for batch in batches:
-        for first, n, data, offsets in flat.slices(batch.column("text")):
+        for first, n, data, offsets in flat.slices(batch.column("text"), SLICE_BYTES):
             sets = shingle_sets(data, offsets)
-            every = np.concatenate(sets) & _CELLS
-            sketch += np.bincount(every.astype(np.int64), minlength=len(sketch))
+            np.add.at(sketch, (np.concatenate(sets) & _CELLS).astype(np.int64), 1)
             digests = np.array([_digest(s) for s in sets]).reshape(-1, 2)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id").slice(first, n), batch.column("key").slice(first, n),
@@ -150,7 +151,7 @@ def signature(tokens):
 def _prefixes(sketch):
     def run(batches):
         for batch in batches:
-            for first, n, data, offsets in flat.slices(batch.column("text")):
+            for first, n, data, offsets in flat.slices(batch.column("text"), SLICE_BYTES):
                 part = batch.slice(first, n)
                 sets = shingle_sets(data, offsets)
                 wanted = np.column_stack([part.column("d1").to_numpy(), part.column("d2").to_numpy()])
@@ -173,7 +174,7 @@ def _prefixes(sketch):
 def _named(batches):
     """Texts that have the set of their class; others only share the id."""
     for batch in batches:
-        for first, n, data, offsets in flat.slices(batch.column("text")):
+        for first, n, data, offsets in flat.slices(batch.column("text"), SLICE_BYTES):
             part = batch.slice(first, n)
             wanted = np.column_stack([part.column("d1").to_numpy(), part.column("d2").to_numpy()])
             good = [i for i, s in enumerate(shingle_sets(data, offsets)) if (_digest(s) == wanted[i]).all()]
@@ -187,7 +188,7 @@ def _verified(batches):
         for node, text in (("a", "text_a"), ("b", "text_b")):
             ids, first, inverse = np.unique(batch.column(node).to_numpy(), return_index=True, return_inverse=True)
             chosen = batch.column(text).take(pa.array(first))
-            sets = [s for _, _, data, offsets in flat.slices(chosen) for s in shingle_sets(data, offsets)]
+            sets = [s for _, _, data, offsets in flat.slices(chosen, SLICE_BYTES) for s in shingle_sets(data, offsets)]
             sides.append((sets, inverse))
         (left, at), (right, bt) = sides
         linked = np.zeros(batch.num_rows, bool)
@@ -199,6 +200,16 @@ def _verified(batches):
         yield pa.RecordBatch.from_arrays([kept.column("a"), kept.column("b")], ["u", "v"])
 
 
+def _written(df, name):
+    """A copy as `materialise` makes it. Tasks hold few texts at once, and what finished queries left on the executors
+    and in the driver (broadcasts, shuffle files, plans) goes."""
+    spark = df.sparkSession
+    with small_batches(spark, ARROW_ROWS):
+        copy = materialise(df, name)
+    release(spark)
+    return copy
+
+
 class _Join:
     """The tables one join works on, all in the shared folder."""
 
@@ -207,19 +218,19 @@ class _Join:
         self.documents = documents.select("doc_id", "text")
         id_type = documents.schema["doc_id"].dataType.simpleString()
         keyed = self.documents.withColumn("key", F.xxhash64("doc_id", "text"))
-        everything = materialise(keyed.mapInArrow(
+        everything = _written(keyed.mapInArrow(
             _summaries, f"doc_id {id_type}, key long, n long, d1 long, d2 long, block int, counts binary"), "shingles")
         self.summaries = everything.filter("block IS NULL").select("doc_id", "key", "n", "d1", "d2")
         self.sketch = spark.sparkContext.broadcast(_sketch(everything))
         classes = self.summaries.filter("n > 0").groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("rep"))
-        self.classes = materialise(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
-        prefixes = materialise(self.texts(self.classes).mapInArrow(
+        self.classes = _written(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
+        prefixes = _written(self.texts(self.classes).mapInArrow(
             _prefixes(self.sketch), "node long, n int, matches int, tokens array<long>, bitmap array<long>"), "prefixes")
         words = [F.col("bitmap")[i].alias(f"w{i}") for i in range(SIGNATURE_BITS // 64)]
         self.bitmaps = prefixes.select("node", F.struct(*words).alias("bits"))
         postings = prefixes.select("node", "n", "matches", F.posexplode("tokens").alias("pos", "t"))
         several = postings.groupBy("t").count().filter("count > 1").select("t")
-        self.postings = materialise(postings.join(several, "t"), "postings")
+        self.postings = _written(postings.join(several, "t"), "postings")
 
     def texts(self, classes):
         """(node, d1, d2, text) of classes, by one document of each."""
@@ -232,7 +243,7 @@ class _Join:
         nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
         needed = self.classes.join(nodes, "node", "left_semi")
         texts = self.texts(needed).mapInArrow(_named, "node long, text string")
-        texts = materialise(texts, "texts")
+        texts = _written(texts, "texts")
         left = texts.select(F.col("node").alias("a"), F.col("text").alias("text_a"))
         right = texts.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
         both = pairs.join(right, "b").join(left, "a").select("a", "b", "text_a", "text_b")
@@ -268,7 +279,7 @@ def _star(postings):
 
 def _mixed(postings, roots):
     """Postings (t, y, root, main) of the tokens that several components share; main has most of a token's classes."""
-    placed = materialise(postings.join(roots, "node", "left").select(
+    placed = _written(postings.join(roots, "node", "left").select(
         "t", F.struct("node", "n", "matches", "pos").alias("y"), F.coalesce("root", "node").alias("root")), "placed")
     groups = placed.groupBy("t", "root").count().groupBy("t").agg(
         F.max_by("root", F.struct("count", "root")).alias("main"), F.count("*").alias("roots")).filter("roots > 1")
@@ -322,15 +333,15 @@ def _ordered(pairs):
 def _placed(documents):
     """doc_id, key (hash of id and text), n, root and component_id of every document; root is NULL without shingles."""
     join = _Join(documents)
-    tried = materialise(_ordered(_star(join.postings)).distinct(), "pairs")
-    roots = connected_components(materialise(join.verify(tried), "links"))
+    tried = _written(_ordered(_star(join.postings)).distinct(), "pairs")
+    roots = connected_components(_written(join.verify(tried), "links"))
     for turn in range(RETRIES):  # only spares pairs: what is still apart then is compared in full
         pairs = _ordered(_again(_mixed(join.postings, roots), turn)).distinct().join(tried, ["a", "b"], "left_anti")
-        pairs = materialise(pairs, "pairs")
+        pairs = _written(pairs, "pairs")
         tried = tried.unionByName(pairs)
-        roots = extended_components(roots, materialise(join.verify(pairs), "links"))
+        roots = extended_components(roots, _written(join.verify(pairs), "links"))
     rest = _across(_mixed(join.postings, roots), join.bitmaps).join(tried, ["a", "b"], "left_anti")
-    more = materialise(join.verify(materialise(rest, "pairs")), "links")
+    more = _written(join.verify(_written(rest, "pairs")), "links")
     roots = extended_components(roots, more)
     placed = join.classes.join(roots, "node", "left").select(
         "d1", "d2", "n", "rep", F.coalesce("root", "node").alias("root"))
@@ -352,7 +363,7 @@ def keep_one(documents):
 
     Of rows that are equal in id and text one stays. Documents without shingles all stay.
     """
-    placed = materialise(_placed(documents).filter("root IS NOT NULL").select("doc_id", "key", "root"), "placed")
+    placed = _written(_placed(documents).filter("root IS NOT NULL").select("doc_id", "key", "root"), "placed")
     first = placed.groupBy("root").agg(F.min(F.struct(F.isnull("doc_id"), "doc_id", "key")).alias("best")).select(
         "root", F.col("best.key").alias("best"))
     marked = placed.join(first, "root").groupBy("doc_id", "key").agg(

@@ -27,6 +27,7 @@ EPOCHS = 6
 RATE = 0.5
 SCALE = 20.0
 LEAST_TAIL = 0.5
+KEEP_SLICE_BYTES = 1 << 19
 _PLACES = np.uint64((1 << BITS) - 1)
 _SHAPES = np.arange(256, dtype=np.uint8)
 _SHAPES[0x61:0x7B] = ord("a")
@@ -204,7 +205,7 @@ def keep(documents, model):
     def kept(batches):
         weights = _dense(model)
         for batch in batches:
-            for first, n, data, offsets in flat.slices(batch.column(at)):
+            for first, n, data, offsets in flat.slices(batch.column(at), KEEP_SLICE_BYTES):
                 tail = _sigmoid(_scores(weights, data, offsets) - model["cuts"][0])
                 yield pc.filter(batch.slice(first, n), pa.array(tail >= LEAST_TAIL))
 

@@ -81,6 +81,36 @@ def materialise(df, name):
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+_ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def limit_batches(spark, rows):
+    """From now on queries of the session give Python at most so many rows at once; returns the setting before."""
+    before = spark.conf.get(_ARROW_ROWS, None)
+    if before is None or not 0 < int(before) <= rows:
+        spark.conf.set(_ARROW_ROWS, str(rows))
+    return before
+
+
+@contextlib.contextmanager
+def small_batches(spark, rows):
+    """Queries that run meanwhile give Python at most so many rows at once."""
+    before = limit_batches(spark, rows)
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(_ARROW_ROWS)
+        else:
+            spark.conf.set(_ARROW_ROWS, before)
+
+
+def release(spark):
+    """Let Spark remove the shuffle files and broadcasts of finished queries, which it does when the driver's garbage
+    goes."""
+    spark.sparkContext._jvm.System.gc()
+
+
 def exists(spark, path):
     """Whether a write to a folder has ended."""
     done = spark._jvm.org.apache.hadoop.fs.Path(path, "_SUCCESS")
