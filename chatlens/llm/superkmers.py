@@ -37,13 +37,14 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from chatlens.llm import flat
-from chatlens.session import materialise, remove, scratch_path
+from chatlens.session import materialise, release, remove, scratch_path
 from chatlens.sizing import broadcast_if_small, measured_copy
 
 HOT = 1000
 LARGEST = np.iinfo(np.int64).max
 _SLICE = 1 << 20
-_CHUNK = 1 << 20
+_BLOCK = 1 << 17  # symbols hashed at once: their arrays stay in a core's cache
+_CHUNK = 1 << 18
 _INDEX_BITS = np.uint64(28)
 _GRAMS, _CONTENT, _SECOND = 2, 3, 4
 
@@ -62,11 +63,11 @@ class Windows:
     once_a_document: bool
 
 
-def super_kmers(symbols, bounds, k, m, t, halves=False, keep=None):
+def super_kmers(symbols, bounds, k, m, t, halves=False, keep=None, keep_cores=None):
     """Document, first symbol, number of windows and minimiser hash of every super-k-mer.
 
     With halves also the hash of the core and the content digest, of every half; keep tells by documents and minimisers
-    which halves are wanted.
+    which halves are wanted, keep_cores by documents and cores.
     """
     windows = max(len(symbols) - k + 1, 0)
     room = np.maximum(np.diff(bounds) - k + 1, 0)
@@ -109,11 +110,14 @@ def super_kmers(symbols, bounds, k, m, t, halves=False, keep=None):
         kept = np.flatnonzero(keep(document, minimiser))
         document, start, count, minimiser, place, right = (
             x[kept] for x in (document, start, count, minimiser, place, right))
+    core = grams.spans(sums, np.where(right, place - part, place), np.where(right, place - width, place - part) + k + 1)
+    core = flat.mix(core + right.astype(np.uint64)).view(np.int64)
+    if keep_cores is not None:
+        kept = np.flatnonzero(keep_cores(document, core))
+        document, start, count, minimiser, core = (x[kept] for x in (document, start, count, minimiser, core))
     content = flat.rolling(_CONTENT)
     digest = content.spans(content.prefix(symbols), start, start + count + k - 1)
-    core = grams.spans(sums, np.where(right, place - part, place), np.where(right, place - width, place - part) + k + 1)
-    core = flat.mix(core + right.astype(np.uint64))
-    return document, start, count, minimiser, core.view(np.int64), digest.view(np.int64)
+    return document, start, count, minimiser, core, digest.view(np.int64)
 
 
 def _anchors(spec):
@@ -121,17 +125,22 @@ def _anchors(spec):
     def run(batches):
         for batch in batches:
             for first, n, data, offsets in flat.slices(batch.column("text"), _SLICE):
-                symbols, bounds = spec.parse(data, offsets)[:2]
-                document, _, _, minimiser = super_kmers(symbols, bounds, spec.k, spec.m, spec.t)
+                found = []
+                for row, _, part, cuts in flat.blocks(data, offsets, _BLOCK):
+                    symbols, bounds = spec.parse(part, cuts)[:2]
+                    document, _, _, minimiser = super_kmers(symbols, bounds, spec.k, spec.m, spec.t)
+                    found.append((document + row, minimiser))
+                document, minimiser = (np.concatenate(x) for x in zip(*found))
+                order = np.argsort(minimiser, kind="stable")  # the documents of a minimiser stay in order
+                document, minimiser = document[order], minimiser[order]
                 if spec.once_a_document:
-                    order = np.lexsort((minimiser, document))
-                    document, minimiser = document[order], minimiser[order]
                     new = np.ones(len(order), bool)
                     new[1:] = (document[1:] != document[:-1]) | (minimiser[1:] != minimiser[:-1])
                     document, minimiser = document[new], minimiser[new]
-                distinct, inverse, counts = np.unique(minimiser, return_inverse=True, return_counts=True)
-                known = counts[inverse] > 1
-                shared = distinct[counts > 1]
+                heads = np.flatnonzero(np.append(True, minimiser[1:] != minimiser[:-1]))
+                counts = np.diff(heads, append=len(minimiser))
+                known = np.repeat(counts > 1, counts)
+                shared = minimiser[heads[counts > 1]]
                 key = batch.column("key").slice(first, n).take(pa.array(document))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.concatenate([minimiser, shared])),
@@ -178,11 +187,11 @@ def _pair(a, b):
 
 
 def _among(row, listed):
-    """Tells which documents and minimisers are listed."""
+    """Tells which documents and minimisers (or cores) are listed."""
     pairs = np.sort(_pair(row, listed))
 
-    def keep(document, minimiser):
-        have = _pair(document, minimiser)
+    def keep(document, names):
+        have = _pair(document, names)
         return pairs[np.minimum(np.searchsorted(pairs, have), len(pairs) - 1)] == have
     return keep
 
@@ -191,7 +200,7 @@ def _candidates(spec):
     """Halves of super-k-mers whose minimiser is in the list of the row."""
     def run(batches):
         for batch in batches:
-            for first, n, data, offsets in flat.slices(batch.column("text"), _SLICE):
+            for first, n, data, offsets in flat.slices(batch.column("text"), _BLOCK):
                 symbols, bounds = spec.parse(data, offsets)[:2]
                 row, (listed,) = _wanted(batch, first, n, ["minimisers"])
                 document, start, count, _, core, digest = super_kmers(
@@ -210,10 +219,11 @@ def _fetched(spec, batches):
     """Per slice: its parsed symbols, and the first half of every class that a row is asked for."""
     names = ["cores", "digests", "counts", "leasts"]
     for batch in batches:
-        for first, n, data, offsets in flat.slices(batch.column("text"), _SLICE):
+        for first, n, data, offsets in flat.slices(batch.column("text"), _BLOCK):
             parsed = spec.parse(data, offsets)
-            document, start, count, _, core, digest = super_kmers(*parsed[:2], spec.k, spec.m, spec.t, True)
             row, (listed, digests, counts, leasts) = _wanted(batch, first, n, names)
+            document, start, count, _, core, digest = super_kmers(
+                *parsed[:2], spec.k, spec.m, spec.t, True, keep_cores=_among(row, listed))
             have = _pair(document, flat.mix(_pair(core, digest)).view(np.int64))
             want = _pair(row, flat.mix(_pair(listed, digests)).view(np.int64))
             distinct, where = np.unique(have, return_index=True)
@@ -370,11 +380,6 @@ def _asked(texts, classes):
     return texts.select("key", "text").join(_beside_texts(lists), "key")
 
 
-def release(spark):
-    """Let Spark remove the shuffle files of finished queries, which it does when the driver's garbage goes."""
-    spark.sparkContext._jvm.System.gc()
-
-
 def repeated_windows(prepared_texts, spec):
     """(key, doc_id, copies, start, length, least): runs of windows that occur more than once.
 

@@ -1,4 +1,4 @@
-"""What a Python task of the pipeline holds at once."""
+"""What a Python task of the pipeline and of the super-k-mer search holds and does at once."""
 
 import tracemalloc
 
@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 
 import corpus_pipeline
-from chatlens.llm import flat, jaccard
+from chatlens.llm import flat, jaccard, suffixes, superkmers
 from chatlens.session import limit_batches, small_batches
 
 SETTING = "spark.sql.execution.arrow.maxRecordsPerBatch"
@@ -61,3 +61,32 @@ def test_powers_are_kept_no_longer_than_needed():
     powers = roller.powers(n, roller.base)
     assert len(roller._powers[roller.base]) <= n + (1 << 16)
     assert powers[n - 1] == pow(roller.base, n - 1, 1 << 64)
+
+
+def test_digests_are_only_taken_of_wanted_cores():
+    data, offsets = flat.byte_array(pa.array(texts(30, 100)))
+    every = superkmers.super_kmers(data, offsets, 50, 30, 9, True)
+    wanted = np.unique(every[4])[::7]
+    some = superkmers.super_kmers(
+        data, offsets, 50, 30, 9, True, keep_cores=lambda document, core: np.isin(core, wanted))
+    kept = np.isin(every[4], wanted)
+    for x, y in zip(every, some):
+        assert np.array_equal(x[kept], y)
+
+
+def test_anchors_of_blocks_are_those_of_the_slice():
+    rows = texts(80, 500, seed=1)
+    rows = ["", "short", None, *rows, rows[3], rows[5][:300] + rows[6][:300]]
+    spec = suffixes.byte_windows()
+    data, offsets = flat.byte_array(pa.array(rows))
+    assert len(data) > 2 * superkmers._BLOCK
+    document, _, _, minimiser = superkmers.super_kmers(data, offsets, spec.k, spec.m, spec.t)
+    pairs = sorted(set(zip(document.tolist(), minimiser.tolist())))
+    holders = {}
+    for d, m in pairs:
+        holders.setdefault(m, set()).add(d)
+    batch = pa.record_batch([pa.array(range(len(rows))), pa.array(rows)], ["key", "text"])
+    found = pa.Table.from_batches(superkmers._anchors(spec)([batch])).to_pylist()
+    assert sorted((r["key"], r["minimiser"]) for r in found if r["key"] is not None) == pairs
+    assert all(r["known"] == (len(holders[r["minimiser"]]) > 1) for r in found if r["key"] is not None)
+    assert sorted(r["minimiser"] for r in found if r["key"] is None) == sorted(m for m, h in holders.items() if len(h) > 1)
