@@ -34,6 +34,7 @@ from pyspark.sql import functions as F
 
 from chatlens.llm import flat
 from chatlens.llm.components import connected_components, extended_components
+from chatlens.llm.workers import thrifty
 from chatlens.session import materialise, release, small_batches
 from chatlens.sizing import broadcast_if_small
 
@@ -80,6 +81,7 @@ def _digest(tokens):
     return np.array([flat.mix(tokens).sum(), flat.mix(tokens * _OTHER).sum()], np.uint64).astype(np.int64)
 
 
+@thrifty
 def _summaries(batches):
     """n and digest of every document; after them the sketch counts of this task, in blocks."""
     sketch = np.zeros(1 << SKETCH_BITS, np.int64)
@@ -149,6 +151,7 @@ def signature(tokens):
 
 
 def _prefixes(sketch):
+    @thrifty
     def run(batches):
         for batch in batches:
             for first, n, data, offsets in flat.slices(batch.column("text"), SLICE_BYTES):
@@ -171,6 +174,7 @@ def _prefixes(sketch):
     return run
 
 
+@thrifty
 def _named(batches):
     """Texts that have the set of their class; others only share the id."""
     for batch in batches:
@@ -181,6 +185,7 @@ def _named(batches):
             yield part.select(["node", "text"]).take(pa.array(good, pa.int64()))
 
 
+@thrifty
 def _verified(batches):
     """Pairs of texts whose sets are similar enough."""
     for batch in batches:

@@ -24,6 +24,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from chatlens.llm import flat
+from chatlens.llm.workers import thrifty
 from chatlens.session import materialise
 
 LENGTH = 2048
@@ -142,6 +143,7 @@ def tokenise(data, offsets, path):
 
 
 def _tokenised(path):
+    @thrifty
     def run(batches):
         part, place = TaskContext.get().partitionId(), 0
         wide = len(_tokenizer(path)[1]) > 1 << 16
@@ -163,6 +165,7 @@ def _tokenised(path):
 
 
 def _pieces(length):
+    @thrifty
     def run(batches):
         for batch in batches:
             place = batch.column("place").to_numpy()

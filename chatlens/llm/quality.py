@@ -19,6 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import functions as F
 
 from chatlens.llm import flat
+from chatlens.llm.workers import thrifty
 
 MAX_ROWS = 20_000
 TOP = 2  # the best grade of `grade_of`
@@ -27,7 +28,7 @@ EPOCHS = 6
 RATE = 0.5
 SCALE = 20.0
 LEAST_TAIL = 0.5
-KEEP_SLICE_BYTES = 1 << 19
+SLICE_BYTES = 1 << 19
 _PLACES = np.uint64((1 << BITS) - 1)
 _SHAPES = np.arange(256, dtype=np.uint8)
 _SHAPES[0x61:0x7B] = ord("a")
@@ -59,9 +60,10 @@ def _scores(weights, data, offsets):
     return total
 
 
+@thrifty
 def _featurise(batches):
     for batch in batches:
-        for first, n, data, offsets in flat.slices(batch.column("text")):
+        for first, n, data, offsets in flat.slices(batch.column("text"), SLICE_BYTES):
             rows = [[] for _ in range(n)]
             for places, bounds in _families(data, offsets):
                 for i in range(n):
@@ -88,6 +90,7 @@ def _fit(rows, grades, top):
     cut_seen = np.full(top, 1.0)
     for _ in range(EPOCHS):
         for (places, parts), grade in zip(rows, grades):
+            parts = parts.astype(float)  # all rows are held in half of that
             above = _sigmoid((weights[places] * parts).sum() - cuts)
             tails = np.concatenate([[1.0], above, [0.0]])
             spread = np.concatenate([[0.0], above * (1 - above), [0.0]])
@@ -107,11 +110,12 @@ def _fit(rows, grades, top):
 
 
 def _trainer(top):
+    @thrifty
     def train_all(batches):
         rows, grades = [], []
         for batch in batches:
             rows += [
-                (np.frombuffer(p, np.uint32), np.frombuffer(v, np.float32).astype(float))
+                (np.frombuffer(p, np.uint32), np.frombuffer(v, np.float32))
                 for p, v in zip(batch.column("places").to_pylist(), batch.column("parts").to_pylist())
             ]
             grades += batch.column("grade").to_pylist()
@@ -176,10 +180,11 @@ def assess(documents, model, top=TOP):
         nothing = [F.lit(None).cast("double").alias(c) for c in ["expected_grade", *tail_names]]
         return documents.select("doc_id", *nothing, F.lit(True).alias("keep"))
 
+    @thrifty
     def assessed(batches):
         weights = _dense(model)
         for batch in batches:
-            for first, n, data, offsets in flat.slices(batch.column("text")):
+            for first, n, data, offsets in flat.slices(batch.column("text"), SLICE_BYTES):
                 score = _scores(weights, data, offsets)
                 tails = [_sigmoid(score - cut) for cut in model["cuts"]]
                 tails += [np.zeros(n)] * (top - len(tails))
@@ -202,10 +207,11 @@ def keep(documents, model):
         return documents
     at = documents.columns.index("text")
 
+    @thrifty
     def kept(batches):
         weights = _dense(model)
         for batch in batches:
-            for first, n, data, offsets in flat.slices(batch.column(at), KEEP_SLICE_BYTES):
+            for first, n, data, offsets in flat.slices(batch.column(at), SLICE_BYTES):
                 tail = _sigmoid(_scores(weights, data, offsets) - model["cuts"][0])
                 yield pc.filter(batch.slice(first, n), pa.array(tail >= LEAST_TAIL))
 
