@@ -21,7 +21,8 @@ from its copies is known without a search.
    aren't gathered: their windows are counted by 128-bit digests.
 5. The marked windows go back to the documents of each class, and from there to the texts.
 
-The texts move once, into a table in buckets of their names; later only lists move to them.
+The texts move once, into a table in buckets of their names; later only lists move to them. There are as many buckets
+as the texts need, whatever the number of shuffle partitions; lists too long for a hash table of a bucket are sorted.
 
 Documents are named by a hash of id and text: rows that are equal in both have equal results. If such rows
 are the first of their text, all of them are searched, which changes no result: their windows occur in copies.
@@ -34,13 +35,17 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from chatlens.llm import flat
 from chatlens.session import materialise, release, remove, scratch_path
-from chatlens.sizing import broadcast_if_small, measured_copy
+from chatlens.sizing import broadcast_if_small, copy_with_width, total_width
 
 HOT = 1000
+BUCKET_BYTES = 1 << 24
+LISTED_BYTES = 1 << 24  # lists for a broadcast: the table of texts stays where it is also without one
+HASHED_BYTES = 1 << 23  # lists of a bucket, as measured: hash tables cannot spill
 LARGEST = np.iinfo(np.int64).max
 _SLICE = 1 << 20
 _BLOCK = 1 << 17  # symbols hashed at once: their arrays stay in a core's cache
@@ -330,14 +335,25 @@ class Scratch:
 
 
 def copied(documents):
-    """(key, doc_id, copies, first) of every row whose text occurs in more than one; first is the smallest id."""
-    rows = documents.filter("text IS NOT NULL").select(
+    """(key, doc_id, copies, first) of every row whose text occurs in more than one; first is the smallest id. And the
+    bytes of all texts."""
+    seen = Observation()
+    texts = documents.select("doc_id", "text").filter("text IS NOT NULL").observe(
+        seen, F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0)).alias("bytes"))
+    rows = texts.select(
         F.xxhash64("doc_id", "text").alias("key"), F.col("doc_id").cast("long").alias("doc_id"),
         F.unhex(F.sha1("text")).alias("digest"))
     rows = materialise(rows.groupBy("digest", "key", "doc_id").agg(F.count("*").alias("rows")), "rows")
     first = rows.groupBy("digest").agg(F.sum("rows").alias("copies"), F.min("doc_id").alias("first")).filter("copies > 1")
     return broadcast_if_small(
-        rows.join(broadcast_if_small(first), "digest").select("key", "doc_id", "copies", "first"))
+        rows.join(broadcast_if_small(first), "digest").select("key", "doc_id", "copies", "first")), seen.get["bytes"]
+
+
+def _buckets(spark, size):
+    """As many as queries have partitions, or more if buckets of texts of that size were too large then."""
+    partitions = max(int(spark.conf.get(f"spark.sql.{c}", None) or 1) for c in (
+        "shuffle.partitions", "adaptive.coalescePartitions.initialPartitionNum"))
+    return min(max(partitions, -(-size // BUCKET_BYTES)), int(spark.conf.get("spark.sql.sources.bucketing.maxBuckets")))
 
 
 def prepared(documents):
@@ -345,12 +361,11 @@ def prepared(documents):
 
     It is a table in buckets of the key, so that joins with lists of keys leave the texts where they are.
     """
-    spark, copies = documents.sparkSession, copied(documents)
+    spark, (copies, size) = documents.sparkSession, copied(documents)
     texts = documents.select(
         "doc_id", "text", F.xxhash64("doc_id", "text").alias("key"), F.col("doc_id").cast("long").alias("long_id"))
     same = (texts["key"] == copies["key"]) & texts["long_id"].eqNullSafe(copies["doc_id"])
-    buckets = max(int(spark.conf.get(f"spark.sql.{c}", None) or 1) for c in (
-        "shuffle.partitions", "adaptive.coalescePartitions.initialPartitionNum"))
+    buckets = _buckets(spark, size)
     name = f"chatlens_texts_{uuid.uuid4().hex}"
     texts.join(copies, same, "left").select(texts["*"], "copies", "first").repartition(buckets, "key").write.bucketBy(
         buckets, "key").option("path", scratch_path(spark, "texts")).format("parquet").saveAsTable(name)
@@ -366,10 +381,16 @@ def _first(texts):
         "key", F.col("long_id").alias("doc_id"), "text", F.coalesce("copies", F.lit(1)).alias("copies"))
 
 
-def _beside_texts(lists):
+def _dealt(lists, width, texts):
+    """Lists by key for a join in the buckets of the table of texts, by hash tables, or by sorting, which may spill."""
+    files = max(len(texts.inputFiles()), 1)  # one for each bucket with texts
+    return lists.hint("shuffle_hash" if width <= files * HASHED_BYTES else "merge")
+
+
+def _beside_texts(lists, texts):
     """Lists by key for a join with the table of texts: a broadcast, or dealt to its buckets."""
-    lists, small = measured_copy(lists)
-    return F.broadcast(lists) if small else lists.hint("shuffle_hash")
+    lists, width = copy_with_width(lists)
+    return F.broadcast(lists) if width <= LISTED_BYTES else _dealt(lists, width, texts)
 
 
 def _asked(texts, classes):
@@ -377,7 +398,7 @@ def _asked(texts, classes):
     lists = classes.groupBy("key").agg(*[
         F.collect_list(c).alias(f"{c}s") for c in ("core", "digest")
     ], F.collect_list("c").alias("counts"), F.collect_list(F.coalesce("least", F.lit(LARGEST))).alias("leasts"))
-    return texts.select("key", "text").join(_beside_texts(lists), "key")
+    return texts.select("key", "text").join(_beside_texts(lists, texts), "key")
 
 
 def repeated_windows(prepared_texts, spec):
@@ -393,8 +414,9 @@ def repeated_windows(prepared_texts, spec):
         _anchors(spec), "minimiser long, key long, known boolean")
     spread = anchors.repartition(F.when(F.col("known"), F.col("key")).otherwise(F.col("minimiser")))
     shared = spread.sortWithinPartitions("minimiser").mapInArrow(_repeated, "key long, minimiser long")
-    lists = scratch.write(shared.groupBy("key").agg(F.collect_set("minimiser").alias("minimisers")), "minimisers")
-    found = scratch.write(texts.join(lists.hint("shuffle_hash"), "key").mapInArrow(
+    lists, seen = shared.groupBy("key").agg(F.collect_set("minimiser").alias("minimisers")), Observation()
+    lists = scratch.write(lists.observe(seen, total_width(lists.schema)), "minimisers")
+    found = scratch.write(texts.join(_dealt(lists, seen.get["bytes"], texts), "key").mapInArrow(
         _candidates(spec), "core long, digest long, key long, doc_id long, copies long, start int, n int"), "superkmers")
     scratch.drop("minimisers")
     classes = scratch.write(found.groupBy("core", "digest", "n").agg(
@@ -427,7 +449,7 @@ def with_runs(prepared_texts, whole, marks):
     whole is the condition for the latter, on long_id and the columns of `copied`.
     """
     lists = _beside_texts(marks.groupBy("key").agg(F.collect_list(F.struct(
-        F.col("doc_id").alias("marked_id"), "start", "length")).alias("runs")))
+        F.col("doc_id").alias("marked_id"), "start", "length")).alias("runs")), prepared_texts)
     release(prepared_texts.sparkSession)
     own = F.filter("runs", lambda r: r["marked_id"].eqNullSafe(F.col("long_id")))
     return prepared_texts.join(lists, "key", "left").select(

@@ -25,7 +25,7 @@ def _width(column, kind):
     return fixed
 
 
-def _total_width(schema):
+def total_width(schema):
     """Width of all rows: text by its length, arrays by their size, plus a fixed width per column."""
     widths = [_width(F.col(f.name), f.dataType) for f in schema.fields]
     return F.coalesce(F.sum(reduce(add, widths).cast("long")), F.lit(0)).alias("bytes")
@@ -37,17 +37,23 @@ def _fits(width, broadcast_bytes):
 
 def is_small(df, broadcast_bytes=None):
     """Whether df, measured by one distributed sum, fits a broadcast."""
-    return _fits(df.agg(_total_width(df.schema)).first()["bytes"], broadcast_bytes)
+    return _fits(df.agg(total_width(df.schema)).first()["bytes"], broadcast_bytes)
 
 
-def measured_copy(df, broadcast_bytes=None):
-    """df written to the shared folder, and whether it fits a broadcast.
+def copy_with_width(df):
+    """df written to the shared folder, and its width.
 
     df is computed once: its width is summed up while it is written.
     """
     seen = Observation()
-    copy = materialise(df.observe(seen, _total_width(df.schema)), "list")
-    return copy, _fits(seen.get["bytes"], broadcast_bytes)
+    copy = materialise(df.observe(seen, total_width(df.schema)), "list")
+    return copy, seen.get["bytes"]
+
+
+def measured_copy(df, broadcast_bytes=None):
+    """df written to the shared folder, and whether it fits a broadcast."""
+    copy, width = copy_with_width(df)
+    return copy, _fits(width, broadcast_bytes)
 
 
 def broadcast_if_small(df, broadcast_bytes=None):

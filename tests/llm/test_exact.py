@@ -1,5 +1,6 @@
 """Dedup, joins, counts and packing against plain versions, on odd tables and given ones."""
 
+import re
 import zlib
 from collections import defaultdict
 
@@ -7,6 +8,7 @@ import brute
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from chatlens.llm import jaccard, packing, substrings, suffixes, superkmers, tokencounts
@@ -196,3 +198,42 @@ def test_lists_move_to_the_texts(spark):
     assert plan.count("Exchange") == 1
     assert texts.count() == len(brute.odd_rows())
     assert not [t for t in spark.catalog.listTables() if t.name.startswith("chatlens_texts")]
+
+
+def test_buckets_follow_the_texts(spark, monkeypatch):
+    """Few partitions of a large table would be more than a task can hold."""
+    monkeypatch.setattr(superkmers, "BUCKET_BYTES", 1 << 12, raising=False)
+    rows = [(i, f"{i} " * 400) for i in range(90)]
+    texts = superkmers.prepared(spark.createDataFrame(rows, "doc_id long, text string"))
+    held = sum(len(t) for _, t in rows) // (1 << 12)
+    assert held > 20 > int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert held // 2 <= len(texts.inputFiles()) <= held + 1
+    assert sorted((r.doc_id, r.text) for r in texts.select("doc_id", "text").collect()) == rows
+
+
+def joins(df):
+    return set(re.findall(r"\w+Join", df._jdf.queryExecution().executedPlan().toString()))
+
+
+def test_lists_too_long_for_a_hash_table_are_sorted(spark, monkeypatch):
+    """A hash table of a bucket's lists cannot spill; the rows are the same by either join."""
+    texts = superkmers.prepared(spark.createDataFrame(
+        [(i, f"text {i % 30}") for i in range(40)] + [(None, "text"), (41, None)], "doc_id long, text string"))
+    key, n = texts.select("key").first()["key"], 1_100_000
+    marks = spark.range(0, n, 1, 8).select(
+        F.when(F.col("id") == 0, key).otherwise(F.col("id")).alias("key"), F.lit(None).cast("long").alias("doc_id"),
+        F.col("id").alias("start"), F.lit(1).cast("long").alias("length"))
+    long = superkmers.with_runs(texts, "first < long_id", marks)
+    assert joins(long) == {"SortMergeJoin"}
+    monkeypatch.setattr(superkmers, "HASHED_BYTES", 1 << 26)
+    hashed = superkmers.with_runs(texts, "first < long_id", marks)
+    assert joins(hashed) == {"ShuffledHashJoin"}
+    assert sorted(map(str, long.collect())) == sorted(map(str, hashed.collect()))
+    assert long.count() == 42
+
+
+def test_dedup_is_the_same_by_sorted_lists(spark, monkeypatch):
+    want = sorted(map(str, suffixes.dedup(brute.odd(spark), with_bytes=False).collect()))
+    monkeypatch.setattr(superkmers, "LISTED_BYTES", 0)
+    monkeypatch.setattr(superkmers, "HASHED_BYTES", 0)
+    assert sorted(map(str, suffixes.dedup(brute.odd(spark), with_bytes=False).collect())) == want
