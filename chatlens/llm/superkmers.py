@@ -338,12 +338,11 @@ def copied(documents):
     """(key, doc_id, copies, first) of every row whose text occurs in more than one; first is the smallest id. And the
     bytes of all texts."""
     seen = Observation()
-    texts = documents.select("doc_id", "text").filter("text IS NOT NULL").observe(
-        seen, F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0)).alias("bytes"))
-    rows = texts.select(
+    rows = documents.filter("text IS NOT NULL").select(
         F.xxhash64("doc_id", "text").alias("key"), F.col("doc_id").cast("long").alias("doc_id"),
-        F.unhex(F.sha1("text")).alias("digest"))
-    rows = materialise(rows.groupBy("digest", "key", "doc_id").agg(F.count("*").alias("rows")), "rows")
+        F.unhex(F.sha1("text")).alias("digest"), F.octet_length("text").cast("long").alias("bytes"))
+    rows = rows.groupBy("digest", "key", "doc_id").agg(F.count("*").alias("rows"), F.sum("bytes").alias("bytes"))
+    rows = materialise(rows.observe(seen, F.coalesce(F.sum("bytes"), F.lit(0)).alias("bytes")), "rows")
     first = rows.groupBy("digest").agg(F.sum("rows").alias("copies"), F.min("doc_id").alias("first")).filter("copies > 1")
     return broadcast_if_small(
         rows.join(broadcast_if_small(first), "digest").select("key", "doc_id", "copies", "first")), seen.get["bytes"]
